@@ -47,8 +47,8 @@ def _walk(lines: DataFrame, k: float, a: float, phase: Column) -> DataFrame:
         "symbol",
         "date",
         "open",
-        F.round(F.greatest("open", "close") * (1 + spread), 4).alias("high"),
-        F.round(F.least("open", "close") * (1 - spread), 4).alias("low"),
+        F.round(F.greatest("open", "close") * F.exp(spread), 4).alias("high"),
+        F.round(F.least("open", "close") * F.exp(-spread), 4).alias("low"),
         "close",
         F.col("_qty").cast("double").alias("volume"),
     )
@@ -166,3 +166,9 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("account_id"), (F.col("c_acctbal") * 10).alias("cash")
     )
+
+
+def forget() -> None:
+    """Drop the written bars, so the next call derives them again."""
+    with _lock:
+        _written.clear()
