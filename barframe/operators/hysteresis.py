@@ -69,9 +69,9 @@ class Machine:
 
 def _arrays(pdf: pd.DataFrame, machine: Machine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k = range(machine.n_classes)
-    raw = np.column_stack([pdf[f"_raw{i}"].to_numpy(dtype=np.int64) for i in k])
-    conf = np.column_stack([pdf[f"_conf{i}"].to_numpy(dtype=float) for i in k])
-    return raw, conf, pdf["_skip"].to_numpy(dtype=bool)
+    raw = np.column_stack([pdf[f"raw_{i}"].to_numpy(dtype=np.int64) for i in k])
+    conf = np.column_stack([pdf[f"conf_{i}"].to_numpy(dtype=float) for i in k])
+    return raw, conf, pdf["skip"].to_numpy(dtype=bool)
 
 
 def replay(
@@ -80,7 +80,7 @@ def replay(
     """Run ordered rows from a known state; returns the reported columns per row and the end state."""
     raw, conf, skipped = _arrays(pdf, machine)
     nxt, out, new = machine.tables(raw, conf, skipped)
-    skip, when = pdf["_skip"].tolist(), pdf[order].tolist()
+    skip, when = pdf["skip"].tolist(), pdf[order].tolist()
     nxt_rows, new_rows = nxt.tolist(), new.tolist()
     labels, confs, counts, starts, raws, raw_confs = [], [], [], [], [], []
     for i in range(len(pdf)):
@@ -114,7 +114,7 @@ def replay(
 def summarise(pdf: pd.DataFrame, machine: Machine, order: str) -> tuple[list[int], list[int], list[object]]:
     """End state, days and start (None: unchanged) of a run of rows, for every possible state before it."""
     nxt, _, new = machine.tables(*_arrays(pdf, machine))
-    skip, when = pdf["_skip"].to_numpy(dtype=bool), pdf[order].tolist()
+    skip, when = pdf["skip"].to_numpy(dtype=bool), pdf[order].tolist()
     cur = np.arange(machine.n_states)
     days = np.zeros(machine.n_states, dtype=np.int64)
     at = np.full(machine.n_states, -1)
@@ -143,7 +143,7 @@ def run(
     rows: int = sg.SEGMENT_ROWS,
     longest: int | None = None,
 ) -> DataFrame:
-    """Fold the proposals ``_raw*``, ``_conf*``, ``_skip`` of each key in ``order``; skipped rows get NULLs.
+    """Fold the proposals ``raw_*``, ``conf_*``, ``skip`` of each key in ``order``; skipped rows get NULLs.
 
     Adds ``label, confidence, days_in_regime, raw_label, raw_confidence, regime_start``; proposals are dropped.
     """
@@ -156,8 +156,8 @@ def run(
     if seg.split:
         d = d.join(_starts(d, machine, by, order, kind), [*by, "_seg"], "left")
 
-    drop = {"_skip", "n", "_seg", "_more", "_state", "_days", "_since"}
-    drop |= {f"_raw{i}" for i in range(machine.n_classes)} | {f"_conf{i}" for i in range(machine.n_classes)}
+    drop = {"skip", "n", "_seg", "_more", "_state", "_days", "_since"}
+    drop |= {f"raw_{i}" for i in range(machine.n_classes)} | {f"conf_{i}" for i in range(machine.n_classes)}
     kept = [f for f in d.schema.fields if f.name not in drop]
     names = [f.name for f in kept]
     schema = T.StructType([*kept, *_OUT, T.StructField("regime_start", kind)])

@@ -137,8 +137,8 @@ def proposals(df: DataFrame, cfg: MarketRegimeConfig) -> DataFrame:
     cols: dict[str, Column] = {}
     for k, ((hit, stress_conf), (way, trend_conf)) in by_class.items():
         calm = F.when(way > 0, UP).when(way < 0, DOWN).otherwise(CHOPPY)
-        cols[f"_raw{k}"] = F.when(hit, STRESSED).otherwise(calm).cast("int")
-        cols[f"_conf{k}"] = F.when(hit, stress_conf).otherwise(trend_conf)
+        cols[f"raw_{k}"] = F.when(hit, STRESSED).otherwise(calm).cast("int")
+        cols[f"conf_{k}"] = F.when(hit, stress_conf).otherwise(trend_conf)
     return df.withColumns(cols)
 
 
@@ -168,7 +168,7 @@ def market_regime(
         known = F.col("z_vol").isNotNull() & F.col("max_dd").isNotNull() & F.col("normalized_slope").isNotNull()
         skip = (F.col("n") < cfg.min_batch_rows) | ~known
     keep = [*by, "date", "n", "rv20_log", "z_vol", "max_dd", "normalized_slope", "ma_flag"]
-    d = proposals(feats.select(*keep), cfg).withColumn("_skip", skip)
+    d = proposals(feats.select(*keep), cfg).withColumn("skip", skip)
     d = hy.run(d, machine(cfg), by, rows=rows, longest=longest)
     idle = F.lit("calm_range") if mode == "live" else F.lit(None).cast("string")
     idle_conf = F.lit(0.0) if mode == "live" else F.lit(None).cast("double")

@@ -85,9 +85,9 @@ def proposals(df: DataFrame, cfg: StockRegimeConfig) -> DataFrame:
     for k, ((hit, stress_conf), (code, trend_conf)) in by_class.items():
         label = F.when(hit, STRESSED).otherwise(F.coalesce(code, F.lit(RANGE)))
         conf = F.when(hit, stress_conf).when(code.isNotNull(), clamp01(trend_conf * damp)).otherwise(quiet)
-        cols[f"_raw{k}"] = F.when(ok, label).otherwise(NO_TRADE).cast("int")
-        cols[f"_conf{k}"] = F.when(ok, conf).otherwise(0.0)
-    return df.withColumns(cols).withColumn("_skip", F.lit(False))
+        cols[f"raw_{k}"] = F.when(ok, label).otherwise(NO_TRADE).cast("int")
+        cols[f"conf_{k}"] = F.when(ok, conf).otherwise(0.0)
+    return df.withColumns(cols).withColumn("skip", F.lit(False))
 
 
 def machine(cfg: StockRegimeConfig) -> hy.Machine:

@@ -71,9 +71,9 @@ def market_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def build() -> DataFrame:
         d = mr.proposals(market_feats(spark, sf_dir).filter(F.col("n") >= 200), MarketRegimeConfig())
-        raw = F.element_at(F.array(*[F.lit(x) for x in mr.RAW]), F.col("_raw2") + 1)
+        raw = F.element_at(F.array(*[F.lit(x) for x in mr.RAW]), F.col("raw_2") + 1)
         label = F.when(F.col("max_dd") < -0.30, "crisis").otherwise(mr.public_label(raw))
-        return d.select("date", label.alias("label"), F.col("_conf2").alias("confidence"))
+        return d.select("date", label.alias("label"), F.col("conf_2").alias("confidence"))
 
     return once(spark, sf_dir, "market-rule", build)
 
@@ -86,8 +86,8 @@ def stock_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = sr.proposals(d, StockRegimeConfig())
         from barframe.config import STOCK_LABELS
 
-        label = F.element_at(F.array(*[F.lit(x) for x in STOCK_LABELS]), F.col("_raw2") + 1)
-        return d.select("symbol", "date", label.alias("label"), F.col("_conf2").alias("confidence"))
+        label = F.element_at(F.array(*[F.lit(x) for x in STOCK_LABELS]), F.col("raw_2") + 1)
+        return d.select("symbol", "date", label.alias("label"), F.col("conf_2").alias("confidence"))
 
     return once(spark, sf_dir, "stock-rule", build)
 

@@ -164,11 +164,11 @@ def _upsert(s: SparkSession, d: str) -> DataFrame:
     year(B(s, d)).write.partitionBy("year").parquet(path)
     sk.upsert_bars(s, path, year(_updates(s, d)), "year")
     return s.read.parquet(path).groupBy("year").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 2).alias("total")).withColumn("year", F.col("year").cast("long"))
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 6).alias("total")).withColumn("year", F.col("year").cast("long"))
 
 
 add("upsert_bars", "K3", _upsert,
-    q.build("""SELECT CAST(year(date) AS BIGINT) AS year, count(*) AS n, round(sum(close), 2) AS total FROM (
+    q.build("""SELECT CAST(year(date) AS BIGINT) AS year, count(*) AS n, round(sum(close), 6) AS total FROM (
       SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY prio DESC) AS k FROM (
       SELECT symbol, date, close, 0 AS prio FROM bars UNION ALL
       SELECT symbol, date + 30, round(close * 101e-2, 6), 1 FROM bars WHERE date >= DATE '2000-01-01')) WHERE k = 1 GROUP BY 1""", "bars"))
