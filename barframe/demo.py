@@ -157,7 +157,7 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
         brand_of(F.col("l_orderkey")).alias("symbol"),
         F.when(F.col("l_orderkey") % 3 == 0, "SELL").otherwise("BUY").alias("side"),
         F.col("x.l_quantity").alias("qty"),
-        F.round(F.col("x.l_extendedprice") / F.col("x.l_quantity"), 4).alias("price"),
+        F.round(F.col("x.l_extendedprice") / F.col("x.l_quantity"), 8).alias("price"),
         F.round(F.col("x.l_tax") * 10, 2).alias("fee"),
     )
 

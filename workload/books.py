@@ -22,7 +22,7 @@ QUANTILE = PortfolioConstraints(max_positions=8, min_positions=5, max_weight=0.1
 FULL = PortfolioConstraints(max_positions=8, min_positions=5, max_weight=0.12, selection_mode="top_quantile", top_quantile=0.4, allow_cash=False)
 FLOORED = PortfolioConstraints(max_positions=10, min_positions=5, max_weight=0.15, min_weight=0.08)
 BANDED = PortfolioConstraints(max_positions=10, min_positions=5, max_weight=0.15, rebalance_band=0.02)
-LIMITED = PortfolioConstraints(max_positions=10, min_positions=5, max_weight=0.15, turnover_limit=0.3137)
+LIMITED = PortfolioConstraints(max_positions=10, min_positions=5, max_weight=0.15, turnover_limit=0.313701593871)
 K = ("portfolio_id", "date")
 
 
@@ -51,12 +51,12 @@ def before(s: SparkSession, d: str) -> DataFrame:
     return held(s, d).join(c, "date").select("portfolio_id", F.col("next_trading_date").alias("date"), "symbol", "weight")
 
 
-def w(df: DataFrame) -> DataFrame:
-    return rounded(df.select(*K, "symbol", "weight"))
+def w(df: DataFrame, digits: int = 6) -> DataFrame:
+    return rounded(df.select(*K, "symbol", "weight"), digits)
 
 
-def wsql(step: str, *more: str) -> str:
-    return q.build(f"SELECT portfolio_id, date, symbol, round(weight, 6) + 0e0 AS weight FROM {step}", step, *more)
+def wsql(step: str, digits: int = 6) -> str:
+    return q.build(f"SELECT portfolio_id, date, symbol, round(weight, {digits}) + 0e0 AS weight FROM {step}", step)
 
 
 def _universe(s: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,7 @@ add("full_investment", "P7", lambda s, d: w(po.apply_max_weight(raw(s, d, FULL),
 add("minimum_weight", "P8", lambda s, d: w(po.target_weights(scores(s, d), FLOORED)), wsql("w_min"))
 add("target_weights", "P13 U3", lambda s, d: w(po.target_weights(scores(s, d), TOP)), wsql("w_cap"))
 add("rebalance_band", "P9 J6", lambda s, d: w(po.apply_band(held(s, d), before(s, d), BANDED)), wsql("w_band"))
-add("turnover_limit", "P10 J6", lambda s, d: w(po.apply_turnover_limit(held(s, d), before(s, d), LIMITED)), wsql("w_lim"))
+add("turnover_limit", "P10 J6", lambda s, d: w(po.apply_turnover_limit(held(s, d), before(s, d), LIMITED), 9), wsql("w_lim", 9))
 add("turnover", "P11 J6", lambda s, d: rounded(po.turnover(held(s, d), before(s, d))),
     q.build("SELECT portfolio_id, date, round(sum(abs(w_new - w_old)), 6) + 0e0 AS turnover FROM w_both GROUP BY 1, 2", "w_both"))
 

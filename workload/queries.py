@@ -53,7 +53,7 @@ def add(name: str, ids: str, run: Run, sql: str | None = None) -> None:
 
 
 # Averages over 200 rows of four-digit prices end on a half at the sixth digit; they are kept to the eighth.
-FINE = {"sma200": 8, "ma_long": 8, "ratio": 10}
+FINE = {"sma200": 8, "ma_long": 8, "ratio": 10, "slip": 12}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

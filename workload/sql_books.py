@@ -68,8 +68,8 @@ q.step("w_band1", f"""SELECT portfolio_id, date, symbol, score, CASE WHEN s > 0
   FROM (SELECT *, sum(weight) OVER ({BOOK}) AS s FROM w_band0)""", "w_band0")
 q.step("w_band", cap("w_band1", "15e-2"), "w_band1")
 q.step("w_lim0", f"""SELECT *, sum(abs(w_new - w_old)) OVER ({BOOK}) AS t FROM w_both""", "w_both")
-q.step("w_lim1", """SELECT portfolio_id, date, symbol, score, t > 3137e-4 AS hit,
-  CASE WHEN t > 3137e-4 THEN greatest(w_old + (3137e-4 / t) * (w_new - w_old), 0e0) ELSE w_new END AS weight FROM w_lim0""", "w_lim0")
+q.step("w_lim1", """SELECT portfolio_id, date, symbol, score, t > 313701593871e-12 AS hit,
+  CASE WHEN t > 313701593871e-12 THEN greatest(w_old + (313701593871e-12 / t) * (w_new - w_old), 0e0) ELSE w_new END AS weight FROM w_lim0""", "w_lim0")
 q.step("w_lim2", "SELECT * FROM w_lim1 WHERE weight > 0", "w_lim1")
 q.step("w_lim3", cap("w_lim2", "15e-2"), "w_lim2")
 q.step("w_lim", """SELECT a.portfolio_id, a.date, a.symbol, CASE WHEN b.hit THEN a.weight ELSE b.weight END AS weight
