@@ -91,7 +91,9 @@ def _shape(df: DataFrame) -> DataFrame:
     """Bring one read to the bar schema: vendor names, UTC date, doubles with NaN as NULL."""
     named = [c for c in df.columns if c != "symbol"]
     if "date" in named and "timestamp" not in named:
-        df = df.withColumn("timestamp", F.col("date").cast("timestamp"))
+        df = df.withColumnRenamed("date", "timestamp")
+    if "timestamp" in df.columns and df.schema["timestamp"].dataType.typeName() == "long":
+        df = df.withColumn("timestamp", F.timestamp_micros(F.expr("timestamp div 1000")))
     df = normalize_date(standardize(df))
     df = dedupe_last(df, ["symbol", "date"], ["timestamp"])
     values = [clean(c).alias(c) for c in ("open", "high", "low", "close", "volume")]
@@ -102,6 +104,8 @@ def _read_files(spark: SparkSession, path: str, timeframe: str, fmt: str) -> Dat
     name = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)_{timeframe}\.{fmt}", 1)
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*_{timeframe}.{fmt}")
     if fmt == "parquet":
+        # Files from pandas hold nanosecond times, which Spark reads as whole numbers only.
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
         df = reader.option("mergeSchema", "true").parquet(path)
     else:
         df = reader.option("header", "true").csv(path)
