@@ -14,20 +14,9 @@ from barframe.operators import hysteresis as hy
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STATE = T.StructType(
-    [T.StructField("state", T.IntegerType()), T.StructField("days", T.LongType()), T.StructField("since", T.DateType())]
-)
-OUT = T.StructType(
-    [
-        T.StructField("symbol", T.StringType()),
-        T.StructField("date", T.DateType()),
-        T.StructField("label", T.StringType()),
-        T.StructField("confidence", T.DoubleType()),
-        T.StructField("days_in_regime", T.LongType()),
-        T.StructField("raw_label", T.StringType()),
-        T.StructField("raw_confidence", T.DoubleType()),
-        T.StructField("regime_start", T.DateType()),
-    ]
+    [T.StructField("state", T.IntegerType()), T.StructField("days", T.LongType()), T.StructField("since", T.LongType())]
 )
+_OUT = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("at", T.LongType()), *hy._OUT.fields])
 
 
 class LabelProcessor(StatefulProcessor):
@@ -40,15 +29,15 @@ class LabelProcessor(StatefulProcessor):
         self.kept = handle.getValueState("kept", _STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values("date", kind="stable").reset_index(drop=True)
-        state, days, since = self.kept.get() if self.kept.exists() else (hy.NONE, 0, None)
-        res, state, days, since = hy.replay(pdf, self.machine, "date", state, days, since)
-        self.kept.update((int(state), int(days), since))
-        yield pd.concat([pdf[["symbol", "date"]], res], axis=1)
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values("at", kind="stable").reset_index(drop=True)
+        state, days, since = self.kept.get() if self.kept.exists() else (hy.NONE, 0, 0)
+        cols, *end = hy.replay(pdf, self.machine, state, days, since)
+        self.kept.update(tuple(int(x) for x in end))
+        yield pd.DataFrame({"symbol": pdf["symbol"], "at": pdf["at"], **cols})
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         row = initialState.iloc[0]
-        self.kept.update((int(row["state"]), int(row["days"]), row["since"]))
+        self.kept.update((int(row["state"]), int(row["days"]), int(row["since"])))
 
     def close(self) -> None:
         pass
@@ -65,7 +54,7 @@ def last_states(labels: DataFrame, machine: hy.Machine) -> DataFrame:
         "symbol",
         (1 + code * machine.min_duration + days - 1).cast("int").alias("state"),
         F.col("l.days_in_regime").alias("days"),
-        F.col("l.regime_start").alias("since"),
+        F.unix_date("l.regime_start").cast("long").alias("since"),
     )
 
 
@@ -76,10 +65,13 @@ def stream_regime(proposals: DataFrame, machine: hy.Machine, start: DataFrame |
     continues from a batch result. One symbol's state is a single small row.
     """
     proposals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return proposals.groupBy("symbol").transformWithStateInPandas(
+    kind = T.DateType()
+    numbered = proposals.withColumn("at", hy.as_number(kind, F.col("date"))).drop("date")
+    out = numbered.groupBy("symbol").transformWithStateInPandas(
         statefulProcessor=LabelProcessor(machine),
-        outputStructType=OUT,
+        outputStructType=_OUT,
         outputMode="append",
         timeMode="none",
         initialState=start.groupBy("symbol") if start is not None else None,
     )
+    return hy.named(out, machine, kind).withColumn("date", hy.from_number(kind, F.col("at"))).drop("at")
