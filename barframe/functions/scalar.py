@@ -33,6 +33,11 @@ def clip(x: Column | str, lo: float, hi: float) -> Column:
     return F.when(c.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), c)))
 
 
+def bound(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:
+    """:func:`clip` for values known to be present: the expression is written once, so nesting stays cheap."""
+    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x))
+
+
 def winsorize(x: Column | str, lo: float = -3.0, hi: float = 3.0) -> Column:
     return clip(x, lo, hi)
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.config import MODELS, ROUTE_WEIGHTS, AlphaConfig, RouterConfig
+from barframe.config import MARKET_LABELS, MODELS, ROUTE_WEIGHTS, STOCK_LABELS, AlphaConfig, RouterConfig
 from barframe.functions.scalar import clamp01, keep_positive, literal_case, winsorize
 from barframe.operators.cleaning import label_code
 from barframe.operators.xsection import top_n, with_group_stats, xs_rank, zscore_column
@@ -220,31 +220,50 @@ def weighted(scores: DataFrame, market: DataFrame, cfg: AlphaConfig = AlphaConfi
     return d.withColumns({"score": F.col("score") * F.col("ensemble_w"), "raw": F.col("raw") * F.col("ensemble_w")}).drop("_ml")
 
 
+def routing_table(spark: SparkSession, cfg: AlphaConfig = AlphaConfig(), models: tuple[str, ...] = MODELS) -> DataFrame:
+    """Gate and weights of every (market label, stock label): ``w_`` routing, ``ew_`` ensemble weight per model.
+
+    A constant table of twenty rows, so its join is planned as a broadcast from its known size.
+    """
+    pairs = ", ".join(f"('{m}', '{s}')" for m in MARKET_LABELS for s in STOCK_LABELS)
+    d = spark.sql(f"SELECT * FROM VALUES {pairs} AS t(market_label, stock_label)")
+    d = d.withColumn("gate", gate_reason(F.col("market_label"), F.col("stock_label"), cfg.router))
+    cols: dict[str, Column] = {}
+    for m in models:
+        w = route_weight("market_label", "stock_label", m, cfg.router, True)
+        cols[f"w_{m}"] = F.when(F.col("gate").isNull(), w).otherwise(0.0)
+        cols[f"ew_{m}"] = ensemble_weight("market_label", m, cfg, True)
+    return d.withColumns(cols)
+
+
 def combine(d: DataFrame, cfg: AlphaConfig = AlphaConfig(), models: tuple[str, ...] = MODELS) -> DataFrame:
     """Blend and route the side-by-side scores of :func:`score_models` joined with :func:`with_regimes`."""
-    gate = gate_reason(F.col("market_label"), F.col("stock_label"), cfg.router)
-    d = d.withColumn("gate", gate)
-    cols: dict[str, Column] = {}
+    table = routing_table(d.sparkSession, cfg, models)
+    d = d.join(table, ["market_label", "stock_label"], "left")
+    cols = {}
     for m in models:
-        open_ = F.col("gate").isNull()
-        cols[f"w_{m}"] = F.when(open_, route_weight("market_label", "stock_label", m, cfg.router, True)).otherwise(0.0)
-        cols[f"s_{m}"] = F.expr(f"coalesce({m}_z, 0d)") * ensemble_weight("market_label", m, cfg, True)
-        cols[f"g_{m}"] = F.expr(f"coalesce({m}_conf, 0d) * stock_conf")
-    d = d.withColumns(cols)
-    d = d.withColumns({f"contrib_{m}": F.expr(f"greatest(s_{m}, 0d) * w_{m} * g_{m}") for m in models})
+        cols[f"w_{m}"] = f"coalesce(w_{m}, 0d)"
+        cols[f"s_{m}"] = f"coalesce({m}_z, 0d) * coalesce(ew_{m}, 0d)"
+        cols[f"g_{m}"] = f"coalesce({m}_conf, 0d) * stock_conf * coalesce(w_{m}, 0d)"
+    d = d.withColumns({k: F.expr(v) for k, v in cols.items()})
 
     def total(term: str) -> str:
         return "(" + " + ".join(["0d", *(term.format(m=m) for m in models)]) + ")"
 
-    den = total("w_{m}")
-    conf = f"least(1d, greatest(0d, {total('g_{m} * w_{m}')} / {den}))"
+    d = d.withColumns(
+        {
+            **{f"contrib_{m}": F.expr(f"greatest(s_{m}, 0d) * g_{m}") for m in models},
+            "raw": F.expr(total("s_{m} * g_{m}")),
+            "_num": F.expr(total("g_{m}")),
+            "_den": F.expr(total("w_{m}")),
+        }
+    )
     return d.withColumns(
         {
             "combined_score": F.expr(total("contrib_{m}")),
-            "raw": F.expr(total("s_{m} * w_{m} * g_{m}")),
-            "confidence": F.expr(f"case when {den} > 0 then {conf} else 0d end"),
+            "confidence": F.expr("case when _den > 0 then least(1d, greatest(0d, _num / _den)) else 0d end"),
         }
-    ).drop(*[f"{p}_{m}" for p in ("s", "g") for m in models])
+    ).drop("_num", "_den", *[f"{p}_{m}" for p in ("s", "g", "ew") for m in models])
 
 
 def ensemble(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barframe.config import MarketRegimeConfig
-from barframe.functions.scalar import clamp01, clean, safe_div
+from barframe.functions.scalar import bound, clean, safe_div
 from barframe.functions.windows import frame, with_drawdown
 from barframe.operators import hysteresis as hy
 from barframe.plans import segments as sg
@@ -104,42 +104,41 @@ def _stress(cfg: MarketRegimeConfig, z_limit: float, dd_limit: float) -> tuple[C
     hit = F.coalesce(z > z_limit, F.lit(False)) | F.coalesce(dd < dd_limit, F.lit(False))
     vol = F.coalesce((z - z_limit) / cfg.margin_scale, F.lit(0.0))
     fall = F.coalesce((F.lit(dd_limit) - dd) / (abs(dd_limit) * cfg.margin_scale), F.lit(0.0))
-    return hit, clamp01(0.5 + F.greatest(vol, fall) * 0.5)
-
-
-def _trend(cfg: MarketRegimeConfig, above: float, below: float) -> tuple[Column, Column]:
-    """Direction (+1, -1, 0) and confidence when a trend starts above ``above`` or below ``below``."""
-    s, flag = F.col("normalized_slope"), F.col("ma_flag")
-    way = F.when(s > above, 1).when(s < below, -1).otherwise(0)
-    sure = F.coalesce(F.least(F.lit(1.0), 0.5 + F.abs(s) / cfg.margin_scale * 0.5), F.lit(0.5))
-    if not cfg.use_ma_crossover:
-        return way, sure
-    bonus = (
-        F.when(way == flag, cfg.agreement_weight)
-        .when(way == 0, 0.0)
-        .otherwise(-cfg.agreement_weight * 0.5)
-    )
-    crossed = flag != 0
-    return F.when(crossed & (way == 0), flag).otherwise(way), F.when(crossed, clamp01(sure + bonus)).otherwise(sure)
+    return hit, bound(0.5 + F.greatest(vol, fall) * 0.5)
+
+
+def _way(above: float, below: float) -> Column:
+    """Slope direction when a trend starts above ``above`` or below ``below``."""
+    s = F.col("normalized_slope")
+    return F.when(s > above, 1).when(s < below, -1).otherwise(0)
 
 
 def proposals(df: DataFrame, cfg: MarketRegimeConfig) -> DataFrame:
-    """Raw label and confidence for each class of previous label: up, down, neither, stressed."""
-    enter = _stress(cfg, cfg.z_enter, cfg.dd_enter)
-    leave = _stress(cfg, cfg.z_exit, cfg.dd_exit)
-    plain = _trend(cfg, cfg.up_enter, cfg.down_enter)
-    by_class = {
-        UP: (enter, _trend(cfg, cfg.up_exit, cfg.down_enter)),
-        DOWN: (enter, _trend(cfg, cfg.up_enter, cfg.down_exit)),
-        CHOPPY: (enter, plain),
-        STRESSED: (leave, plain),
+    """Raw label and confidence for each class of previous label: up, down, neither, stressed.
+
+    The moving-average cross decides when the slope does not, adds confidence when they agree and takes half
+    of that away when they differ.
+    """
+    enter, leave = _stress(cfg, cfg.z_enter, cfg.dd_enter), _stress(cfg, cfg.z_exit, cfg.dd_exit)
+    sure = 0.5 + F.abs("normalized_slope") / cfg.margin_scale * 0.5
+    shared = {
+        "_hit_in": enter[0], "_cs_in": enter[1], "_hit_out": leave[0], "_cs_out": leave[1],
+        "_way0": _way(cfg.up_exit, cfg.down_enter),
+        "_way1": _way(cfg.up_enter, cfg.down_exit),
+        "_way2": _way(cfg.up_enter, cfg.down_enter),
+        "_sure": F.when(F.col("normalized_slope").isNotNull(), F.least(F.lit(1.0), sure)).otherwise(0.5),
+        "_flag": F.col("ma_flag") if cfg.use_ma_crossover else F.lit(0),
     }
+    plus, minus = cfg.agreement_weight, cfg.agreement_weight * 0.5
     cols: dict[str, Column] = {}
-    for k, ((hit, stress_conf), (way, trend_conf)) in by_class.items():
-        calm = F.when(way > 0, UP).when(way < 0, DOWN).otherwise(CHOPPY)
-        cols[f"raw_{k}"] = F.when(hit, STRESSED).otherwise(calm).cast("int")
-        cols[f"conf_{k}"] = F.when(hit, stress_conf).otherwise(trend_conf)
-    return df.withColumns(cols)
+    for k, (stress, way) in enumerate((("in", "_way0"), ("in", "_way1"), ("in", "_way2"), ("out", "_way2"))):
+        bonus = f"case when _flag = 0 or {way} = 0 then 0d when {way} = _flag then {plus!r}d else -{minus!r}d end"
+        turn = f"case when {way} = 0 then _flag else {way} end"
+        calm = f"case {turn} when 1 then {UP} when -1 then {DOWN} else {CHOPPY} end"
+        cols[f"raw_{k}"] = F.expr(f"case when _hit_{stress} then {STRESSED} else {calm} end")
+        trend = f"least(1d, greatest(0d, _sure + {bonus}))"
+        cols[f"conf_{k}"] = F.expr(f"case when _hit_{stress} then _cs_{stress} else {trend} end")
+    return df.withColumns(shared).withColumns(cols).drop(*shared)
 
 
 def machine(cfg: MarketRegimeConfig) -> hy.Machine:

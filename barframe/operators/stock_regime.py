@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barframe.config import STOCK_LABELS, StockRegimeConfig
-from barframe.functions.scalar import clamp01
+from barframe.functions.scalar import bound
 from barframe.operators import hysteresis as hy
 from barframe.plans import segments as sg
 from barframe.schema import require_columns
@@ -39,55 +39,48 @@ def signals(panel: DataFrame, cfg: StockRegimeConfig = StockRegimeConfig()) -> D
 
 def _stress(z_limit: Column, dd_limit: float) -> tuple[Column, Column]:
     by_vol, by_fall = F.col("vol_z") >= z_limit, F.col("max_dd") <= dd_limit
-    vol = F.when(by_vol, F.greatest(F.lit(0.0), (F.col("vol_z") - z_limit) / 2.0)).otherwise(0.0)
-    fall = F.when(by_fall, F.greatest(F.lit(0.0), (F.lit(dd_limit) - F.col("max_dd")) / abs(dd_limit) / 2.0)).otherwise(0.0)
-    return by_vol | by_fall, clamp01(0.55 + F.greatest(vol, fall) * 0.45)
-
-
-def _trend(cfg: StockRegimeConfig, up_from: float, down_from: float) -> tuple[Column, Column]:
-    """Proposed code (NULL: no trend) and confidence; momentum must share the slope's sign."""
-    s, mom = F.col("normalized_slope"), F.col("mom63")
-    up, down = (s >= up_from) & (mom > 0), (s <= -down_from) & (mom < 0)
-    code = F.when(up, UP).when(down, DOWN)
-    way = F.when(up, 1.0).otherwise(-1.0)
-    base = clamp01(0.5 + (F.abs(s) - cfg.slope_exit) / 3.0)
+    vol = F.when(by_vol, (F.col("vol_z") - z_limit) / 2.0).otherwise(0.0)
+    fall = F.when(by_fall, (F.lit(dd_limit) - F.col("max_dd")) / abs(dd_limit) / 2.0).otherwise(0.0)
+    return by_vol | by_fall, bound(0.55 + F.greatest(vol, fall) * 0.45)
+
+
+def _trend_confidence(cfg: StockRegimeConfig, way: float) -> Column:
+    steep, mom = F.abs("normalized_slope"), F.abs("mom63")
     agree = F.when(F.col("ma_trend") * way > 0, 0.1).otherwise(-0.05)
-    return code, clamp01(base + agree + clamp01(F.abs(mom) * 2.0) * 0.1)
+    base = bound(0.5 + (steep - cfg.slope_exit) / 3.0)
+    damp = F.when(F.col("market_stressed"), cfg.market_stress_penalty).otherwise(1.0)
+    return bound(bound(base + agree + F.least(mom * 2.0, F.lit(1.0)) * 0.1) * damp)
 
 
 def range_confidence(cfg: StockRegimeConfig = StockRegimeConfig()) -> Column:
     """Confidence in a quiet range; 0.45 when the slope is too steep for one."""
     steep = F.abs("normalized_slope")
-    flat = clamp01(1.0 - steep / cfg.range_slope_ceil)
-    calm = clamp01(1.0 - F.col("rv20") / cfg.low_vol_ceil) if cfg.low_vol_ceil > 0 else F.lit(0.5)
-    score = clamp01(0.45 + 0.35 * flat + 0.20 * calm)
-    return F.when((steep <= cfg.range_slope_ceil) & (score > 0), score).otherwise(0.45)
+    flat = bound(1.0 - steep / cfg.range_slope_ceil)
+    calm = bound(1.0 - F.col("rv20") / cfg.low_vol_ceil) if cfg.low_vol_ceil > 0 else F.lit(0.5)
+    return F.when(steep <= cfg.range_slope_ceil, bound(0.45 + 0.35 * flat + 0.20 * calm)).otherwise(0.45)
 
 
 def proposals(df: DataFrame, cfg: StockRegimeConfig) -> DataFrame:
     """Raw label and confidence per class of previous label: up, down, neither, stressed.
 
-    ``df`` has the signals and ``market_stressed``.
+    ``df`` has the signals and ``market_stressed``. A trend needs momentum of the slope's sign.
     """
     shift = F.when(F.col("market_stressed"), cfg.z_enter - cfg.market_stress_z_shift).otherwise(cfg.z_enter)
     enter, leave = _stress(shift, cfg.dd_enter), _stress(F.lit(cfg.z_exit), cfg.dd_exit)
-    hard, soft = cfg.slope_enter, cfg.slope_exit
-    by_class = {
-        0: (enter, _trend(cfg, soft, hard)),
-        1: (enter, _trend(cfg, hard, soft)),
-        2: (enter, _trend(cfg, hard, hard)),
-        3: (leave, _trend(cfg, hard, hard)),
+    s, rising, falling = F.col("normalized_slope"), F.col("mom63") > 0, F.col("mom63") < 0
+    shared = {
+        "_hit_in": enter[0], "_cs_in": enter[1], "_hit_out": leave[0], "_cs_out": leave[1],
+        "_up_hard": (s >= cfg.slope_enter) & rising, "_up_soft": (s >= cfg.slope_exit) & rising,
+        "_down_hard": (s <= -cfg.slope_enter) & falling, "_down_soft": (s <= -cfg.slope_exit) & falling,
+        "_c_up": _trend_confidence(cfg, 1.0), "_c_down": _trend_confidence(cfg, -1.0), "_c_range": range_confidence(cfg),
     }
-    quiet = range_confidence(cfg)
-    damp = F.when(F.col("market_stressed"), cfg.market_stress_penalty).otherwise(1.0)
-    ok = F.col("tradeable")
+    by_class = (("in", "soft", "hard"), ("in", "hard", "soft"), ("in", "hard", "hard"), ("out", "hard", "hard"))
     cols: dict[str, Column] = {}
-    for k, ((hit, stress_conf), (code, trend_conf)) in by_class.items():
-        label = F.when(hit, STRESSED).otherwise(F.coalesce(code, F.lit(RANGE)))
-        conf = F.when(hit, stress_conf).when(code.isNotNull(), clamp01(trend_conf * damp)).otherwise(quiet)
-        cols[f"raw_{k}"] = F.when(ok, label).otherwise(NO_TRADE).cast("int")
-        cols[f"conf_{k}"] = F.when(ok, conf).otherwise(0.0)
-    return df.withColumns(cols).withColumn("skip", F.lit(False))
+    for k, (stress, up, down) in enumerate(by_class):
+        tests = f"when not tradeable then {{0}} when _hit_{stress} then {{1}} when _up_{up} then {{2}} when _down_{down} then {{3}} else {{4}}"
+        cols[f"raw_{k}"] = F.expr(f"case {tests.format(NO_TRADE, STRESSED, UP, DOWN, RANGE)} end")
+        cols[f"conf_{k}"] = F.expr(f"case {tests.format('0d', f'_cs_{stress}', '_c_up', '_c_down', '_c_range')} end")
+    return df.withColumns(shared).withColumns(cols).drop(*shared).withColumn("skip", F.lit(False))
 
 
 def machine(cfg: StockRegimeConfig) -> hy.Machine:

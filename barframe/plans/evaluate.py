@@ -42,12 +42,12 @@ class Evaluation:
     constraints: PortfolioConstraints
 
 
-def market_on(bench: DataFrame, cal: DataFrame, ready, cfg: EvaluationConfig) -> DataFrame:
+def market_on(bench: DataFrame, cal: DataFrame, ready, cfg: EvaluationConfig, n_dates: int) -> DataFrame:
     """Market regime on every trading date from ``ready``; the defaults when there is no benchmark."""
-    feats = mr.market_features(bench, cfg.market)
+    feats = mr.market_features(bench, cfg.market, longest=n_dates)
     seen = mr.asof_features(feats, cal, start=ready)
     live = cal.filter(F.col("date") >= F.lit(ready)).select("date")
-    labels = mr.market_regime(seen, cfg.market).drop("symbol")
+    labels = mr.market_regime(seen, cfg.market, longest=n_dates).drop("symbol")
     d = live.join(labels, "date", "left")
     return d.withColumns(
         {"label": F.coalesce("label", F.lit("calm_range")), "confidence": F.coalesce("confidence", F.lit(0.0))}
@@ -58,13 +58,14 @@ def signals_on(bars: DataFrame, benchmark: str, cfg: EvaluationConfig, universe:
     """Everything up to the ranked scores, as settled tables."""
     traded, bench = split_benchmark(bars, benchmark, universe)
     cal = settle(pn.calendar(traded.unionByName(bench)), "calendar")
-    feats = settle(ft.features(traded, NEEDED, keep=("close",)), "features")
+    n_dates = cal.count()  # a symbol has at most one bar per date, which bounds every per-symbol window
+    feats = settle(ft.features(traded, NEEDED, keep=("close",), longest=n_dates), "features")
     ready = pn.ready_date(feats, cfg.warmup_bars, cfg.readiness_threshold).first()["ready_date"]
     if ready is None:
         raise ValueError("no date has enough bars: the universe never becomes ready")
-    market = settle(market_on(bench, cal, ready, cfg), "market-regime")
+    market = settle(market_on(bench, cal, ready, cfg, n_dates), "market-regime")
     grid = pn.panel(feats, cal, NEEDED, start=ready)
-    stock = settle(sr.stock_regime(grid, market, cfg.stock, carry=ALPHA_INPUTS), "stock-regime")
+    stock = settle(sr.stock_regime(grid, market, cfg.stock, longest=n_dates, carry=ALPHA_INPUTS), "stock-regime")
     wide = stock.withColumnsRenamed({"label": "stock_label", "confidence": "stock_conf"}).join(
         market.select("date", F.col("label").alias("market_label")), "date"
     )

@@ -144,3 +144,51 @@ def close(a, b, tol=1e-9):
     if a is None or b is None or a != a or b != b:
         return (a is None or a != a) and (b is None or b != b)
     return abs(a - b) <= tol * max(1.0, abs(a), abs(b))
+
+
+def market_raw(z, dd, slope, flag, prev, cfg):
+    """(label code, confidence): 0 up, 1 down, 2 choppy, 3 stressed; None marks a missing value."""
+    zl, dl = (cfg.z_exit, cfg.dd_exit) if prev == 3 else (cfg.z_enter, cfg.dd_enter)
+    if (z is not None and z > zl) or (dd is not None and dd < dl):
+        by_vol = (z - zl) / cfg.margin_scale if z is not None else 0.0
+        by_fall = (dl - dd) / (abs(dl) * cfg.margin_scale) if dd is not None else 0.0
+        return 3, min(1.0, max(0.0, 0.5 + 0.5 * max(by_vol, by_fall)))
+    way, sure = 0, 0.5
+    if slope is not None:
+        up, down = (cfg.up_exit if prev == 0 else cfg.up_enter), (cfg.down_exit if prev == 1 else cfg.down_enter)
+        way = 1 if slope > up else -1 if slope < down else 0
+        sure = min(1.0, 0.5 + abs(slope) / cfg.margin_scale * 0.5)
+    if flag:
+        if way == 0:
+            way = flag
+        else:
+            sure += cfg.agreement_weight if way == flag else -cfg.agreement_weight / 2
+        sure = min(1.0, max(0.0, sure))
+    return {1: 0, -1: 1, 0: 2}[way], sure
+
+
+def stock_raw(f, stressed, prev, cfg):
+    """(label code, confidence): 0 up, 1 down, 2 range, 3 stressed, 4 no trade."""
+    unit = lambda x: min(1.0, max(0.0, x))
+    s, rv = f["normalized_slope"], f["rv20"]
+    if s is None or rv is None:
+        return 4, 0.0
+    z, dd, mom = f["rv20_z"] or 0.0, f["max_dd_90"] or 0.0, f["mom63"] or 0.0
+    gap = f["trend_gap"]
+    ma = 0 if gap is None else 1 if gap > 0 else -1
+    if prev == 3:
+        zl, dl = cfg.z_exit, cfg.dd_exit
+    else:
+        zl, dl = cfg.z_enter - (cfg.market_stress_z_shift if stressed else 0), cfg.dd_enter
+    if z >= zl or dd <= dl:
+        margin = max((z - zl) / 2 if z >= zl else 0, (dl - dd) / abs(dl) / 2 if dd <= dl else 0)
+        return 3, unit(0.55 + 0.45 * margin)
+    up = s >= (cfg.slope_exit if prev == 0 else cfg.slope_enter) and mom > 0
+    down = s <= -(cfg.slope_exit if prev == 1 else cfg.slope_enter) and mom < 0
+    if up or down:
+        agree = 0.1 if ma * (1 if up else -1) > 0 else -0.05
+        conf = unit(unit(0.5 + (abs(s) - cfg.slope_exit) / 3) + agree + 0.1 * unit(2 * abs(mom)))
+        return (0 if up else 1), unit(conf * (cfg.market_stress_penalty if stressed else 1))
+    if abs(s) <= cfg.range_slope_ceil:
+        return 2, unit(0.45 + 0.35 * unit(1 - abs(s) / cfg.range_slope_ceil) + 0.2 * unit(1 - rv / cfg.low_vol_ceil))
+    return 2, 0.45

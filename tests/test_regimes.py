@@ -118,3 +118,76 @@ def test_config_validation():
         StockRegimeConfig(min_duration=0)
     with pytest.raises(ValueError):
         MarketRegimeConfig(vol_lookback=100)
+
+
+def _maybe(rng, lo, hi, share=0.15):
+    return None if rng.random() < share else rng.uniform(lo, hi)
+
+
+@pytest.mark.parametrize("cfg", [MarketRegimeConfig(), MarketRegimeConfig.sensitive(), MarketRegimeConfig(use_ma_crossover=False)])
+def test_market_proposals_equal_plain_rule(spark, cfg):
+    rng = random.Random(12)
+    rows = [(i, _maybe(rng, -2, 3), _maybe(rng, -0.2, 0), _maybe(rng, -1, 1), rng.choice([-1, 0, 1])) for i in range(600)]
+    df = spark.createDataFrame(rows, "i int, z_vol double, max_dd double, normalized_slope double, ma_flag int")
+    for r in mr.proposals(df, cfg).collect():
+        for prev in range(4):
+            flag = r["ma_flag"] if cfg.use_ma_crossover else 0
+            label, conf = plain.market_raw(r["z_vol"], r["max_dd"], r["normalized_slope"], flag, prev, cfg)
+            assert r[f"raw_{prev}"] == label and plain.close(r[f"conf_{prev}"], conf, 1e-12), (r, prev)
+
+
+def test_stock_proposals_equal_plain_rule(spark):
+    cfg, rng = StockRegimeConfig(), random.Random(13)
+    names = ["normalized_slope", "rv20", "rv20_z", "max_dd_90", "mom63", "trend_gap"]
+    rows = [(f"S{i}", *[_maybe(rng, *b) for b in ((-1, 1), (0, 0.5), (-2, 3), (-0.4, 0), (-0.5, 0.5), (-0.2, 0.2))], rng.random() < 0.5) for i in range(800)]
+    df = spark.createDataFrame(rows, "symbol string, " + ", ".join(f"{n} double" for n in names) + ", market_stressed boolean")
+    got = {r["symbol"]: r for r in sr.proposals(sr.signals(df, cfg), cfg).collect()}
+    for symbol, *values, stressed in rows:
+        for k, prev in ((0, 0), (1, 1), (2, 2), (3, 3), (2, 4)):
+            label, conf = plain.stock_raw(dict(zip(names, values)), stressed, prev, cfg)
+            r = got[symbol]
+            assert r[f"raw_{k}"] == label and plain.close(r[f"conf_{k}"], conf, 1e-12), (r, prev)
+
+
+def _market_history(closes, cfg):
+    """Live states of one benchmark, each date computed from its own history."""
+    import math
+    import statistics as st
+
+    out, prev_rv = [], []
+    for i, c in enumerate(closes):
+        n = i + 1
+        lr = [math.log(b / a) for a, b in zip(closes[max(0, n - 21) : n], closes[max(0, n - 21) + 1 : n])]
+        rv = st.stdev(lr) * cfg.annualization if len(lr) == 20 else None
+        prev_rv.append(rv)
+        known = [x for x in prev_rv[-cfg.vol_lookback :] if x is not None]
+        z = None
+        if rv is not None and len(known) >= cfg.vol_lookback_min and st.stdev(known) > 0:
+            z = (rv - st.fmean(known)) / st.stdev(known)
+        dd = plain.drawdown(closes[n - 90 : n]) if n >= 90 else None
+        slope = None
+        if n >= 50:
+            lc = [math.log(x) for x in closes[n - 50 : n]]
+            slope = plain.slope(lc) / st.stdev([b - a for a, b in zip(lc, lc[1:])])
+        ms, ml = (st.fmean(closes[n - k : n]) if n >= k else None for k in (cfg.ma_short, cfg.ma_long))
+        flag = 0 if ms is None or ml is None or ms == ml else 1 if ms > ml else -1
+        out.append((z, dd, slope, flag))
+    return out
+
+
+def test_live_regime_equals_plain_history(spark):
+    cfg = MarketRegimeConfig()
+    closes = plain.walk(330, 21, 0.001, 0.01) + plain.walk(60, 5, -0.008, 0.03, 120.0) + plain.walk(80, 6, 0.002, 0.01, 80.0)
+    dates = plain.days(len(closes), dt.date(2019, 1, 1))
+    rows = []
+    for i, (d, f) in enumerate(zip(dates, _market_history(closes, cfg))):
+        props = [plain.market_raw(*f, prev, cfg) for prev in range(4)]
+        rows.append((d, [p[0] for p in props], [p[1] for p in props], i + 1 < cfg.min_live_bars))
+    want = plain.hysteresis(rows, cfg.confidence_gate, cfg.min_duration, (0, 1, 2, 3), 2)
+    got = mr.market_regime(mr.market_features(bars(spark, closes), cfg), cfg).orderBy("date").collect()
+    names = ("calm_trend", "calm_trend", "calm_range", "stress")
+    for r, (label, conf, n, since) in zip(got, want):
+        assert r["label"] == ("calm_range" if label is None else names[label])
+        assert plain.close(r["confidence"], conf or 0.0, 1e-9)
+        if label is not None:
+            assert (r["scores"]["days_in_regime"], r["scores"]["regime_start_date"]) == (n, since)

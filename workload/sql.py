@@ -170,7 +170,7 @@ def _m_stress(z: str, dd: str, add: str) -> tuple[str, str]:
 
 def _m_trend(up: str, down: str) -> tuple[str, str]:
     way = f"(CASE WHEN normalized_slope > {up} THEN 1 WHEN normalized_slope < {down} THEN -1 ELSE 0 END)"
-    sure = "coalesce(least(1e0, 5e-1 + abs(normalized_slope) / 2e0 * 5e-1), 5e-1)"
+    sure = "(CASE WHEN normalized_slope IS NOT NULL THEN least(1e0, 5e-1 + abs(normalized_slope) / 2e0 * 5e-1) ELSE 5e-1 END)"
     bonus = f"(CASE WHEN {way} = ma_flag THEN 3e-1 WHEN {way} = 0 THEN 0e0 ELSE -15e-2 END)"
     return (
         f"(CASE WHEN ma_flag <> 0 AND {way} = 0 THEN ma_flag ELSE {way} END)",
