@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barframe.plans.settle import settle
+
 SEGMENT_ROWS = 65_536
 
 
@@ -38,14 +40,24 @@ def running_sum(
     order: str | list[str],
     value: Column,
     out: str,
-    bucket: Column | None = None,
+    rows: int = SEGMENT_ROWS * 16,
+    largest: int | None = None,
 ) -> DataFrame:
-    """Cumulative ``sum(value)`` per key as bucket totals (pre-aggregated) plus a sum inside the bucket.
+    """Cumulative ``sum(value)`` per key: totals of earlier buckets (pre-aggregated) plus a sum inside the bucket.
 
-    ``bucket`` must not decrease along ``order``. ``order`` must be unique inside a key.
+    Buckets are years or days while the fullest one is measured to hold at most ``rows`` rows. Otherwise the
+    rows are range-partitioned by (key, order) into even parts and settled, so a part's number is plain data
+    that every later stage and every retry agrees on. ``order`` must be unique inside a key.
     """
     by, order = as_list(by), as_list(order)
-    d = df.withColumn("_rs_b", bucket if bucket is not None else time_bucket(df, order[0])).withColumn("_rs_v", value)
+    d = df.withColumn("_rs_b", time_bucket(df, order[0]))
+    if largest is None:
+        largest = longest_key(d, [*by, "_rs_b"])
+    if largest > rows:
+        parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranged = df.repartitionByRange(parts, *by, *order)
+        d = settle(ranged.withColumn("_rs_b", F.spark_partition_id()), "ranged")
+    d = d.withColumn("_rs_v", value)
     totals = d.groupBy(*by, "_rs_b").agg(F.sum("_rs_v").alias("_rs_t"))
     before = Window.partitionBy(*by).orderBy("_rs_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_rs_b", F.coalesce(F.sum("_rs_t").over(before), F.lit(0)).alias("_rs_o"))
@@ -58,9 +70,13 @@ def running_sum(
 
 
 def numbered(df: DataFrame, by: str | list[str], order: str, out: str = "n", flag: Column | None = None) -> DataFrame:
-    """1-based position per key, counting only the rows where ``flag`` holds when it is given."""
+    """1-based position per key, counting only the rows where ``flag`` holds when it is given.
+
+    Rows are unique per (key, order), so a year of dates is small and needs no measuring.
+    """
     one = F.lit(1).cast("long") if flag is None else F.when(flag, 1).otherwise(0).cast("long")
-    return running_sum(df, by, order, one, out)
+    bounded = 366 if isinstance(df.schema[order].dataType, T.DateType) else None
+    return running_sum(df, by, order, one, out, largest=bounded)
 
 
 def longest_key(df: DataFrame, by: str | list[str]) -> int:

@@ -100,10 +100,11 @@ def test_custom_feature_really_computes(spark):
     assert out.orderBy("n").collect()[5]["mom2"] == pytest.approx(closes[5] / closes[3] - 1)
 
 
-def test_numbered_and_running_sum(spark):
+@pytest.mark.parametrize("rows", [1_000_000, 10])
+def test_numbered_and_running_sum(spark, rows):
     data = [(k, plain.days(1, dt.date(1999, 12, 20) + dt.timedelta(days=9 * i))[0], float(i % 5)) for k in "AB" for i in range(200)]
     df = spark.createDataFrame(data, "symbol string, date date, x double")
-    got = sg.running_sum(sg.numbered(df, "symbol", "date"), "symbol", "date", F.col("x"), "s").collect()
+    got = sg.running_sum(sg.numbered(df, "symbol", "date"), "symbol", "date", F.col("x"), "s", rows=rows).collect()
     for name in "AB":
         mine = sorted((r for r in got if r["symbol"] == name), key=lambda r: r["date"])
         assert [r["n"] for r in mine] == list(range(1, 201))
