@@ -26,6 +26,22 @@ from barframe.sources.universe import split_benchmark
 ALPHA_INPUTS = ("mom63", "dev20", "rv20_z", "rv60", "rv20")
 NEEDED = sorted({*ALPHA_INPUTS, *sr.INPUTS, "ret1"})
 Overlay = Callable[[DataFrame], DataFrame]
+Detector = Callable[[DataFrame, DataFrame], DataFrame]
+Constructor = Callable[[DataFrame, PortfolioConstraints], DataFrame]
+
+
+@dataclass(frozen=True)
+class Parts:
+    """Replaceable parts of the strategy; each is a function over DataFrames.
+
+    ``detector(panel, market)`` gives ``symbol, date, label, confidence``. ``models`` are further alpha models
+    (see :func:`alpha.run_models`), blended only if the ensemble weights list them.
+    ``constructor(scores, constraints)`` gives ``portfolio_id, date, symbol, weight``.
+    """
+
+    detector: Detector | None = None
+    models: dict[str, al.AlphaModel] | None = None
+    constructor: Constructor | None = None
 
 
 @dataclass(frozen=True)
@@ -54,7 +70,27 @@ def market_on(bench: DataFrame, cal: DataFrame, ready, cfg: EvaluationConfig, n_
     )
 
 
-def signals_on(bars: DataFrame, benchmark: str, cfg: EvaluationConfig, universe: DataFrame | None):
+def scores_of(grid: DataFrame, market: DataFrame, cfg: EvaluationConfig, parts: Parts, n_dates: int, n_symbols: int):
+    """(stock regimes, ranked scores) of the panel ``grid``."""
+    if parts.detector is None:
+        stock = settle(sr.stock_regime(grid, market, cfg.stock, longest=n_dates, carry=ALPHA_INPUTS), "stock-regime")
+        wide = stock.withColumnsRenamed({"label": "stock_label", "confidence": "stock_conf"}).join(
+            market.select("date", F.col("label").alias("market_label")), "date"
+        )
+    else:
+        grid = settle(grid, "panel")
+        stock = settle(parts.detector(grid, market), "stock-regime")
+        wide = al.with_regimes(grid.select("symbol", "date", *ALPHA_INPUTS), market, stock)
+    if parts.models:
+        wide = settle(wide, "panel")
+        long = al.weighted(al.run_models(wide, parts.models), market, cfg.alpha)
+        routed = al.route(long, market, stock, cfg.alpha.router).withColumnRenamed("score", "combined_score")
+        return stock, al.finish(routed, cfg.alpha, largest=n_symbols)
+    routed = al.combine(al.score_models(wide), cfg.alpha)
+    return stock, al.finish(routed, cfg.alpha, keep_parts=True, largest=n_symbols)
+
+
+def signals_on(bars: DataFrame, benchmark: str, cfg: EvaluationConfig, universe: DataFrame | None, parts: Parts):
     """Everything up to the ranked scores, as settled tables."""
     traded, bench = split_benchmark(bars, benchmark, universe)
     cal = settle(pn.calendar(traded.unionByName(bench)), "calendar")
@@ -65,14 +101,9 @@ def signals_on(bars: DataFrame, benchmark: str, cfg: EvaluationConfig, universe:
         raise ValueError("no date has enough bars: the universe never becomes ready")
     market = settle(market_on(bench, cal, ready, cfg, n_dates), "market-regime")
     grid = pn.panel(feats, cal, NEEDED, start=ready)
-    stock = settle(sr.stock_regime(grid, market, cfg.stock, longest=n_dates, carry=ALPHA_INPUTS), "stock-regime")
-    wide = stock.withColumnsRenamed({"label": "stock_label", "confidence": "stock_conf"}).join(
-        market.select("date", F.col("label").alias("market_label")), "date"
-    )
     n_symbols = feats.filter(F.col("n") == 1).count()
-    routed = al.combine(al.score_models(wide), cfg.alpha)
-    scores = settle(al.finish(routed, cfg.alpha, keep_parts=True, largest=n_symbols), "alpha")
-    return cal, feats, ready, market, stock, scores, n_symbols
+    stock, scores = scores_of(grid, market, cfg, parts, n_dates, n_symbols)
+    return cal, feats, ready, market, stock, settle(scores, "alpha"), n_symbols
 
 
 def evaluate(
@@ -82,13 +113,15 @@ def evaluate(
     universe: DataFrame | None = None,
     portfolios: dict[str, PortfolioConstraints] | None = None,
     overlay: Overlay | None = None,
+    parts: Parts = Parts(),
 ) -> Evaluation:
     """Evaluate the regime-routed long-only strategy on ``bars`` (symbol, date, close, volume).
 
     ``portfolios`` evaluates several settings side by side. ``overlay`` adjusts target weights before the
-    final long-only clip. Weights of a date use closes up to that date and earn from the next one.
+    final long-only clip. ``parts`` swaps the detector, adds models or replaces the constructor. Weights of
+    a date use closes up to that date and earn from the next one.
     """
-    cal, feats, ready, market, stock, scores, n_symbols = signals_on(bars, benchmark, cfg, universe)
+    cal, feats, ready, market, stock, scores, n_symbols = signals_on(bars, benchmark, cfg, universe, parts)
     if portfolios is None:
         cons = cfg.constraints
         if cons is None:
@@ -100,7 +133,8 @@ def evaluate(
     for name, cons in portfolios.items():
         own = scores.select(F.lit(name).alias("portfolio_id"), "date", "symbol", "score")
         dates = days.select(F.lit(name).alias("portfolio_id"), "date")
-        w = po.target_weights(own, cons).select("portfolio_id", "date", "symbol", "weight")
+        build = parts.constructor or po.target_weights
+        w = build(own, cons).select("portfolio_id", "date", "symbol", "weight")
         if cons.path_dependent:
             w = po.rebalance_path(w, dates, cons)
         if overlay is not None:

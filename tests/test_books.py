@@ -290,3 +290,28 @@ def test_short_series_stats(spark):
     days = spark.createDataFrame([("p", D)], "portfolio_id string, date date")
     got = pf.perf_stats(nav, empty, days).first()
     assert got["total_return"] == 0.0 and got["n_trading_days"] == 1 and got["sharpe_ratio"] is None
+
+
+def test_parts_can_be_replaced(run):
+    from barframe.plans.evaluate import Parts
+
+    _, df, _ = run
+
+    def detector(panel, market):
+        label = F.when(F.col("symbol") == "AAPL", "trending_down").otherwise("trending_up")
+        return panel.select("symbol", "date", label.alias("label"), F.lit(1.0).alias("confidence"))
+
+    def five_day(panel):
+        z = F.coalesce(F.col("dev20"), F.lit(0.0))
+        return panel.select("date", "symbol", z.alias("score"), z.alias("raw"), F.lit(1.0).alias("confidence"))
+
+    def equal(scores, cons):
+        n = F.count(F.lit(1)).over(__import__("pyspark").sql.Window.partitionBy("portfolio_id", "date"))
+        return scores.filter("score > 0").withColumn("weight", 1.0 / n)
+
+    weights = {k: {**v, "mine": 0.5} for k, v in AlphaConfig().ensemble_weights.items()}
+    cfg = EvaluationConfig(alpha=AlphaConfig(ensemble_weights=weights, gate_after_rank=True))
+    ev = evaluate(df, "SPY", cfg, parts=Parts(detector, {"mine": five_day}, equal))
+    rows = ev.weights.collect()
+    assert rows and "AAPL" not in {r["symbol"] for r in rows}
+    assert {r["s"] for r in ev.weights.groupBy("date").agg(F.round(F.sum("weight"), 9).alias("s")).collect()} == {1.0}

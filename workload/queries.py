@@ -287,6 +287,19 @@ def _feature_table(df: DataFrame) -> DataFrame:
 
 add("feature_table", "F1-F15", lambda s, d: _feature_table(ft.features(B(s, d))), _FEATS_SQL)
 add("feature_table_in_segments", "F1-F15", lambda s, d: _feature_table(ft.features(B(s, d), rows=400)), _FEATS_SQL)
+
+
+def _custom(s: SparkSession, d: str) -> DataFrame:
+    """A catalogue extended by a user's own features."""
+    cat = ft.default_catalogue()
+    cat.add(ft.FeatureSpec("mom10", 10, ("close",), lambda w: F.col("close") / F.lag("close", 10).over(w) - 1))
+    cat.add(ft.FeatureSpec("range5", 5, ("high", "low"), lambda w: F.max("high").over(w.rowsBetween(-4, 0)) - F.min("low").over(w.rowsBetween(-4, 0))))
+    return rounded(ft.features(B(s, d), ["mom10", "range5", "mom21"], catalogue=cat).select("symbol", "date", "mom10", "range5", "mom21"))
+
+
+add("custom_features", "U5 F16", _custom,
+    q.build("""SELECT symbol, date, round(close / lag(close, 10) OVER w - 1, 6) + 0e0 AS mom10, round(max(high) OVER (w ROWS 4 PRECEDING) - min(low) OVER (w ROWS 4 PRECEDING), 6) AS range5,
+      round(close / lag(close, 21) OVER w - 1, 6) + 0e0 AS mom21 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)""", "bars"))
 add("trading_calendar", "J1", lambda s, d: pn.calendar(inp.all_bars(s, d)), q.build("SELECT * FROM cal", "cal"))
 _P3 = ["mom63", "rv20_z", "normalized_slope"]
 add("panel", "J2 F18", lambda s, d: rounded(inp.panel(s, d, _P3)),
@@ -363,7 +376,9 @@ def _market_presets(s: SparkSession, d: str) -> DataFrame:
     return rounded(out)
 
 
-add("market_regime_presets", "E7 E10", _market_presets)
+add("market_regime_presets", "E7 E10", _market_presets,
+    q.build(" UNION ALL ".join(f"""SELECT '{p}' AS preset, m.date, {q.M_LABEL.format(c='s.label')} AS label, round(s.conf, 6) + 0e0 AS confidence
+      FROM mfeats m LEFT JOIN mstate_{p} s ON s.date = m.date""" for p in ("conservative", "sensitive")), "mfeats", "mstate_conservative", "mstate_sensitive"))
 
 # --- stock regime ------------------------------------------------------------------------------------------
 _SIG = ["normalized_slope", "daily_vol", "vol_z", "max_dd", "mom63", "ma_trend", "rv20"]

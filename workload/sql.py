@@ -178,8 +178,8 @@ def _m_trend(up: str, down: str) -> tuple[str, str]:
     )
 
 
-def _m_raw() -> str:
-    enter, leave = _m_stress("1.5e0", "-1e-1", "1e-1"), _m_stress("1e0", "-7e-2", "7e-2")
+def _m_raw(z_in: str = "1.5e0", dd_in: str = "1e-1", z_out: str = "1e0", dd_out: str = "7e-2") -> str:
+    enter, leave = _m_stress(z_in, f"-{dd_in}", dd_in), _m_stress(z_out, f"-{dd_out}", dd_out)
     plain = _m_trend("5e-1", "-5e-1")
     classes = [(enter, _m_trend("2e-1", "-5e-1")), (enter, _m_trend("5e-1", "-2e-1")), (enter, plain), (leave, plain)]
     cols = []
@@ -218,6 +218,13 @@ def fold(sig: str, start: int, classes: dict[int, int], gate: str, least_days: i
 
 
 _MC = {0: 0, 1: 1, 2: 2, 3: 3}
+_BATCH = "n >= 272 AND z_vol IS NOT NULL AND max_dd IS NOT NULL AND normalized_slope IS NOT NULL"
+for _preset, _levels, _gate, _least in (
+    ("conservative", ("2e0", "12e-2", "12e-1", "8e-2"), "7e-1", 10),
+    ("sensitive", ("12e-1", "8e-2", "8e-1", "5e-2"), "5e-1", 5),
+):
+    step(f"msig_{_preset}", f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, {_m_raw(*_levels)} FROM mfeats WHERE {_BATCH}", "mfeats")
+    step(f"mstate_{_preset}", fold(f"msig_{_preset}", 2, _MC, _gate, _least, None), f"msig_{_preset}")
 step("mstate_live", fold("msig_live", 2, _MC, "6e-1", 7, None), "msig_live")
 step("mstate_batch", fold("msig_batch", 2, _MC, "6e-1", 7, None), "msig_batch")
 step(
