@@ -5,6 +5,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barframe.config import AlphaConfig, EvaluationConfig, PortfolioConstraints, RouterConfig
@@ -306,7 +307,7 @@ def test_parts_can_be_replaced(run):
         return panel.select("date", "symbol", z.alias("score"), z.alias("raw"), F.lit(1.0).alias("confidence"))
 
     def equal(scores, cons):
-        n = F.count(F.lit(1)).over(__import__("pyspark").sql.Window.partitionBy("portfolio_id", "date"))
+        n = F.count(F.lit(1)).over(Window.partitionBy("portfolio_id", "date"))
         return scores.filter("score > 0").withColumn("weight", 1.0 / n)
 
     weights = {k: {**v, "mine": 0.5} for k, v in AlphaConfig().ensemble_weights.items()}

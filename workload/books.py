@@ -11,11 +11,10 @@ from barframe.operators import alpha as al
 from barframe.operators import performance as pf
 from barframe.operators import portfolio as po
 from barframe.plans.evaluate import Evaluation, evaluate
-from barframe.plans.settle import settle
 from workload import inputs as inp
 from workload import sql as q
 from workload import sql_books as qb  # noqa: F401  (adds the SQL steps)
-from workload.queries import add, longs, r, rounded
+from workload.queries import add, longs, rounded
 
 TOP = PortfolioConstraints(max_positions=10, min_positions=5, max_weight=0.15)
 QUANTILE = PortfolioConstraints(max_positions=8, min_positions=5, max_weight=0.12, selection_mode="top_quantile", top_quantile=0.4)

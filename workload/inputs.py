@@ -9,14 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barframe import demo
-from barframe.config import MarketRegimeConfig, StockRegimeConfig
+from barframe.config import STOCK_LABELS, MarketRegimeConfig, StockRegimeConfig
 from barframe.operators import features as ft
 from barframe.operators import market_regime as mr
 from barframe.operators import panel as pn
 from barframe.operators import stock_regime as sr
 from barframe.plans.settle import settle
 
-TODAY = "2001-12-31"
 READY = "1997-06-02"  # date from which the registered panel queries look at the cross-section
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 _lock = threading.RLock()
@@ -84,8 +83,6 @@ def stock_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         d = sr.signals(feats(spark, sf_dir)).withColumn("market_stressed", F.lit(False))
         d = sr.proposals(d, StockRegimeConfig())
-        from barframe.config import STOCK_LABELS
-
         label = F.element_at(F.array(*[F.lit(x) for x in STOCK_LABELS]), F.col("raw_2") + 1)
         return d.select("symbol", "date", label.alias("label"), F.col("conf_2").alias("confidence"))
 

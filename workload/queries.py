@@ -9,24 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barframe import demo
-from barframe.config import (
-    AlphaConfig, CommissionConfig, EvaluationConfig, FillConfig, MarketRegimeConfig, PortfolioConstraints,
-    RiskLimits, RouterConfig, SlippageConfig, StockRegimeConfig,
-)
+from barframe.config import AlphaConfig, MarketRegimeConfig
 from barframe.functions import scalar as sc
 from barframe.functions import windows as wf
 from barframe.operators import alpha as al
 from barframe.operators import cleaning as cl
 from barframe.operators import features as ft
-from barframe.operators import inventory as iv
 from barframe.operators import market_regime as mr
-from barframe.operators import orders as od
 from barframe.operators import panel as pn
-from barframe.operators import performance as pf
-from barframe.operators import portfolio as po
 from barframe.operators import stock_regime as sr
 from barframe.operators import xsection as xs
-from barframe.plans.evaluate import evaluate
 from barframe.plans.settle import new_path
 from barframe.sources import bars as sb
 from barframe.sources import resample as rs
