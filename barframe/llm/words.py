@@ -80,6 +80,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # of row i: first[i] .. first[i + 1]
+    prefix: tuple[np.ndarray, ...] = ()  # hashes of the first bytes, for each wanted length
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -131,7 +132,7 @@ def groups(offsets: np.ndarray, limit: int = GROUP) -> Iterator[tuple[int, int]]
         lo = min(hi, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, plain: bool, lower: bool, hashes: bool = True) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, plain: bool, lower: bool, prefixes: tuple[int, ...] = ()) -> Words:
     """Words of consecutive rows. ``data`` is the column's buffer, ``offsets`` the rows' bounds in it."""
     to, inside = byte_rule(plain, lower)
     lo, hi = int(offsets[0]), int(offsets[-1])
@@ -139,12 +140,11 @@ def words(data: np.ndarray, offsets: np.ndarray, plain: bool, lower: bool, hashe
     n = len(own)
     breaks = np.zeros(n + 1, dtype=bool)
     breaks[offsets - lo] = True
-    if hashes:
-        store = worker_store()
-        if "bytes" not in store:
-            store["bytes"] = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        value = store["bytes"]
-    starts, ends, found = [], [], []
+    store = worker_store()
+    if "bytes" not in store:
+        store["bytes"] = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    value = store["bytes"]
+    starts, ends, found, heads = [], [], [], [[] for _ in prefixes]
     at = 0
     while at < n:
         to_ = min(at + PIECE, n)
@@ -167,25 +167,28 @@ def words(data: np.ndarray, offsets: np.ndarray, plain: bool, lower: bool, hashe
         e = np.flatnonzero(m & ~after) + 1
         starts.append(s + at)
         ends.append(e + at)
-        if hashes:
-            power, inverse = _powers(len(piece) + 1)
-            v = value[piece]
-            v *= power[: len(piece)]
-            c = np.empty(len(piece) + 1, dtype=np.uint64)
-            c[0] = 0
-            np.cumsum(v, out=c[1:])
-            found.append(mix((c[e] - c[s]) * inverse[s]))
+        power, inverse = _powers(len(piece) + 1)
+        v = value[piece]
+        v *= power[: len(piece)]
+        c = np.empty(len(piece) + 1, dtype=np.uint64)
+        c[0] = 0
+        np.cumsum(v, out=c[1:])
+        base, back = c[s], inverse[s]
+        found.append(mix((c[e] - base) * back))
+        for k, own_heads in zip(prefixes, heads, strict=True):
+            own_heads.append(mix((c[np.minimum(s + k, e)] - base) * back + np.uint64(k)))
         at = to_
     join = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
     s, e = join(starts, np.int64), join(ends, np.int64)
-    return Words(own, s, e, join(found, np.uint64), np.searchsorted(s, offsets - lo, "left").astype(np.int64))
+    first = np.searchsorted(s, offsets - lo, "left").astype(np.int64)
+    return Words(own, s, e, join(found, np.uint64), first, tuple(join(x, np.uint64) for x in heads))
 
 
-def batch_words(texts: pa.Array, plain: bool, lower: bool, limit: int = GROUP) -> Iterator[tuple[int, int, Words]]:
+def batch_words(texts: pa.Array, plain: bool, lower: bool, limit: int = GROUP, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, int, Words]]:
     """Row ranges of a batch with their words."""
     data, offsets = buffers(texts)
     for lo, hi in groups(offsets, limit):
-        yield lo, hi, words(data, offsets[lo : hi + 1], plain, lower)
+        yield lo, hi, words(data, offsets[lo : hi + 1], plain, lower, prefixes)
 
 
 def runs(lengths: np.ndarray) -> np.ndarray:
