@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import benchmarks, jaccard, mixing, tokenfile, toxicity
+from barframe.llm import benchmarks, jaccard, mixing, rules, tokenfile, toxicity
 from barframe.llm import words as wd
 
 
@@ -92,3 +92,25 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", "n_toxic_words", "spans")
+
+
+@query("op5_quality_rules", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_SPACED_WORDS} AS w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p + 1 : p + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS p FROM d WHERE len(w) > 2)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + 3)) AS x FROM r) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d)
+      WHERE regexp_matches(l, '{wd.SPACED}') GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(length(t) - length(translate(t, '{rules.SYMBOLS}', '')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,
+             coalesce(c.n, 0) AS n_repeat_words, length(t) - length(translate(t, '!', '')) AS ex,
+             length(t) - length(translate(t, '{wd.UPPER}', '')) AS up, coalesce(n_lines, 0) AS n_lines
+      FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 15 * n_words OR 100 * ex > 30 * n_words OR 100 * up > 50 * word_chars OR 100 * n_dup_lines > 40 * n_lines) AS kept
+FROM b""")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.cascade(table(spark, sf_dir, "documents"), all_measures=True)
+    base = F.expr(" or ".join(f"({r.fails})" for r in rules.BASE))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
