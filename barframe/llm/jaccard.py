@@ -10,11 +10,12 @@ shingle in the short prefixes of that order, so only prefixes are indexed. Equal
   a set that is similar to a leader joins its family (families follow leaders up to a root). Each family is compared with
   its root and with the member nearest to the root. Sets linked to the same one are in one component, and pairs inside
   a component need no comparison. Only what these answers leave open is compared pair by pair: inside a family in
-  blocks of ``chunk`` sets (a block pair is one row group, so a large family spreads over many tasks), between families
+  blocks of ``chunk`` sets (a block pair is one group, so a large family spreads over many tasks), between families
   through the lists.
 
-Every pair that could link is thus compared, or known to be connected. Set contents are read once more from the texts,
-for the sets that share a list with another only.
+Parity signatures of 512 bits rule out most pairs exactly (they never differ in more bits than the sets in elements); the
+rest is decided on whole sets, which are read again from the texts for those pairs only. So every pair that could link is
+compared, or known to be connected.
 
 Defined cases: a null text or a text without words has an empty set, is linked with nothing and is its own component;
 repeated rows are linked by their equal sets; rows with a null doc_id take part, and the smallest id that is not null
@@ -37,7 +38,8 @@ from barframe.plans.settle import settle
 SHINGLE = 4
 PERCENT = 85
 SKETCH_BITS = 18
-CHUNK = 192
+CHUNK = 1024
+BITS = 512
 FAMILY_PERCENT = 50
 
 
@@ -68,22 +70,51 @@ def needed(na, nb, percent: int):
     return F.ceil((na + nb) * F.lit(percent) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
-def _sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """Number of documents for each of 2^SKETCH_BITS buckets of shingles: fixed size, whatever the corpus."""
+def signature(s: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of a share of the set: two signatures differ in no more bits than the sets in elements."""
+    at = (wd.mix(s ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
 
-    def count(batches):
+def _scanned(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
+    """A row (id, text_hash, node, n, sig) for each document; and rows (bucket, uses): documents by bucket of shingles."""
+    kind = docs.schema[id].dataType
+
+    def scan(batches):
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        kind_ = pa.null()
         for batch in batches:
-            held = list(shingle_sets(batch.column(0), k))
-            if held:
-                s = np.concatenate(held) & np.uint64((1 << SKETCH_BITS) - 1)
-                total += np.bincount(s.astype(np.int64), minlength=1 << SKETCH_BITS)
+            kind_ = batch.schema.field("id").type
+            node, size, sig = [], [], []
+            for s in shingle_sets(batch.column("text"), k):
+                size.append(len(s))
+                if not len(s):
+                    node.append(None)
+                    sig.append(None)
+                    continue
+                node.append(node_of(s))
+                sig.append(signature(s))
+                np.add.at(total, (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
+            rows = len(size)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("text_hash"), pa.array(node, pa.int64()), pa.array(size, pa.int64()),
+                 pa.array(sig, pa.list_(pa.int64())), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())], names=names)
         at = np.flatnonzero(total)
         for lo in range(0, len(at), 65536):
             part = at[lo : lo + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part], pa.int64())], names=["bucket", "n"])
+            rows = len(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(rows, kind_), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()),
+                 pa.nulls(rows, pa.list_(pa.int64())), pa.array(part, pa.int32()), pa.array(total[part])], names=names)
+
+    names = ["id", "text_hash", "node", "n", "sig", "bucket", "uses"]
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(scan, f"id {kind.simpleString()}, text_hash long, node long, n long, sig array<long>, bucket int, uses long")
+
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+def _sketch(scanned: DataFrame) -> np.ndarray:
+    """Number of documents for each of 2^SKETCH_BITS buckets of shingles: fixed size, whatever the corpus."""
+    rows = scanned.filter("bucket is not null").groupBy("bucket").agg(F.sum("uses").alias("n")).toArrow()
     sketch = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     sketch[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return sketch
@@ -114,115 +145,119 @@ def _prefixes(docs: DataFrame, text: str, k: int, percent: int, sketch) -> DataF
     return docs.select(F.col(text).alias("text")).mapInArrow(index, "token long, node long, n int, pos int")
 
 
-def documents_of(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
-    """(id, text_hash, node, n): n is 0 for an empty set."""
-    kind = docs.schema[id].dataType.simpleString()
-
-    def nodes(batches):
-        for batch in batches:
-            found = [(node_of(s), len(s)) if len(s) else (None, 0) for s in shingle_sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text_hash"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())],
-                names=["id", "text_hash", "node", "n"])
-
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(nodes, f"id {kind}, text_hash long, node long, n long")
-
-
 def _contents(docs: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
     """(node, s) for the wanted (node, text_hash): shingles read again from one text of each."""
-    texts = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).join(wanted.select("text_hash", F.col("node").alias("want")), "text_hash")
+    texts = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).join(wanted, "text_hash").dropDuplicates(["text_hash"])
 
     def fill(batches):
         for batch in batches:
-            want, seen, kept = batch.column("want").to_pylist(), set(), []
-            for w, s in zip(want, shingle_sets(batch.column("text"), k), strict=True):
-                if w not in seen and len(s) and node_of(s) == w:
-                    seen.add(w)
-                    kept.append((w, s))
+            want = batch.column("node").to_pylist()
+            kept = [(w, s) for w, s in zip(want, shingle_sets(batch.column("text"), k), strict=True) if len(s) and node_of(s) == w]
             flat = np.concatenate([s for _, s in kept]).view(np.int64) if kept else np.empty(0, np.int64)
             ends = np.concatenate([[0], np.cumsum([len(s) for _, s in kept])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "s"])
 
-    return texts.select("text", "want").mapInArrow(fill, "node long, s array<long>").dropDuplicates(["node"])
+    return texts.select("text", "node").mapInArrow(fill, "node long, s array<long>")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the sizes of both sets and of their intersection."""
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return full.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+def _signed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with ``near``, an estimate of their similarity, and ``maybe``: false where the signatures rule a link out."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb"))
+    both = F.col("na") + F.col("nb")
+    apart = sum((F.bit_count(F.col("ga")[i].bitwiseXOR(F.col("gb")[i])) for i in range(BITS // 64)), F.lit(0))
+    guess = F.least(-F.lit(BITS / 2) * F.log(F.greatest(1 - 2 * F.col("apart") / F.lit(float(BITS)), F.lit(1e-3))), both)
+    out = pairs.join(left, "a").join(right, "b").withColumn("apart", apart)
+    return out.select("a", "b", ((both - guess) / (both + guess)).alias("near"), (F.col("apart") <= both - 2 * needed(F.col("na"), F.col("nb"), percent)).alias("maybe"))
+
 
+def _links(docs: DataFrame, text: str, k: int, percent: int, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets."""
+    pairs = settle(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "text_hash"), "node")
+    sets = settle(_contents(docs, text, k, wanted), "sets")
+    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    sizes = full.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    return settle(sizes.filter(F.col("shared") * (100 + percent) >= F.col("total") * percent).select("a", "b"), "links")
 
-def _similar(percent: int):
-    return F.col("both") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
+def _inside(members: DataFrame, percent: int, chunk: int) -> DataFrame:
+    """Pairs (a, b) of one family that differ in root and that their signatures leave open, from (node, n, sig, family, root).
 
-def _family_links(members: DataFrame, sets: DataFrame, percent: int, chunk: int) -> DataFrame:
-    """Links (a, b) inside families, for members (node, family, root, n): blocks of sets against blocks, roots that differ."""
+    Blocks of ``chunk`` sets meet blocks: each meeting is a group of its own, so a large family spreads over many tasks.
+    """
     counts = members.groupBy("family").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    open_ = members.join(counts.filter("r0 <> r1"), "family").select("node", "family", "root", F.ceil(F.col("size") / F.lit(float(chunk))).cast("int").alias("parts"))
-    # Sets of one component lie in the same parts as far as possible, so that part pairs within a component fall away.
-    part = F.pmod(F.xxhash64("root"), F.col("parts")).cast("int")
-    spread = F.when(F.col("own") > chunk, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(part).cast("int")
-    own = open_.groupBy("family", "root").agg(F.count("*").alias("own"))
-    placed = open_.join(own, ["family", "root"]).withColumn("part", spread)
-    both = F.explode(F.expr("transform(sequence(0, parts - 1), o -> struct(least(o, part) as i, greatest(o, part) as j))"))
-    rows = placed.select("node", "family", "root", "part", both.alias("at")).select("node", "family", "root", "part", "at.i", "at.j")
-    rows = rows.join(sets, "node")
+    open_ = members.join(counts.filter("r0 <> r1").select("family", F.ceil(F.col("size") / F.lit(float(chunk))).cast("int").alias("parts")), "family")
+    placed = open_.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    meet = F.expr("transform(sequence(0, parts - 1), o -> struct(least(o, part) as i, greatest(o, part) as j))")
+    rows = placed.withColumn("at", F.explode(meet)).select("node", "n", "sig", "family", "root", "part", "at.i", "at.j")
 
     def compare(table: pa.Table) -> pa.Table:
-        part_, i, j = (table.column(c).to_numpy() for c in ("part", "i", "j"))
-        root, node = table.column("root").to_numpy(), table.column("node").to_numpy()
-        column = table.column("s").combine_chunks()
-        flat, ends = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
-        size = np.diff(ends)
-        left, right = np.flatnonzero(part_ == i), np.flatnonzero(part_ == j)
-        a, b = [], []
-        if len(left) and len(right) and len(np.unique(root)) > 1:
-            _, code = np.unique(flat, return_inverse=True)
-            code, uses = code.ravel(), np.bincount(code.ravel())
-            shared = np.cumsum(uses > 1) - 1
-            member = np.repeat(np.arange(len(node)), size)
-            keep = uses[code] > 1
-            width, both = int(shared[-1]) + 1, np.zeros((len(left), len(right)), dtype=np.float32)
-            column_of, member = shared[code[keep]], member[keep]
-            place = np.full(len(node), -1)
-            for lo in range(0, width, 4096):  # shingles in slices, so memory is bounded for long sets too
-                inside = (column_of >= lo) & (column_of < lo + 4096)
-                m = np.zeros((len(node), min(4096, width - lo)), dtype=np.float32)
-                m[member[inside], column_of[inside] - lo] = 1
-                both += m[left] @ m[right].T
-            sizes = size[left][:, None] + size[right][None, :]
-            linked = (both.astype(np.int64) * (100 + percent) >= sizes * percent) & (root[left][:, None] != root[right][None, :])
-            x, y = np.nonzero(linked)
-            a, b = node[left[x]], node[right[y]]
-            # One link for each pair of components is enough to join them; more say nothing new.
-            if len(a):
-                key = np.stack([np.minimum(root[left[x]], root[right[y]]), np.maximum(root[left[x]], root[right[y]])])
-                _, first = np.unique(key, axis=1, return_index=True)
-                a, b = a[first], b[first]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        part, i, j, n, root, node = (table.column(c).to_numpy() for c in ("part", "i", "j", "n", "root", "node"))
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo in range(0, len(left), 64):
+            x = left[lo : lo + 64]
+            apart = sum(np.bitwise_count(sig[x, w][:, None] ^ sig[right, w][None, :]).astype(np.int64) for w in range(sig.shape[1]))
+            total = n[x][:, None] + n[right][None, :]
+            shared = np.ceil(total * percent / (100 + percent) - 1e-9).astype(np.int64)
+            small = np.minimum(n[x][:, None], n[right][None, :])
+            u, v = np.nonzero((apart <= total - 2 * shared) & (small >= shared) & (root[x][:, None] != root[right][None, :]))
+            a.append(np.minimum(node[x[u]], node[right[v]]))
+            b.append(np.maximum(node[x[u]], node[right[v]]))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
 
 
+def _across(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different families and roots that share a list, after the block and position filters."""
+    open_ = lists.join(known.select("node", "family", "root"), "node")
+    live = open_.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("family").alias("f0"), F.max("family").alias("f1"))
+    open_ = settle(open_.join(live.filter("r0 <> r1 and f0 <> f1").select("token"), "token"), "open")
+    cols = ("node", "n", "pos", "family", "root", "block")
+    low = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in cols])
+    low = low.union(low.withColumn("block_a", F.col("block_a") + 1))
+    high = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in cols])
+    alpha = needed(F.col("n_a"), F.col("n_b"), percent)
+    room = F.lit(1) + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
+    meet = (low.token == high.token) & (F.col("block_a") == F.col("block_b")) & (F.col("family_a") != F.col("family_b")) & (F.col("root_a") != F.col("root_b"))
+    meet = meet & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))))
+    meet = meet & (room >= alpha) & (F.col("n_a") >= alpha)
+    return low.join(high, meet).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def _families(pairs: DataFrame) -> DataFrame:
+    """(node, family) from pairs (a, b, near) of sets with leaders: each goes to its most similar leader of lower rank, and on."""
+    up = pairs.filter(F.xxhash64("b") < F.xxhash64("a")).filter(F.col("near") >= FAMILY_PERCENT / 100)
+    home = settle(up.groupBy("a").agg(F.max_by("b", F.struct("near", F.xxhash64("b"))).alias("family")).withColumnRenamed("a", "node"), "home")
+    while True:
+        above = home.select(F.col("node").alias("family"), F.col("family").alias("next"))
+        moved = settle(home.join(above, "family", "left").select("node", F.coalesce("next", "family").alias("family"), F.col("next").isNotNull().alias("moved")), "home")
+        home = moved.select("node", "family")
+        if moved.filter("moved").isEmpty():
+            return settle(home.union(home.select(F.col("family").alias("node"), "family").distinct()), "home")
+
+
 def _grouped(docs: DataFrame, id: str, text: str, k: int, percent: int, chunk: int = CHUNK) -> DataFrame:
     """(id, text_hash, n, component_id) for every row."""
-    spark = docs.sparkSession
-    named = settle(documents_of(docs, id, text, k), "nodes")
-    nodes = named.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"))
-    sketch = spark.sparkContext.broadcast(_sketch(docs, text, k))
-    entries = settle(_prefixes(docs, text, k, percent, sketch), "entries")
+    scanned = settle(_scanned(docs, id, text, k), "scanned")
+    named = scanned.filter("bucket is null").select("id", "text_hash", "node", "n", "sig")
+    nodes = named.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = settle(nodes, "nodes")
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(scanned))
 
-    # Lists that hold more than one set, with the size block of each entry. Sizes of neighbouring blocks reach 1 / 0.85.
-    step = -math.log(percent / 100) * (1 + 1e-9)
+    # Entries of lists in which a set meets another of its own or a neighbouring size block.
+    entries = settle(_prefixes(docs, text, k, percent, sketch), "entries")
+    many = entries.groupBy("token").agg(F.count("*").alias("uses")).filter("uses > 1").select("token")
+    step = -math.log(percent / 100) * (1 + 1e-9)  # sizes of neighbouring blocks reach to 1 / 0.85
     block = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
-    many = entries.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("token")
     lists = entries.join(many, "token").groupBy("token", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     lists = settle(lists.withColumn("block", block), "lists")
-
-    wanted = lists.select("node").distinct().join(named.filter("n > 0").groupBy("node").agg(F.min("text_hash").alias("text_hash")), "node")
-    sets = settle(_contents(docs, text, k, wanted), "sets")
+    held = lists.groupBy("token", "block").agg(F.count("*").alias("sets"))
+    held = held.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))).groupBy("token", "block").agg(F.sum("sets").alias("sets"))
+    lists = settle(lists.join(held.filter("sets > 1").select("token", "block"), ["token", "block"]), "lists")
 
     # 1. Each entry against the leaders of its block and of the block above: the first by a hash, the same in all lists.
     rank = F.struct(F.xxhash64("node").alias("rank"), "node", "n", "pos")
@@ -231,53 +266,26 @@ def _grouped(docs: DataFrame, id: str, text: str, k: int, percent: int, chunk: i
     alpha = needed(F.col("n"), F.col("lead.n"), percent)
     room = F.lit(1) + F.least(F.col("n") - F.col("pos") - 1, F.col("lead.n") - F.col("lead.pos") - 1)
     pairs = lists.join(leaders, ["token", "block"]).filter((F.col("node") != F.col("lead.node")) & (room >= alpha) & (F.least("n", F.col("lead.n")) >= alpha))
-    first = settle(_compared(pairs.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct(), sets), "leaders")
-
-    # Families: each set goes to its most similar leader of a lower rank, and on to that one's leader.
-    share = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    up = first.filter(F.xxhash64("b") < F.xxhash64("a")).filter(share >= FAMILY_PERCENT / 100)
-    home = up.groupBy("a").agg(F.max_by("b", F.struct(share, F.xxhash64("b"))).alias("family")).withColumnRenamed("a", "node")
-    home = settle(home, "home")
-    for _ in range(64):
-        above = home.select(F.col("node").alias("family"), F.col("family").alias("next"))
-        moved = settle(home.join(above, "family", "left").select("node", F.coalesce("next", "family").alias("family"), F.col("next").isNotNull().alias("moved")), "home")
-        home = moved.select("node", "family")
-        if moved.filter("moved").isEmpty():
-            break
-    roots = home.select(F.col("family").alias("node"), "family").distinct()
-    home = settle(home.union(roots), "home")
+    first = settle(_signed(pairs.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct(), nodes, percent), "leaders")
 
     # 2. Each family against its root, then against the member nearest to the root.
-    linked = _similar(percent)
-    second = settle(_compared(home.filter("node <> family").select(F.col("node").alias("a"), F.col("family").alias("b")), sets), "roots")
-    near = second.groupBy("b").agg(F.max_by("a", F.struct(share, "a")).alias("near")).withColumnRenamed("b", "family")
-    third = home.join(near, "family").filter("node <> near").select(F.col("node").alias("a"), F.col("near").alias("b"))
-    third = _compared(third, sets)
-    links = settle(first.filter(linked).select("a", "b").union(second.filter(linked).select("a", "b")).union(third.filter(linked).select("a", "b")), "links")
+    home = _families(first)
+    second = settle(_signed(home.filter("node <> family").select(F.col("node").alias("a"), F.col("family").alias("b")), nodes, percent), "roots")
+    near = second.groupBy("b").agg(F.max_by("a", F.struct("near", "a")).alias("nearest")).withColumnRenamed("b", "family")
+    third = _signed(home.join(near, "family").filter("node <> nearest").select(F.col("node").alias("a"), F.col("nearest").alias("b")), nodes, percent)
+    maybe = first.union(second).union(third).filter("maybe").select("a", "b")
+    links = _links(docs, text, k, percent, maybe, nodes)
     found = settle(components(links), "found")
 
     # 3. What is still open: inside families in blocks, between families through the lists.
     known = lists.select("node").distinct().join(home, "node", "left").join(found, "node", "left")
-    known = settle(known.select("node", F.coalesce("family", "node").alias("family"), F.coalesce("root", "node").alias("root")), "known")
-    inside = _family_links(known, sets, percent, chunk)
-
-    open_ = lists.join(known, "node")
-    live = open_.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.min("family").alias("f0"), F.max("family").alias("f1"))
-    open_ = settle(open_.join(live.filter("r0 <> r1 and f0 <> f1").select("token"), "token"), "open")
-    cols = ("node", "n", "pos", "family", "root", "block")
-    low = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in cols])
-    low = low.union(low.withColumn("block_a", F.col("block_a") + 1))
-    high = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in cols])
-    alpha = needed(F.col("n_a"), F.col("n_b"), percent)
-    room = F.lit(1) + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
-    meet = (low.token == high.token) & (F.col("block_a") == F.col("block_b")) & (F.col("family_a") != F.col("family_b")) & (F.col("root_a") != F.col("root_b"))
-    meet = meet & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))))
-    meet = meet & (room >= alpha) & (F.col("n_a") >= alpha)
-    across = low.join(high, meet).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    across = _compared(across, sets).filter(linked).select("a", "b")
-
-    more = settle(inside.union(across), "more")
-    whole = found if more.isEmpty() else components(links.union(more))
+    known = known.select("node", F.coalesce("family", "node").alias("family"), F.coalesce("root", "node").alias("root"))
+    known = settle(known.join(nodes.select("node", "n", "sig"), "node"), "known")
+    open_ = _signed(_across(lists, known, percent), nodes, percent).filter("maybe").select("a", "b").union(_inside(known, percent, chunk))
+    open_ = settle(open_, "open")
+    whole = found
+    if not open_.isEmpty():
+        whole = components(links.union(_links(docs, text, k, percent, open_, nodes)))
     tops = nodes.join(whole, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     named_by = tops.groupBy("root").agg(F.min("least").alias("component_id"))
     result = tops.join(named_by, "root").select("node", "component_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import benchmarks, jaccard, mixing, rules, tokenfile, toxicity
+from barframe.llm import benchmarks, jaccard, mixing, rules, tokenfile, toxicity, urls
 from barframe.llm import words as wd
 
 
@@ -114,3 +114,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.cascade(table(spark, sf_dir, "documents"), all_measures=True)
     base = F.expr(" or ".join(f"({r.fails})" for r in rules.BASE))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+
+
+@query("op8_url_filters")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
