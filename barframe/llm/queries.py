@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import benchmarks, jaccard, mixing, rules, tokenfile, toxicity, urls
+from barframe.llm import benchmarks, jaccard, licenses, mixing, rules, tokenfile, toxicity, urls
 from barframe.llm import words as wd
 
 
@@ -119,3 +119,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_url_filters")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
+
+
+@query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["exact"])
+    start = F.transform(base, lambda s: s["start"])
+    names = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    score = F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"),
+                        names(base).alias("base_labels"), names(F.col("spans")).alias("labels"), score.alias("score"))
