@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import benchmarks, jaccard, licenses, mixing, rules, tokenfile, toxicity, urls
+from barframe.llm import benchmarks, jaccard, licenses, lines, mixing, rules, tokenfile, toxicity, urls
 from barframe.llm import words as wd
 
 
@@ -130,3 +130,27 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.coalesce(F.array_max(F.transform("spans", lambda s: s["coverage"])), F.lit(0.0))
     return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(start).alias("first_word"), F.array_max(start).alias("last_word"),
                         names(base).alias("base_labels"), names(F.col("spans")).alias("labels"), score.alias("score"))
+
+
+@query("op3_line_dedup", f"""
+WITH l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY spot) - 1 AS i, spot, line, len(regexp_extract_all(line, '{wd.SPACED}')) AS n
+           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS spot FROM documents)
+           WHERE regexp_matches(line, '{wd.SPACED}')),
+s AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
+e AS (SELECT a.doc_id, a.i, min(b.i) AS last FROM s a JOIN s b ON b.doc_id = a.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 50 GROUP BY ALL),
+w AS (SELECT e.doc_id, e.i, string_agg(l.line, chr(10) ORDER BY l.i) AS body FROM e JOIN l ON l.doc_id = e.doc_id AND l.i BETWEEN e.i AND e.last GROUP BY ALL),
+f AS (SELECT body, min(struct_pack(d := doc_id, i := i)) AS first FROM w GROUP BY body HAVING count(*) > 1),
+m AS (SELECT w.doc_id, w.i, f.first.d AS d0, w.i - f.first.i AS diag FROM w JOIN f USING (body) WHERE struct_pack(d := w.doc_id, i := w.i) > f.first),
+p AS (SELECT DISTINCT doc_id, d0, diag FROM m),
+q AS (SELECT p.doc_id, p.d0, p.diag, a.i, a.i - row_number() OVER (PARTITION BY p.doc_id, p.d0, p.diag ORDER BY a.i) AS island
+      FROM p JOIN l a ON a.doc_id = p.doc_id JOIN l b ON b.doc_id = p.d0 AND b.i = a.i - p.diag AND b.line = a.line),
+k AS (SELECT DISTINCT q.doc_id, q.d0, q.diag, q.island FROM q JOIN m ON m.doc_id = q.doc_id AND m.d0 = q.d0 AND m.diag = q.diag AND m.i = q.i),
+g AS (SELECT DISTINCT q.doc_id, q.i FROM q JOIN k USING (doc_id, d0, diag, island)),
+r AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, sum(CASE WHEN g.i IS NOT NULL THEN l.n ELSE 0 END) AS n_words_removed,
+             list(l.spot) FILTER (g.i IS NOT NULL) AS gone FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_words_removed, 0) AS BIGINT) AS n_words_removed,
+       CASE WHEN coalesce(n_removed, 0) = 0 THEN text
+            ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i)), chr(10)) END AS text
+FROM documents d LEFT JOIN r USING (doc_id)""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeats(table(spark, sf_dir, "documents"))
