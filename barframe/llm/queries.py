@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import benchmarks, jaccard, licenses, lines, mixing, rules, tokenfile, toxicity, urls
+from barframe.llm import benchmarks, edits, jaccard, licenses, lines, mixing, rules, tokenfile, toxicity, urls
 from barframe.llm import words as wd
+from barframe.plans.settle import settle
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -154,3 +155,10 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
 FROM documents d LEFT JOIN r USING (doc_id)""")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    state = settle(edits.count_tokens(docs, tokenizer()), "trees")
+    return edits.apply_edits(docs, state, edits.scrub_edits(docs), tokenizer()).select("doc_id", "n_before", "n_edits", "n_after", "n_reencoded")

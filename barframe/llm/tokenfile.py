@@ -111,8 +111,8 @@ class ChunkEncoder:
         self.keys, self.starts, self.sizes = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
 
-    def chunks(self, data: np.ndarray, offsets: np.ndarray) -> wd.Words:
-        """Chunks as words of a byte buffer in which the safe cuts are separators."""
+    def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[wd.Words, np.ndarray]:
+        """Chunks as words of a byte buffer with a space at every safe cut; and the cuts, as places in the original rows."""
         lo, hi = int(offsets[0]), int(offsets[-1])
         own = data[lo:hi]
         kind = np.zeros(256, dtype=np.uint8)  # 1: ASCII letter or digit, 2: ASCII mark; others are never cut
@@ -120,11 +120,9 @@ class ChunkEncoder:
         kind[48:58] = kind[65:91] = kind[97:123] = 1
         kind[39] = 0
         k = kind[own]
-        cut = (k[1:] + k[:-1] == 3) & (k[1:] != 0) & (k[:-1] != 0)
-        at = np.flatnonzero(cut) + 1
-        # A space goes in at every cut: then chunks are the words between white space.
+        at = np.flatnonzero((k[1:] + k[:-1] == 3) & (k[1:] != 0) & (k[:-1] != 0)) + 1
         wide = np.insert(own, at, 32)
-        return wd.words(wide, offsets - lo + np.searchsorted(at, offsets - lo, "left"), plain=False, lower=True)
+        return wd.words(wide, offsets - lo + np.searchsorted(at, offsets - lo, "left"), plain=False, lower=True), at
 
     def learn(self, w: wd.Words, new: np.ndarray) -> None:
         """Encode the chunks at the given places of ``w`` and keep their ids."""
@@ -138,26 +136,29 @@ class ChunkEncoder:
         order = np.argsort(keys)
         self.keys, self.starts, self.sizes = keys[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.sizes, sizes])[order]
 
+    def known(self, w: wd.Words) -> np.ndarray:
+        """Places of the chunks of ``w`` among the kept ones; new chunks are encoded first."""
+        keys, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        have = np.zeros(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        have[inside] = self.keys[at[inside]] == keys[inside]
+        if not have.all():
+            before, missing = len(self.keys), first[~have]
+            self.learn(w, missing)
+            if len(self.keys) < before + len(missing):  # the cache began anew
+                self.learn(w, first[have])
+            at = np.searchsorted(self.keys, keys)
+        return at[back.ravel()]
+
     def encode(self, texts: pa.Array):
         """Yields (first row, ids of all rows, number of ids of each row) for consecutive rows."""
         data, offsets = wd.buffers(texts)
         for lo, hi in wd.groups(offsets):
             own = offsets[lo : hi + 1]
             special = [r for r in range(hi - lo) if b"<|" in data[own[r] : own[r + 1]].tobytes()] if b"<|" in data[own[0] : own[-1]].tobytes() else []
-            w = self.chunks(data, own)
-            keys, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-            at = np.searchsorted(self.keys, keys)
-            have = np.zeros(len(keys), dtype=bool)
-            inside = at < len(self.keys)
-            have[inside] = self.keys[at[inside]] == keys[inside]
-            if not have.all():
-                before = len(self.keys)
-                missing = first[~have]
-                self.learn(w, missing)
-                if len(self.keys) < before + len(missing):  # the cache began anew
-                    self.learn(w, first[have])
-                at = np.searchsorted(self.keys, keys)
-            at = at[back.ravel()]
+            w, _ = self.chunks(data, own)
+            at = self.known(w)
             sizes, starts = self.sizes[at], self.starts[at]
             ids = self.flat[np.repeat(starts, sizes) + wd.runs(sizes)] if len(sizes) else np.empty(0, np.uint32)
             ends = np.concatenate([[0], np.cumsum(sizes)])[w.first]
