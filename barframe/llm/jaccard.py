@@ -312,4 +312,4 @@ def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: i
     plain = plain.withColumn("_kept", F.xxhash64(F.xxhash64(body), F.col(key)))
     some = F.coalesce(F.col(body).rlike(wd.SPACED), F.lit(False))
     full = plain.filter(some).join(kept, "_kept", "left_semi").dropDuplicates(["_kept"])
-    return full.union(plain.filter(~some)).select(*own).toDF(*docs.columns)
+    return full.select(*own).union(plain.filter(~some).select(*own)).toDF(*docs.columns)
