@@ -7,8 +7,8 @@ shingle in the short prefixes of that order, so only prefixes are indexed. Equal
 * *Index lists are skipped by block and position.* Entries of a list lie in size blocks; a set meets only its own and the
   neighbouring block, and a pair is dropped when the places of its shared shingle leave too few shingles behind it.
 * *Answers come from a similar set's answers.* In every block the first set leads: others are compared with it alone, and
-  a set that is similar to a leader joins its family (families follow leaders up to a root). Each family is compared with
-  its root and with the member nearest to the root. Sets linked to the same one are in one component, and pairs inside
+  sets that similar leaders connect are a family. Each family is compared with its root (the least set) and with the member
+  nearest to the root. Sets linked to the same one are in one component, and pairs inside
   a component need no comparison. Only what these answers leave open is compared pair by pair: inside a family in
   blocks of ``chunk`` sets (a block pair is one group, so a large family spreads over many tasks), between families
   through the lists.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from barframe.llm import words as wd
 from barframe.llm.components import components
-from barframe.plans.settle import settle
+from barframe.plans.settle import release, settle
 
 SHINGLE = 4
 PERCENT = 85
@@ -178,7 +178,9 @@ def _links(docs: DataFrame, text: str, k: int, percent: int, pairs: DataFrame, n
     sets = settle(_contents(docs, text, k, wanted), "sets")
     full = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     sizes = full.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    return settle(sizes.filter(F.col("shared") * (100 + percent) >= F.col("total") * percent).select("a", "b"), "links")
+    links = settle(sizes.filter(F.col("shared") * (100 + percent) >= F.col("total") * percent).select("a", "b"), "links")
+    release(pairs, sets)
+    return links
 
 
 def _inside(members: DataFrame, percent: int, chunk: int) -> DataFrame:
@@ -229,15 +231,8 @@ def _across(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 
 def _families(pairs: DataFrame) -> DataFrame:
-    """(node, family) from pairs (a, b, near) of sets with leaders: each goes to its most similar leader of lower rank, and on."""
-    up = pairs.filter(F.xxhash64("b") < F.xxhash64("a")).filter(F.col("near") >= FAMILY_PERCENT / 100)
-    home = settle(up.groupBy("a").agg(F.max_by("b", F.struct("near", F.xxhash64("b"))).alias("family")).withColumnRenamed("a", "node"), "home")
-    while True:
-        above = home.select(F.col("node").alias("family"), F.col("family").alias("next"))
-        moved = settle(home.join(above, "family", "left").select("node", F.coalesce("next", "family").alias("family"), F.col("next").isNotNull().alias("moved")), "home")
-        home = moved.select("node", "family")
-        if moved.filter("moved").isEmpty():
-            return settle(home.union(home.select(F.col("family").alias("node"), "family").distinct()), "home")
+    """(node, family) from pairs (a, b, near) of sets with leaders: sets that similar leaders connect, named by the least."""
+    return settle(components(pairs.filter(F.col("near") >= FAMILY_PERCENT / 100)), "home").toDF("node", "family")
 
 
 def _grouped(docs: DataFrame, id: str, text: str, k: int, percent: int, chunk: int = CHUNK) -> DataFrame:
@@ -254,10 +249,12 @@ def _grouped(docs: DataFrame, id: str, text: str, k: int, percent: int, chunk: i
     step = -math.log(percent / 100) * (1 + 1e-9)  # sizes of neighbouring blocks reach to 1 / 0.85
     block = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int")
     lists = entries.join(many, "token").groupBy("token", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    lists = settle(lists.withColumn("block", block), "lists")
-    held = lists.groupBy("token", "block").agg(F.count("*").alias("sets"))
+    all_lists = settle(lists.withColumn("block", block), "lists")
+    release(entries)
+    held = all_lists.groupBy("token", "block").agg(F.count("*").alias("sets"))
     held = held.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))).groupBy("token", "block").agg(F.sum("sets").alias("sets"))
-    lists = settle(lists.join(held.filter("sets > 1").select("token", "block"), ["token", "block"]), "lists")
+    lists = settle(all_lists.join(held.filter("sets > 1").select("token", "block"), ["token", "block"]), "lists")
+    release(all_lists)
 
     # 1. Each entry against the leaders of its block and of the block above: the first by a hash, the same in all lists.
     rank = F.struct(F.xxhash64("node").alias("rank"), "node", "n", "pos")

@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 20
-GROUP = 4 << 20
+GROUP = 2 << 20
 
 #: Java and Python patterns of the two word rules.
 PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
