@@ -126,6 +126,9 @@ def lag_return(w: WindowSpec, column: str = "close") -> Column:
     return F.when(prev > 0, F.col(column) / prev - 1)
 
 
+EWMA_BLOCK = 32
+
+
 def ewma(
     df: DataFrame,
     column: str,
@@ -139,29 +142,34 @@ def ewma(
 ) -> DataFrame:
     """``v = alpha * x + (1 - alpha) * v`` seeded by the first value, NULL before ``warmup`` values.
 
-    A missing value makes every later value of its key missing. A segment of the recursion is the map
-    ``v -> a * v + b``, so a long key runs as segments whose maps are chained first.
+    A missing value makes every later value of its key missing. ``EWMA_BLOCK`` steps of the recursion are the map
+    ``v -> a * v + b``; values follow from the start of their block, and starts from the chained maps of the blocks
+    before. Whole keys and segments (cut between blocks) share that arithmetic, so both give the same bits.
     """
     if not 0.0 < alpha <= 1.0:
         raise ValueError(f"alpha must be in (0, 1], got {alpha}")
     if warmup < 1:
         raise ValueError(f"warmup must be >= 1, got {warmup}")
     keys = sg.as_list(by)
+    rows = -(-rows // EWMA_BLOCK) * EWMA_BLOCK
     seg = sg.segment(df.withColumn("_x", clean(column)), keys, order, rows=rows, longest=longest)
     d = seg.finish(seg.df)
     keep = 1.0 - alpha
 
-    def recur(x: np.ndarray, start: float | None) -> np.ndarray:
-        v = np.empty(len(x))
-        prev = start
-        for i, xi in enumerate(x):
-            prev = xi if prev is None else alpha * xi + keep * prev
-            v[i] = prev
-        return v
+    def blocks(x: np.ndarray) -> np.ndarray:
+        """The recursion from 0 inside each block; a short last block is filled up with 0."""
+        z = np.zeros(-(-len(x) // EWMA_BLOCK) * EWMA_BLOCK)
+        z[: len(x)] = alpha * x
+        z = z.reshape(-1, EWMA_BLOCK)
+        for j in range(1, EWMA_BLOCK):
+            z[:, j] += keep * z[:, j - 1]
+        return z
+
+    powers = keep ** np.arange(1, EWMA_BLOCK + 1)
 
     if seg.split:
-        ends = _segment_starts(d, keys, order, recur, keep)
-        d = d.join(ends, [*keys, "_seg"], "left")
+        starts = _segment_starts(d, keys, order, blocks, float(powers[-1]))
+        d = d.join(starts, [*keys, "_seg"], "left")
     else:
         d = d.withColumn("_start", F.lit(None).cast("double")).withColumn("_has", F.lit(False))
 
@@ -171,8 +179,16 @@ def ewma(
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        start = float(pdf["_start"].iloc[0]) if bool(pdf["_has"].iloc[0]) else None
-        v = recur(pdf["_x"].to_numpy(dtype=float), start)
+        x = pdf["_x"].to_numpy(dtype=float)
+        start = float(pdf["_start"].iloc[0]) if bool(pdf["_has"].iloc[0]) else x[0]
+        z = blocks(x)
+        begin = np.empty(len(z))
+        for i in range(len(z)):
+            begin[i] = start
+            start = powers[-1] * start + z[i, -1]
+        v = (z + powers[None, :] * begin[:, None]).ravel()[: len(x)]
+        if not bool(pdf["_has"].iloc[0]):
+            v[0] = x[0]
         v[pdf["n"].to_numpy() < warmup] = np.nan
         res = pdf[names].copy()
         res[out] = v
@@ -182,27 +198,26 @@ def ewma(
     return done.withColumn(out, clean(out))
 
 
-def _segment_starts(d: DataFrame, keys: list[str], order: str, recur, keep: float) -> DataFrame:
-    """Value of the recursion at the start of every later segment: chain the segments' affine maps."""
+def _segment_starts(d: DataFrame, keys: list[str], order: str, blocks, power: float) -> DataFrame:
+    """Value of the recursion at the start of every later segment: the maps of all blocks before it, chained."""
     kept = [f for f in d.schema.fields if f.name in (*keys, "_seg")]
-    part = T.StructType([*kept, T.StructField("_a", T.DoubleType()), T.StructField("_bv", T.DoubleType())])
+    part = T.StructType([*kept, T.StructField("_first", T.DoubleType()), T.StructField("_ends", T.ArrayType(T.DoubleType()))])
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
         x = pdf["_x"].to_numpy(dtype=float)
-        first = int(pdf["_seg"].iloc[0]) == 0
-        value = recur(x, None if first else 0.0)[-1]
         row = {k: pdf[k].iloc[0] for k in (*keys, "_seg")}
-        return pd.DataFrame([{**row, "_a": 0.0 if first else keep ** len(x), "_bv": value}])
+        return pd.DataFrame([{**row, "_first": x[0], "_ends": list(blocks(x)[:, -1])}])
 
     maps = d.filter("_more").groupBy(*keys, "_seg", "_more").applyInPandas(summary, part)
     chained = T.StructType([*kept, T.StructField("_start", T.DoubleType()), T.StructField("_has", T.BooleanType())])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_seg")
-        v, starts = 0.0, []
-        for a, b in zip(pdf["_a"], pdf["_bv"]):
-            v = a * v + b if a else b
+        v, starts = float(pdf["_first"].iloc[0]), []
+        for ends in pdf["_ends"]:
+            for b in ends:
+                v = power * v + b
             starts.append(v)
         res = pdf[[*keys]].copy()
         res["_seg"] = pdf["_seg"] + 1

@@ -81,6 +81,7 @@ _STAGES: list[dict[str, tuple[Callable[[WindowSpec], Column], tuple[str, ...]]]]
         **{f"_p{k}": (lambda w, k=k: F.lag("close", k).over(w), ()) for k in (1, 5, 21, 63)},
         **{f"_m{k}": (lambda w, k=k: F.avg("close").over(frame(w, k)), ()) for k in (20, 50, 200)},
         "_mdv": (lambda w: F.avg("_dv").over(frame(w, 20)), ("_dv",)),
+        "_cdv": (lambda w: F.count("_dv").over(frame(w, 20)), ("_dv",)),
         "_lc1": (lambda w: F.lag("_lc").over(w), ("_lc",)),
         "_fit": (lambda w: F.regr_slope(F.col("_lc"), F.col("n")).over(frame(w, 50)), ("_lc",)),
     },
@@ -113,7 +114,7 @@ def default_catalogue() -> Catalogue:
     add("rv20", 20, close, lambda: c("_vol20") * F.lit(SQRT_252), "_vol20")
     add("rv60", 60, close, lambda: _vol(60, 45) * F.lit(SQRT_252), "_c60", "_s60")
     add("rv20_z", 252, close, lambda: c("_score"), "_vol20", "_score")
-    add("adv20", 20, both, lambda: F.when(c("_run") >= 20, c("_mdv")), "_mdv", "_run")
+    add("adv20", 20, both, lambda: F.when(c("_cdv") >= 20, c("_mdv")), "_mdv", "_cdv")
     add("dev20", 20, close, lambda: safe_div(c("close") - c("_sma20"), c("_sma20") * c("_vol20")), "_sma20", "_vol20")
     add("max_dd_90", 90, close, lambda: F.when(c("n") >= 90, c("_dd90")), "_dd90")
     add("normalized_slope", 50, close, lambda: F.when(c("_run") >= 50, safe_div("_fit", "_slr")), "_fit", "_slr", "_run")

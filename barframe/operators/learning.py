@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from barframe.operators.cleaning import drop_incomplete, select_features
 from barframe.operators.xsection import with_rank_counts
 from barframe.plans.segments import segment
-from barframe.plans.settle import settle
+from barframe.plans.settle import new_path, settle
 
 CLIP = 1e-12
+FITS_AT_ONCE = 4
 
 
 def next_day_label(
@@ -239,19 +241,24 @@ def train_walk_forward(
 ) -> tuple[DataFrame, DataFrame]:
     """Fit on each fold's train span, score its test span; (metrics per fold, scored rows).
 
-    The loop runs over fold bounds, a handful of dates; rows stay in Spark and every fit is distributed.
+    Threads run over fold bounds, a handful of dates; rows stay in Spark and every fit is distributed. The scored rows of a
+    fold are written when it is done, so the plan does not grow with the folds.
     """
     data = settle(table, "training")
     spans = folds.orderBy("fold").limit(max_folds).collect() if max_folds else folds.orderBy("fold").collect()
-    scored = None
-    for s in spans:
+    path = new_path(data.sparkSession, "scored")
+
+    def one(s) -> None:
         train = data.filter(F.col("date").between(F.lit(s["train_start"]), F.lit(s["train_end"])))
         test = data.filter(F.col("date").between(F.lit(s["test_start"]), F.lit(s["test_end"])))
-        part = make_model().fit(train).predict_proba(test).select(
-            F.lit(s["fold"]).alias("fold"), "symbol", "date", "y", "proba"
-        )
-        scored = part if scored is None else scored.unionByName(part)
-    scored = settle(scored, "scored")
+        part = make_model().fit(train).predict_proba(test).select("symbol", "date", "y", "proba")
+        part.write.parquet(f"{path}/fold={s['fold']}")
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        list(pool.map(one, spans))
+    kinds = {f.name: f.dataType.simpleString() for f in [*data.schema.fields, *folds.schema.fields]}
+    schema = f"fold {kinds['fold']}, symbol {kinds['symbol']}, date {kinds['date']}, y {kinds['y']}, proba double"
+    scored = data.sparkSession.read.schema(schema).parquet(path)
     counts = data.groupBy("date").agg(F.count(F.lit(1)).alias("_rows"))
     in_train = fold_roles(folds, data).filter(F.col("role") == "train").join(counts, "date")
     sizes = in_train.groupBy("fold").agg(F.sum("_rows").alias("n_train"))

@@ -8,29 +8,35 @@ from pyspark.sql import functions as F
 from barframe.config import CommissionConfig, FillConfig, RiskLimits, SlippageConfig
 from barframe.plans import segments as sg
 
+# States and the reasons a rejected order carries.
 OPEN = ("ACCEPTED", "PARTIALLY_FILLED")
+TOO_MANY, TOO_BIG, NO_CASH = "Too many open orders", " > max_notional_per_trade", "Insufficient cash buffer"
+NO_SHORT, OVER_LIMIT, NO_PRICE = "Shorting not allowed", "Position limit exceeded", "No price"
+
 FLAT = 1e-9
 
 
+def _choose(setting: str, name: str, choices: dict):
+    """The entry of ``choices`` for a setting's name."""
+    if name not in choices:
+        raise ValueError(f"{setting} must be one of {sorted(choices)}, got {name!r}")
+    return choices[name]
+
+
 def commission(qty: Column, cfg: CommissionConfig = CommissionConfig()) -> Column:
     """Fee of one fill."""
     least = F.lit(float(cfg.min_commission))
-    if cfg.model == "none":
-        return F.lit(0.0)
-    if cfg.model == "fixed_per_order":
-        return F.greatest(F.lit(float(cfg.fixed_per_order)), least)
-    if cfg.model == "per_share":
-        return F.greatest(F.abs(qty) * F.lit(float(cfg.per_share)), least)
-    raise ValueError(f"Unknown commission model: {cfg.model}")
+    fees = {
+        "none": F.lit(0.0),
+        "fixed_per_order": F.greatest(F.lit(float(cfg.fixed_per_order)), least),
+        "per_share": F.greatest(F.abs(qty) * F.lit(float(cfg.per_share)), least),
+    }
+    return _choose("commission model", cfg.model, fees)
 
 
 def slippage(ref: Column, cfg: SlippageConfig = SlippageConfig()) -> Column:
     """Dollars per share lost against the reference price."""
-    if cfg.model == "none":
-        return F.lit(0.0)
-    if cfg.model == "bps":
-        return F.abs(ref) * F.lit(cfg.bps / 10_000.0)
-    raise ValueError(f"Unknown slippage model: {cfg.model}")
+    return _choose("slippage model", cfg.model, {"none": F.lit(0.0), "bps": F.abs(ref) * F.lit(cfg.bps / 10_000.0)})
 
 
 def market_price(fill: FillConfig = FillConfig(), slip: SlippageConfig = SlippageConfig()) -> Column:
@@ -44,12 +50,9 @@ def market_price(fill: FillConfig = FillConfig(), slip: SlippageConfig = Slippag
 
 def limit_hit(fill: FillConfig = FillConfig()) -> Column:
     """Whether a limit order trades: the last price, or the bar's range, reaches the limit."""
-    if fill.limit_fill_rule == "touch":
-        low = high = F.col("last")
-    elif fill.limit_fill_rule == "bar_high_low":
-        low, high = F.coalesce("low", "last"), F.coalesce("high", "last")
-    else:
-        raise ValueError(f"Unknown limit_fill_rule: {fill.limit_fill_rule}")
+    last = F.col("last")
+    ranges = {"touch": (last, last), "bar_high_low": (F.coalesce("low", last), F.coalesce("high", last))}
+    low, high = _choose("limit fill rule", fill.limit_fill_rule, ranges)
     reached = F.when(F.col("side") == "BUY", low <= F.col("limit_price")).otherwise(high >= F.col("limit_price"))
     return F.coalesce(reached, F.lit(False))
 
@@ -61,8 +64,8 @@ def price_orders(
     slip: SlippageConfig = SlippageConfig(),
     fees: CommissionConfig = CommissionConfig(),
 ) -> DataFrame:
-    """Price of every order that would trade against the quotes, NULL for the others."""
-    d = orders.join(quotes.select("symbol", "bid", "ask", "last", "high", "low"), "symbol")
+    """Price of every order that would trade against the quotes, NULL for the others and for symbols without a quote."""
+    d = orders.join(quotes.select("symbol", "bid", "ask", "last", "high", "low"), "symbol", "left")
     price = F.when(F.col("order_type") == "MARKET", market_price(fill, slip)).when(limit_hit(fill), F.col("limit_price"))
     d = d.withColumn("fill_price", price)
     fee = F.when(F.col("fill_price").isNotNull(), commission(F.col("qty"), fees))
@@ -146,9 +149,9 @@ def risk_check(
     open_counts: DataFrame,
     limits: RiskLimits = RiskLimits(),
 ) -> DataFrame:
-    """Accept or reject each order; ``reject_reason`` is the first rule it breaks."""
+    """Accept or reject each order; ``reject_reason`` is the first rule it breaks. An order without a price is rejected."""
     d = (
-        new.join(quotes.select("symbol", "last"), "symbol")
+        new.join(quotes.select("symbol", "last"), "symbol", "left")
         .join(accounts.select("account_id", "cash"), "account_id", "left")
         .join(held.select("account_id", "symbol", F.col("qty").alias("_held")), ["account_id", "symbol"], "left")
         .join(open_counts.select("account_id", "open_orders"), "account_id", "left")
@@ -156,16 +159,17 @@ def risk_check(
     zero, buy = F.lit(0.0), F.col("side") == "BUY"
     notional = F.abs(F.col("qty") * F.col("last"))
     after = F.coalesce("_held", zero) + F.when(buy, F.col("qty")).otherwise(-F.col("qty"))
-    too_big = F.concat(F.lit("Trade notional "), F.format_string("%.2f", F.col("notional")), F.lit(" > max_notional_per_trade"))
+    too_big = F.concat(F.lit("Trade notional "), F.format_string("%.2f", F.col("notional")), F.lit(TOO_BIG))
     d = d.withColumns({"notional": notional, "new_qty": after, "cash": F.coalesce("cash", zero)})
     reason = (
-        F.when(F.coalesce("open_orders", F.lit(0)) >= limits.max_open_orders, "Too many open orders")
+        F.when(F.coalesce("open_orders", F.lit(0)) >= limits.max_open_orders, TOO_MANY)
+        .when(F.col("last").isNull(), NO_PRICE)
         .when(F.col("notional") > limits.max_notional_per_trade, too_big)
-        .when(buy & (F.col("cash") - F.col("notional") < limits.min_cash_buffer), "Insufficient cash buffer")
+        .when(buy & (F.col("cash") - F.col("notional") < limits.min_cash_buffer), NO_CASH)
     )
     if not limits.allow_short:
-        reason = reason.when(F.col("new_qty") < 0, "Shorting not allowed")
-    reason = reason.when(F.abs(F.col("new_qty") * F.col("last")) > limits.max_position_notional, "Position limit exceeded")
+        reason = reason.when(F.col("new_qty") < 0, NO_SHORT)
+    reason = reason.when(F.abs(F.col("new_qty") * F.col("last")) > limits.max_position_notional, OVER_LIMIT)
     return d.withColumn("reject_reason", reason).select(
         *new.columns, "notional", "new_qty", F.col("reject_reason").isNull().alias("accepted"), "reject_reason"
     )
@@ -178,9 +182,9 @@ def average_cost(fills: DataFrame, by: tuple[str, ...] = ("account_id", "symbol"
 
 
 def valuation(held: DataFrame, costs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Market value and unrealised profit of every position."""
+    """Market value and unrealised profit of every position; NULL where the symbol has no quote."""
     d = held.join(costs, ["account_id", "symbol"], "left").join(
-        quotes.select("symbol", F.col("last").alias("market_price")), "symbol"
+        quotes.select("symbol", F.col("last").alias("market_price")), "symbol", "left"
     )
     gain = F.col("qty") * (F.col("market_price") - F.col("avg_price"))
     basis = F.abs(F.col("qty") * F.col("avg_price"))
@@ -220,7 +224,7 @@ def latest_state(events: DataFrame, key: str | list[str], order: list[str]) -> D
     return events.groupBy(*keys).agg(last.alias("_l")).select(*keys, "_l.*")
 
 
-def fill_ids_by_order(fills: DataFrame, limit: int = 200) -> DataFrame:
+def fill_ids_by_order(fills: DataFrame, limit: int) -> DataFrame:
     """The newest ``limit`` fills of each order, newest first."""
     w = Window.partitionBy("order_id").orderBy(F.desc("ts"), F.desc("fill_id"))
     return fills.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= limit)

@@ -316,10 +316,10 @@ def universe_cap(members: DataFrame, by: str | list[str] | tuple[str, ...] = ("p
 def trades(
     new: DataFrame, old: DataFrame, prices: DataFrame, nav: float, by: str | list[str] | tuple[str, ...] = BOOK
 ) -> DataFrame:
-    """Orders that turn the old weights into the new ones at the given prices."""
+    """Orders that turn the old weights into the new ones at the given prices; ``qty`` is NULL where there is no price."""
     by = as_list(by)
     d = _both(new, old, by).withColumn("delta", F.col("w_new") - F.col("w_old")).filter(F.col("delta") != 0)
-    d = d.join(prices.select("symbol", "price"), "symbol")
+    d = d.join(prices.select("symbol", "price"), "symbol", "left")
     return d.select(
         *by,
         "symbol",

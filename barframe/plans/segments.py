@@ -46,25 +46,30 @@ def running_sum(
     """Cumulative ``sum(value)`` per key: totals of earlier buckets (pre-aggregated) plus a sum inside the bucket.
 
     Buckets are years or days while the fullest one is measured to hold at most ``rows`` rows. Otherwise the
-    rows are range-partitioned by (key, order) into even parts and settled, so a part's number is plain data
-    that every later stage and every retry agrees on. ``order`` must be unique inside a key.
+    rows are range-partitioned by (key, order) into parts of about ``rows`` rows and settled, so a part's number is
+    plain data that every later stage and every retry agrees on. Doubles are added as decimals of ten places, so
+    the sums are the same however the rows are cut. ``order`` must be unique inside a key.
     """
     by, order = as_list(by), as_list(order)
     d = df.withColumn("_rs_b", time_bucket(df, order[0]))
     if largest is None:
         largest = longest_key(d, [*by, "_rs_b"])
     if largest > rows:
-        parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = -(-df.count() // max(rows, 1))
         ranged = df.repartitionByRange(parts, *by, *order)
         d = settle(ranged.withColumn("_rs_b", F.spark_partition_id()), "ranged")
     d = d.withColumn("_rs_v", value)
+    exact = d.schema["_rs_v"].dataType.typeName() in ("double", "float")
+    if exact:
+        d = d.withColumn("_rs_v", F.col("_rs_v").cast("decimal(28,10)"))
     totals = d.groupBy(*by, "_rs_b").agg(F.sum("_rs_v").alias("_rs_t"))
     before = Window.partitionBy(*by).orderBy("_rs_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_rs_b", F.coalesce(F.sum("_rs_t").over(before), F.lit(0)).alias("_rs_o"))
     inside = Window.partitionBy(*by, "_rs_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.col("_rs_o") + F.sum("_rs_v").over(inside)
     return (
         d.join(offsets, [*by, "_rs_b"])
-        .withColumn(out, F.col("_rs_o") + F.sum("_rs_v").over(inside))
+        .withColumn(out, total.cast("double") if exact else total)
         .drop("_rs_b", "_rs_v", "_rs_o")
     )
 

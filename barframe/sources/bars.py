@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barframe.functions.scalar import clean
 from barframe.schema import BARS, require_columns
@@ -15,21 +16,40 @@ VENDOR = {"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume"}
 VENDOR_ONLY = ("o", "h", "l", "c", "v", "vw", "t", "n")
 
 
+TIMES = ("timestamp", "date", "t")
+CSV_COLUMNS = 48  # columns read from a CSV file
+
+
+def to_time(column: str, kind: T.DataType) -> Column:
+    """A time column as a timestamp. Whole numbers are epoch seconds, milli-, micro- or nanoseconds, told by their size."""
+    c = F.col(column)
+    if not isinstance(kind, T.IntegralType):
+        return c.cast("timestamp")
+    size, n = F.abs(c), c.cast("long")
+    micros = (
+        F.when(size >= 10**17, F.expr(f"`{column}` div 1000"))
+        .when(size >= 10**14, n)
+        .when(size >= 10**11, n * 1000)
+        .otherwise(n * 1_000_000)
+    )
+    return F.timestamp_micros(micros)
+
+
 def standardize(df: DataFrame) -> DataFrame:
-    """Add ``timestamp`` and open/high/low/close/volume from vendor columns; keep both, raise if absent."""
-    cols: dict[str, Column] = {}
-    if "timestamp" in df.columns:
-        cols["timestamp"] = F.col("timestamp").cast("timestamp")
-    elif "t" in df.columns:
-        cols["timestamp"] = F.timestamp_millis(F.col("t").cast("long"))
-    else:
+    """Add ``timestamp`` and open/high/low/close/volume, each from the standard or else the vendor column, row by row.
+
+    Files of both kinds may be mixed. Columns of neither name raise. ``t`` is epoch milliseconds.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    times = [F.timestamp_millis(F.col("t").cast("long")) if c == "t" else to_time(c, kinds[c]) for c in TIMES if c in kinds]
+    if not times:
         raise ValueError("missing columns: ['timestamp' or 't']")
+    cols: dict[str, Column] = {"timestamp": F.coalesce(*times)}
     for short, name in VENDOR.items():
-        if name in df.columns:
-            continue
-        if short not in df.columns:
+        found = [F.col(c) for c in (name, short) if c in kinds]
+        if not found:
             raise ValueError(f"missing columns: ['{short}' or '{name}']")
-        cols[name] = F.col(short)
+        cols[name] = F.coalesce(*found) if len(found) > 1 else found[0]
     return df.withColumns(cols)
 
 
@@ -87,37 +107,79 @@ def prefer(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(only_second)
 
 
-def _shape(df: DataFrame) -> DataFrame:
-    """Bring one read to the bar schema: vendor names, UTC date, doubles with NaN as NULL."""
-    named = [c for c in df.columns if c != "symbol"]
-    if "date" in named and "timestamp" not in named:
-        df = df.withColumnRenamed("date", "timestamp")
-    if "timestamp" in df.columns and df.schema["timestamp"].dataType.typeName() == "long":
-        df = df.withColumn("timestamp", F.timestamp_micros(F.expr("timestamp div 1000")))
+def _shape(df: DataFrame, order: list[str]) -> DataFrame:
+    """Bring one read to the bar schema: vendor names, UTC date, doubles with NaN as NULL.
+
+    Of rows with one symbol and date the last time stays, and of equal times the last row of the last file.
+    """
     df = normalize_date(standardize(df))
-    df = dedupe_last(df, ["symbol", "date"], ["timestamp"])
+    df = dedupe_last(df, ["symbol", "date"], ["timestamp", *order])
     values = [clean(c).alias(c) for c in ("open", "high", "low", "close", "volume")]
     return df.select("symbol", "date", *values)
 
 
-def _read_files(spark: SparkSession, path: str, timeframe: str, fmt: str) -> DataFrame:
-    name = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)_{timeframe}\.{fmt}", 1)
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*_{timeframe}.{fmt}")
-    if fmt == "parquet":
-        # Files from pandas hold nanosecond times, which Spark reads as whole numbers only.
+def _files(spark: SparkSession, timeframe: str, fmt: str):
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*_{timeframe}.{fmt}")
+
+
+def _symbol(timeframe: str, fmt: str) -> Column:
+    """The symbol in a file's name; Spark gives paths with escapes."""
+    name = F.regexp_extract(F.col("_file"), rf"([^/]+)_{timeframe}\.{fmt}", 1)
+    return F.url_decode(F.regexp_replace(name, r"\+", "%2B"))
+
+
+def _read_parquet(spark: SparkSession, path: str, timeframe: str) -> DataFrame:
+    reader = _files(spark, timeframe, "parquet").option("mergeSchema", "true")
+    try:
+        df = reader.parquet(path)
+    except Exception as error:
+        if "NANOS" not in str(error):
+            raise
+        # Nanosecond times, as pandas writes them, can be read as whole numbers only, and Spark has no option for one read.
         spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-        df = reader.option("mergeSchema", "true").parquet(path)
-    else:
-        df = reader.option("header", "true").csv(path)
-    return _shape(df.withColumn("symbol", name))
+        df = reader.parquet(path)
+    df = df.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    return _shape(df.withColumn("symbol", _symbol(timeframe, "parquet")), ["_file", "_row"])
+
+
+def _read_csv(spark: SparkSession, path: str, timeframe: str) -> DataFrame:
+    """CSV files by the names of their own headers, so files may differ in columns and their order."""
+    names = [*TIMES, *VENDOR.values(), *VENDOR]
+    cells = [f"_c{i}" for i in range(CSV_COLUMNS)]
+    raw = _files(spark, timeframe, "csv").schema(", ".join(f"{c} string" for c in cells)).option("header", "false").csv(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                     F.array(*[F.lower(F.trim(c)) for c in cells]).alias("_cells"))
+    raw = raw.withColumn("_row", F.monotonically_increasing_id())
+    is_header = F.size(F.array_intersect("_cells", F.array(*[F.lit(c) for c in names]))) >= 3
+    heads = raw.filter(is_header).groupBy("_file").agg(F.min_by("_cells", F.struct("_block", "_row")).alias("_head"))
+    has = lambda *options: F.arrays_overlap("_head", F.array(*[F.lit(c) for c in options]))
+    whole = has(*TIMES)
+    for short, name in VENDOR.items():
+        whole = whole & has(short, name)
+    files = raw.select("_file").distinct().join(heads, "_file", "left")
+    bad = files.filter(F.col("_head").isNull() | ~whole).select("_file").limit(5).collect()
+    if bad:
+        raise ValueError(f"bar files without all columns in their header: {sorted(r['_file'] for r in bad)}")
+    rows = raw.filter(~is_header).join(heads, "_file")
+    at = lambda name: F.array_position("_head", F.lit(name)).cast("int")
+    cell = lambda name: F.when(at(name) > 0, F.get("_cells", at(name) - 1))
+    whole_number = lambda c: F.when(c.rlike("^-?[0-9]+$"), c.cast("long"))
+    values = {n: cell(n) if n in ("timestamp", "date") else whole_number(cell(n)) if n == "t" else cell(n).try_cast("double") for n in names}
+    df = rows.select("_file", "_block", "_row", *[v.alias(n) for n, v in values.items()])
+    # Times are texts here: numbers are epochs, others are dates or times.
+    for n in ("timestamp", "date"):
+        df = df.withColumn("_n", whole_number(F.col(n)))
+        df = df.withColumn(n, F.coalesce(to_time("_n", T.LongType()), F.try_to_timestamp(F.upper(n)))).drop("_n")
+    return _shape(df.withColumn("symbol", _symbol(timeframe, "csv")), ["_file", "_block", "_row"])
 
 
 def has_files(spark: SparkSession, path: str, timeframe: str, fmt: str) -> bool:
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/*_{timeframe}.{fmt}"))
-    return found is not None and len(found) > 0
+    """Whether the folder holds bar files of a kind, at any depth."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return False
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*_{timeframe}.{fmt}")
+    return not found.load(path).select("path").isEmpty()
 
 
 def read_bars(
@@ -130,7 +192,8 @@ def read_bars(
     timeframe: str = "1d",
 ) -> DataFrame:
     """Bars from per-symbol files ``{SYMBOL}_{timeframe}.parquet`` or ``.csv``; Parquet wins per symbol."""
-    parts = [_read_files(spark, path, timeframe, f) for f in ("parquet", "csv") if has_files(spark, path, timeframe, f)]
+    readers = {"parquet": _read_parquet, "csv": _read_csv}
+    parts = [read(spark, path, timeframe) for fmt, read in readers.items() if has_files(spark, path, timeframe, fmt)]
     if not parts:
         raise FileNotFoundError(f"no *_{timeframe} bar files in {path}")
     bars = parts[0] if len(parts) == 1 else prefer(parts[0], parts[1])

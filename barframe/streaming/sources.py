@@ -22,6 +22,15 @@ def stream_resample(
     return resample(ticks.withWatermark(ts, watermark), every, slide, ts=ts, tie=tie)
 
 
+def closing_row(rows: DataFrame, schema: T.StructType, time: str, after: str) -> DataFrame:
+    """The row that ends a finished feed: only its time is set, ``after`` the last one, so the watermark passes all windows.
+
+    Write it behind the feed's last file. The window that holds it stays open and is never emitted.
+    """
+    end = rows.agg((F.max(time).cast("timestamp") + F.expr(f"interval {after}")).alias("_end"))
+    return end.select(*[(F.col("_end") if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def stream_dedupe(events: DataFrame, keys: list[str], watermark: str, ts: str = "ts") -> DataFrame:
     """First event per key; a key is remembered for the watermark's delay, so state stays bounded."""
     return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)

@@ -179,7 +179,7 @@ def _stats(df: DataFrame) -> DataFrame:
 
 add("performance_stats", "V6", lambda s, d: _stats(pf.perf_stats(_nav(s, d), held(s, d), _dates(s, d))),
     q.build(qb.stats("rule", "w_cap", "rule_dates"), "rule_path", "w_cap", "rule_dates"))
-_SYM = ["Brand#1", "Brand#2", "Brand#3"]
+_SYM = [f"Brand#{k}" for k in range(1, 26)]  # all symbols of the tables
 add("weights_matrix", "V4 B10", lambda s, d: rounded(pf.weights_matrix(held(s, d), _SYM)),
     q.build("SELECT portfolio_id, date, " + ", ".join(f"""round(coalesce(sum(CASE WHEN symbol = '{x}' THEN weight END), 0e0), 6) AS "{x}" """ for x in _SYM)
             + " FROM w_cap GROUP BY 1, 2", "w_cap"))

@@ -16,7 +16,6 @@ from barframe.operators import panel as pn
 from barframe.operators import stock_regime as sr
 from barframe.plans.settle import settle
 
-READY = "1997-06-02"  # date from which the registered panel queries look at the cross-section
 _kept: dict[tuple[str, str, str], DataFrame] = {}
 _lock = threading.RLock()
 
@@ -57,7 +56,7 @@ def cal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "calendar", lambda: pn.calendar(all_bars(spark, sf_dir)))
 
 
-def panel(spark: SparkSession, sf_dir: str, names: list[str] | None = None, start: str | None = READY) -> DataFrame:
+def panel(spark: SparkSession, sf_dir: str, names: list[str] | None = None, start: str | None = None) -> DataFrame:
     return pn.panel(feats(spark, sf_dir), cal(spark, sf_dir), names or ft.FEATURES, start=start)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -90,6 +91,34 @@ def _read_csv(s: SparkSession, d: str) -> DataFrame:
 
 
 add("read_csv_bars", "S2 K2", _read_csv, q.build(f"SELECT symbol, date, {OHLCV} FROM bars", "bars"))
+def _symbol_files(s: SparkSession, d: str) -> str:
+    """The bars as one file per symbol: Parquet with standard or vendor names, CSV with two column orders, and both kinds at once."""
+    path, raw = new_path(s, "symbol-files"), new_path(s, "symbol-parts")
+    jvm, b = s.sparkContext._jvm, B(s, d).select("symbol", "date", *OHLCV.split(", "))
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    number = F.regexp_extract("symbol", "[0-9]+$", 0).cast("int")
+    plain = b.withColumn("timestamp", F.col("date").cast("timestamp")).drop("date")
+    vendor = plain.select("symbol", F.unix_millis("timestamp").alias("t"), *[F.col(c).alias(c[0]) for c in OHLCV.split(", ")])
+    lines = b.select("symbol", F.col("date").alias("timestamp"), *OHLCV.split(", "))
+    kinds = [
+        ("standard", "parquet", plain.filter(number % 4 == 0)),
+        ("vendor", "parquet", vendor.filter(number % 4 == 1)),
+        ("csv", "csv", lines.filter(number % 4 == 2)),
+        ("shuffled", "csv", lines.select("volume", "close", "symbol", "low", "timestamp", "open", "high").filter(number % 4 == 3)),
+        # Copies that must lose against Parquet.
+        ("loser", "csv", lines.withColumn("close", F.lit(1.0)).filter(number % 8 == 0)),
+    ]
+    for kind, fmt, rows in kinds:
+        rows.repartition(1).write.partitionBy("symbol").option("header", "true").format(fmt).save(f"{raw}/{kind}")
+        for f in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{raw}/{kind}/symbol=*/part-*")):
+            name = unquote(f.getPath().getParent().getName().split("=")[1])
+            target = jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}/{name}_1d.{fmt}")
+            fs.mkdirs(target.getParent())
+            fs.rename(f.getPath(), target)
+    return path
+
+
+add("read_symbol_files", "S1 S2 S3 B1", lambda s, d: sb.read_bars(s, _symbol_files(s, d)), q.build(f"SELECT symbol, date, {OHLCV} FROM bars", "bars"))
 add("prefer_parquet", "S3",
     lambda s, d: sb.prefer(
         B(s, d).filter(F.col("date") < "1998-01-01").filter(~F.col("symbol").endswith("5")).select("symbol", "date", "close"),
@@ -298,11 +327,11 @@ add("panel", "J2 F18", lambda s, d: rounded(inp.panel(s, d, _P3)),
     q.build(f"SELECT date, symbol, n, fresh, {r(*_P3)} FROM panel", "panel"))
 add("ready_date", "F17", lambda s, d: pn.ready_date(inp.feats(s, d), 200, 0.8), q.build("SELECT d AS ready_date FROM ready", "ready"))
 add("bars_received", "F17", lambda s, d: pn.bars_received(inp.feats(s, d)), q.build("SELECT symbol, max(n) AS bars FROM feats GROUP BY 1", "feats"))
-add("snapshot", "F18", lambda s, d: rounded(pn.snapshot(inp.panel(s, d, _P3, None), "1999-06-15", _part_universe(s, d))),
+add("snapshot", "F18", lambda s, d: rounded(pn.snapshot(inp.panel(s, d, _P3), "1999-06-15", _part_universe(s, d))),
     q.build(f"SELECT date, symbol, n, fresh, {r(*_P3)} FROM panel WHERE date = DATE '1999-06-15' AND symbol IN ({_UNI})", "panel"))
-add("emit_every", "F19", lambda s, d: rounded(pn.emit_every(inp.panel(s, d, ["mom63"]), inp.cal(s, d), inp.READY, 21)),
+add("emit_every", "F19", lambda s, d: rounded(pn.emit_every(inp.panel(s, d, ["mom63"]), inp.cal(s, d), pn.ready_date(inp.feats(s, d)).first()[0], 21)),
     q.build(f"""SELECT date, symbol, n, fresh, {r('mom63')} FROM panel JOIN
-      (SELECT date, row_number() OVER (ORDER BY date) AS k FROM cal WHERE date >= DATE '1997-06-02') USING (date) WHERE k % 21 = 0""", "panel", "cal"))
+      (SELECT date, row_number() OVER (ORDER BY date) AS k FROM cal WHERE date >= (SELECT d FROM ready)) USING (date) WHERE k % 21 = 0""", "panel", "cal", "ready"))
 add("latest_snapshot", "F20", lambda s, d: rounded(pn.latest(inp.panel(s, d, _P3), inp.cal(s, d))),
     q.build(f"SELECT date, symbol, n, fresh, {r(*_P3)} FROM panel WHERE date = (SELECT max(date) FROM cal)", "panel", "cal"))
 add("panel_get", "F21", lambda s, d: rounded(pn.get(inp.panel(s, d, ["rv20"]), "Brand#3", "rv20")),

@@ -69,7 +69,7 @@ step(
           CASE WHEN n >= 20 THEN avg(close) OVER ({_W} ROWS 19 PRECEDING) END AS sma20,
           CASE WHEN n >= 50 THEN avg(close) OVER ({_W} ROWS 49 PRECEDING) END AS sma50,
           CASE WHEN n >= 200 THEN avg(close) OVER ({_W} ROWS 199 PRECEDING) END AS sma200,
-          CASE WHEN n >= 20 THEN avg(dv) OVER ({_W} ROWS 19 PRECEDING) END AS adv20,
+          CASE WHEN count(dv) OVER ({_W} ROWS 19 PRECEDING) = 20 THEN avg(dv) OVER ({_W} ROWS 19 PRECEDING) END AS adv20,
           CASE WHEN n >= 20 AND count(ret) OVER ({_W} ROWS 19 PRECEDING) >= 15
                THEN stddev_samp(ret) OVER ({_W} ROWS 19 PRECEDING) END AS vol20,
           CASE WHEN n >= 60 AND count(ret) OVER ({_W} ROWS 59 PRECEDING) >= 45
@@ -115,7 +115,7 @@ _seen = ", ".join(f"f.{c}" for c in PANEL_COLS)
 step(
     "panel",
     f"""SELECT c.date, u.symbol, coalesce(f.n, 0) AS n, coalesce(f.date = c.date, FALSE) AS fresh, {_seen}
-        FROM (SELECT date FROM cal WHERE date >= DATE '1997-06-02') c
+        FROM (SELECT date FROM cal) c
         JOIN (SELECT DISTINCT symbol FROM feats) u ON TRUE
         LEFT JOIN feats f ON f.symbol = u.symbol AND f.date <= c.date
           AND (f.next_date > c.date OR f.next_date IS NULL)""",

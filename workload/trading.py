@@ -259,7 +259,7 @@ add("classification_metrics", "L6 L7 L8 L9", lambda s, d: rounded(ln.classificat
 
 
 def _trained(s: SparkSession, d: str) -> DataFrame:
-    metrics, _ = ln.train_walk_forward(_table(s, d), _folds(s, d), lambda: ln.ScaledLogistic(COLS), max_folds=2)
+    metrics, _ = ln.train_walk_forward(_table(s, d), _folds(s, d), lambda: ln.ScaledLogistic(COLS))
     return rounded(metrics, 4)
 
 
@@ -292,11 +292,17 @@ def _tick_stream(s: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"), F.col("value").alias("price"), F.lit(1.0).alias("size"))
 
 
-add("stream_resample", "T1 T4", lambda s, d: _finish(so.stream_resample(_tick_stream(s, d), "1 hour", "10 minutes", tie="event_id")),
+def _closed_ticks(s: SparkSession, d: str) -> DataFrame:
+    """The ticks and the closing row that ends their last windows; its own window never closes."""
+    ticks, path = _tick_stream(s, d), new_path(s, "closing-tick")
+    so.closing_row(demo.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("ts")), ticks.schema, "ts", "2 hours").write.parquet(path)
+    return ticks.unionByName(s.readStream.schema(ticks.schema).parquet(path))
+
+
+add("stream_resample", "T1 T4", lambda s, d: _finish(so.stream_resample(_closed_ticks(s, d), "1 hour", "10 minutes", tie="event_id")),
     """SELECT * FROM (SELECT event_type AS symbol, time_bucket(INTERVAL '1 hour', CAST(ts AS TIMESTAMP)) AS start,
       time_bucket(INTERVAL '1 hour', CAST(ts AS TIMESTAMP)) + INTERVAL '1 hour' AS "end", arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
-      arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume, count(*) AS trades FROM events GROUP BY 1, 2)
-      WHERE "end" <= (SELECT max(CAST(ts AS TIMESTAMP)) - INTERVAL '10 minutes' FROM events)""")
+      arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume, count(*) AS trades FROM events GROUP BY 1, 2)""")
 
 
 def _twice(s: SparkSession, d: str) -> DataFrame:
@@ -307,20 +313,21 @@ add("stream_dedupe", "T6 T9", lambda s, d: _finish(so.stream_dedupe(_twice(s, d)
     "SELECT event_id, event_type AS symbol, value AS price FROM events")
 
 
-def _bar_files(s: SparkSession, d: str, parts: int = 3) -> str:
-    """Bars as one file per span of dates, in order."""
+def _bar_files(s: SparkSession, d: str, parts: int = 3, closed: bool = False) -> str:
+    """Bars as one file per span of dates, in order: the files stand for the batches of a feed. ``closed`` ends the feed."""
     path = new_path(s, "bar-feed")
     lo, hi = inp.bars(s, d).agg(F.min("date"), F.max("date")).first()
     span = (hi - lo).days // parts + 1
     b = inp.bars(s, d).withColumn("_part", F.floor(F.datediff("date", F.lit(lo)) / span))
     for k in range(parts):
         b.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    if closed:
+        so.closing_row(inp.bars(s, d), b.drop("_part").schema, "date", "3 days").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
-add("stream_date_stats", "T1 T3", lambda s, d: rounded(_finish(so.stream_date_stats(so.stream_bars(s, _bar_files(s, d)))), 9),
-    q.build("""SELECT date, count(*) AS n_symbols, round(avg(close), 9) AS mean, round(stddev_pop(close), 9) AS sd FROM bars
-      WHERE date <= (SELECT max(date) - 2 FROM bars) GROUP BY 1""", "bars"))
+add("stream_date_stats", "T1 T3", lambda s, d: rounded(_finish(so.stream_date_stats(so.stream_bars(s, _bar_files(s, d, closed=True)))), 9),
+    q.build("""SELECT date, count(*) AS n_symbols, round(avg(close), 9) AS mean, round(stddev_pop(close), 9) AS sd FROM bars GROUP BY 1""", "bars"))
 
 
 def _stream_features(s: SparkSession, d: str) -> DataFrame:
@@ -343,7 +350,7 @@ def _stream_regime(s: SparkSession, d: str) -> DataFrame:
     p, m, cut = _proposals(s, d), sr.machine(CFG), F.lit("1999-06-30").cast("date")
     past = hy.run(p.filter(F.col("date") <= cut), m)
     feed = new_path(s, "proposal-feed")
-    p.filter(F.col("date") > cut).coalesce(1).write.parquet(feed)
+    p.filter(F.col("date") > cut).write.parquet(feed)
     live = rg.stream_regime(s.readStream.schema(p.schema).parquet(feed), m, rg.last_states(past, m))
     cols = ["symbol", "date", "label", "confidence", "days_in_regime", "regime_start"]
     return rounded(past.select(*cols).unionByName(_finish(live).select(*cols)))
