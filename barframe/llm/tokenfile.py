@@ -98,7 +98,7 @@ class Segment:
 
 
 class ChunkEncoder:
-    """Ids of texts from the tokenizer's ids of their chunks; chunks are kept by hash, ``CACHED`` at most."""
+    """Ids of texts from the tokenizer's ids of their chunks; chunks are kept by hash, ``CACHED`` or one batch's at most."""
 
     def __init__(self, path: str):
         import os
@@ -108,6 +108,9 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.forget()
+
+    def forget(self) -> None:
         self.keys, self.starts, self.sizes = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.flat = np.empty(0, np.uint32)
 
@@ -126,8 +129,6 @@ class ChunkEncoder:
 
     def learn(self, w: wd.Words, new: np.ndarray) -> None:
         """Encode the chunks at the given places of ``w`` and keep their ids."""
-        if len(self.keys) + len(new) > CACHED:
-            self.keys, self.starts, self.sizes, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
         ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.text(i).decode() for i in new], add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         starts = len(self.flat) + np.cumsum(sizes) - sizes
@@ -144,10 +145,11 @@ class ChunkEncoder:
         inside = at < len(self.keys)
         have[inside] = self.keys[at[inside]] == keys[inside]
         if not have.all():
-            before, missing = len(self.keys), first[~have]
-            self.learn(w, missing)
-            if len(self.keys) < before + len(missing):  # the cache began anew
-                self.learn(w, first[have])
+            new = first[~have]
+            if len(self.keys) + len(new) > CACHED:  # begin anew, with all chunks of this batch
+                self.forget()
+                new = first
+            self.learn(w, new)
             at = np.searchsorted(self.keys, keys)
         return at[back.ravel()]
 
