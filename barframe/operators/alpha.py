@@ -71,7 +71,7 @@ def score_models(panel: DataFrame, models: tuple[str, ...] = MODELS, by: str = "
     for m in models:
         s = signal(m)
         aggs |= {f"_mu_{m}": F.avg(s), f"_sd_{m}": F.stddev_pop(s), f"_ct_{m}": F.count(s)}
-    d = with_group_stats(panel, by, aggs, "alpha-stats")
+    d = with_group_stats(panel, by, aggs)
     zs = {
         f"{m}_z": winsorize(
             zscore_column(signal(m), F.col(f"_mu_{m}"), F.col(f"_sd_{m}"), F.col(f"_ct_{m}"), 2, "zero")

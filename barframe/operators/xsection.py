@@ -1,7 +1,7 @@
 """Cross-sectional statistics and ranks inside a group (a date).
 
 A group may hold a large share of all rows. Statistics are aggregated (combined before the shuffle) and
-joined back from a settled table, which Catalyst broadcasts when it is small. Ranks sort a group in one task
+joined back, by broadcast when they are small. Ranks sort a group in one task
 only when the largest group is measured to be small; otherwise ties are counted first, each group is cut at
 sampled values and the counts of the lower parts are added.
 """
@@ -13,22 +13,20 @@ from pyspark.sql import functions as F
 
 from barframe.functions.scalar import clean
 from barframe.plans.segments import as_list, longest_key
-from barframe.plans.settle import settle
 
 GROUP_ROWS = 1_000_000
-RANK_CUTS = 64
+RANK_CUTS = 64  # parts of a group at least; larger groups have one for each GROUP_ROWS rows
 _GRAIN = 1 << 20
 
 
-def with_group_stats(df: DataFrame, by: str | list[str], aggs: dict[str, Column], name: str = "stats") -> DataFrame:
+def with_group_stats(df: DataFrame, by: str | list[str], aggs: dict[str, Column]) -> DataFrame:
     """Join ``{name: aggregate}`` of each group back to its rows.
 
-    The statistics are settled, so the join is a broadcast only when their measured size allows it. Settle
-    ``df`` first when it is expensive: it is read twice.
+    Adaptive execution broadcasts the statistics when their measured size allows it. Settle ``df`` first when it
+    is expensive: it is read twice.
     """
     by = as_list(by)
-    stats = settle(df.groupBy(*by).agg(*[a.alias(k) for k, a in aggs.items()]), name)
-    return df.join(stats, by)
+    return df.join(df.groupBy(*by).agg(*[a.alias(k) for k, a in aggs.items()]), by)
 
 
 def zscore_column(
@@ -74,12 +72,13 @@ def xs_zscore(
 
 
 def _cut_values(values: DataFrame, by: list[str]) -> DataFrame:
-    """About ``RANK_CUTS`` sorted sample values per group, chosen by the hash of the value.
+    """Sorted sample values per group, in proportion to its size, chosen by the hash of the value.
 
     The choice depends on the data alone, so every part of a plan, and every retry, sees the same cuts.
     """
     sizes = values.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
-    share = F.ceil(F.lit(RANK_CUTS * _GRAIN) / F.col("_size"))
+    cuts = F.greatest(F.lit(RANK_CUTS), F.ceil(F.col("_size") / F.lit(float(GROUP_ROWS))))
+    share = F.ceil(cuts * F.lit(_GRAIN) / F.col("_size"))
     chosen = values.join(sizes, by).filter(F.pmod(F.xxhash64(*by, "_value"), F.lit(_GRAIN)) < share)
     return chosen.groupBy(*by).agg(F.sort_array(F.collect_list("_value")).alias("_cuts"))
 

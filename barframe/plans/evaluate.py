@@ -90,12 +90,13 @@ def scores_of(grid: DataFrame, market: DataFrame, cfg: EvaluationConfig, parts:
     return stock, al.finish(routed, cfg.alpha, keep_parts=True, largest=n_symbols)
 
 
-def signals_on(bars: DataFrame, benchmark: str, cfg: EvaluationConfig, universe: DataFrame | None, parts: Parts):
+def signals_on(bars: DataFrame, benchmark: str, cfg: EvaluationConfig, universe: DataFrame | None, parts: Parts,
+               catalogue: ft.Catalogue | None = None):
     """Everything up to the ranked scores, as settled tables."""
     traded, bench = split_benchmark(bars, benchmark, universe)
     cal = settle(pn.calendar(traded.unionByName(bench)), "calendar")
     n_dates = cal.count()  # a symbol has at most one bar per date, which bounds every per-symbol window
-    feats = settle(ft.features(traded, NEEDED, keep=("close",), longest=n_dates), "features")
+    feats = settle(ft.features(traded, NEEDED, keep=("close",), catalogue=catalogue, longest=n_dates), "features")
     ready = pn.ready_date(feats, cfg.warmup_bars, cfg.readiness_threshold).first()["ready_date"]
     if ready is None:
         raise ValueError("no date has enough bars: the universe never becomes ready")
@@ -114,14 +115,18 @@ def evaluate(
     portfolios: dict[str, PortfolioConstraints] | None = None,
     overlay: Overlay | None = None,
     parts: Parts = Parts(),
+    account_overlay: Overlay | None = None,
+    risk: DataFrame | None = None,
+    catalogue: ft.Catalogue | None = None,
 ) -> Evaluation:
     """Evaluate the regime-routed long-only strategy on ``bars`` (symbol, date, close, volume).
 
-    ``portfolios`` evaluates several settings side by side. ``overlay`` adjusts target weights before the
-    final long-only clip. ``parts`` swaps the detector, adds models or replaces the constructor. Weights of
+    ``portfolios`` evaluates several settings side by side. ``overlay`` (of the strategy), then ``account_overlay``
+    adjust target weights, each before a long-only clip. ``risk`` (symbol, optionally date, multiplier) scales scores.
+    ``catalogue`` defines the features under the names the strategy reads. ``parts`` swaps the detector, adds models or replaces the constructor. Weights of
     a date use closes up to that date and earn from the next one.
     """
-    cal, feats, ready, market, stock, scores, n_symbols = signals_on(bars, benchmark, cfg, universe, parts)
+    cal, feats, ready, market, stock, scores, n_symbols = signals_on(bars, benchmark, cfg, universe, parts, catalogue)
     if portfolios is None:
         cons = cfg.constraints
         if cons is None:
@@ -134,11 +139,14 @@ def evaluate(
         own = scores.select(F.lit(name).alias("portfolio_id"), "date", "symbol", "score")
         dates = days.select(F.lit(name).alias("portfolio_id"), "date")
         build = parts.constructor or po.target_weights
+        if risk is not None:
+            own = po.apply_risk(own, risk, cons)
         w = build(own, cons).select("portfolio_id", "date", "symbol", "weight")
         if cons.path_dependent:
             w = po.rebalance_path(w, dates, cons)
-        if overlay is not None:
-            w = po.clip_long_only(overlay(w)).select("portfolio_id", "date", "symbol", "weight")
+        for adjust in (overlay, account_overlay):
+            if adjust is not None:
+                w = po.clip_long_only(adjust(w)).select("portfolio_id", "date", "symbol", "weight")
         books.append(w)
         plans.append(dates)
     weights = books[0]

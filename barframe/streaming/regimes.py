@@ -13,14 +13,20 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from barframe.operators import hysteresis as hy
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BEFORE_ALL = -(2**62)
 _STATE = T.StructType(
-    [T.StructField("state", T.IntegerType()), T.StructField("days", T.LongType()), T.StructField("since", T.LongType())]
+    [T.StructField("state", T.IntegerType()), T.StructField("days", T.LongType()), T.StructField("since", T.LongType()),
+     T.StructField("last", T.LongType())]
 )
 _OUT = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("at", T.LongType()), *hy._OUT.fields])
 
 
 class LabelProcessor(StatefulProcessor):
-    """Keeps (state, days, since) per symbol and replays the machine over each batch's ordered rows."""
+    """Keeps (state, days, since, last date) per symbol and replays the machine over each batch's ordered rows.
+
+    A row on or before the last date is late or repeated: it would change labels already given, so it is left out. Of
+    rows with one date in a batch the last counts.
+    """
 
     def __init__(self, machine: hy.Machine) -> None:
         self.machine = machine
@@ -30,14 +36,17 @@ class LabelProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values("at", kind="stable").reset_index(drop=True)
-        state, days, since = self.kept.get() if self.kept.exists() else (hy.NONE, 0, 0)
+        state, days, since, last = self.kept.get() if self.kept.exists() else (hy.NONE, 0, 0, BEFORE_ALL)
+        pdf = pdf[pdf["at"] > last].drop_duplicates("at", keep="last").reset_index(drop=True)
+        if pdf.empty:
+            return
         cols, *end = hy.replay(pdf, self.machine, state, days, since)
-        self.kept.update(tuple(int(x) for x in end))
+        self.kept.update((*(int(x) for x in end), int(pdf["at"].iloc[-1])))
         yield pd.DataFrame({"symbol": pdf["symbol"], "at": pdf["at"], **cols})
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         row = initialState.iloc[0]
-        self.kept.update((int(row["state"]), int(row["days"]), int(row["since"])))
+        self.kept.update((int(row["state"]), int(row["days"]), int(row["since"]), int(row["last"])))
 
     def close(self) -> None:
         pass
@@ -46,7 +55,7 @@ class LabelProcessor(StatefulProcessor):
 def last_states(labels: DataFrame, machine: hy.Machine) -> DataFrame:
     """State to continue from: the last label of each symbol in a batch result."""
     last = labels.filter(F.col("label").isNotNull()).groupBy("symbol").agg(
-        F.max_by(F.struct("label", "days_in_regime", "regime_start"), "date").alias("l")
+        F.max_by(F.struct("label", "days_in_regime", "regime_start"), "date").alias("l"), F.max("date").alias("_last")
     )
     code = F.array_position(F.array(*[F.lit(x) for x in machine.labels]), F.col("l.label")) - 1
     days = F.least(F.col("l.days_in_regime"), F.lit(machine.min_duration))
@@ -55,14 +64,15 @@ def last_states(labels: DataFrame, machine: hy.Machine) -> DataFrame:
         (1 + code * machine.min_duration + days - 1).cast("int").alias("state"),
         F.col("l.days_in_regime").alias("days"),
         F.unix_date("l.regime_start").cast("long").alias("since"),
+        F.unix_date("_last").cast("long").alias("last"),
     )
 
 
 def stream_regime(proposals: DataFrame, machine: hy.Machine, start: DataFrame | None = None) -> DataFrame:
     """Labels of a stream of ``symbol, date, raw_*, conf_*, skip`` rows; needs the RocksDB state store.
 
-    Each symbol's rows must arrive in date order across batches. ``start`` (see :func:`last_states`)
-    continues from a batch result. One symbol's state is a single small row.
+    Rows on or before a symbol's last date are late or repeated and are left out. ``start`` (see
+    :func:`last_states`) continues from a batch result. One symbol's state is a single small row.
     """
     proposals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kind = T.DateType()

@@ -10,7 +10,8 @@ from barframe.config import EvaluationConfig, PortfolioConstraints
 from barframe.operators import alpha as al
 from barframe.operators import performance as pf
 from barframe.operators import portfolio as po
-from barframe.plans.evaluate import Evaluation, evaluate
+from barframe.operators import stock_regime as sr
+from barframe.plans.evaluate import Evaluation, Parts, evaluate
 from workload import inputs as inp
 from workload import sql as q
 from workload import sql_books as qb  # noqa: F401  (adds the SQL steps)
@@ -202,6 +203,15 @@ add("evaluate_regimes", "V1 V5", lambda s, d: rounded(run(s, d).market_regime.se
     q.build("SELECT date, label, round(confidence, 6) + 0e0 AS confidence FROM run_market", "run_market"))
 
 
+def _own_detector(s: SparkSession, d: str) -> DataFrame:
+    """A detector given from outside; here it gives the built-in labels, so the weights must be the same."""
+    detect = lambda grid, market: sr.stock_regime(grid, market).select("symbol", "date", "label", "confidence")
+    return w(evaluate(inp.all_bars(s, d), demo.BENCHMARK, parts=Parts(detector=detect)).weights)
+
+
+add("evaluate_own_detector", "U2 V8", _own_detector, wsql("run_weights"))
+
+
 def _sweep(s: SparkSession, d: str) -> DataFrame:
     books = {"plain": TOP, "banded": BANDED, "limited": LIMITED, "quantile": QUANTILE}
     ev = evaluate(inp.all_bars(s, d), demo.BENCHMARK, portfolios=books)
