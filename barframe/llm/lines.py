@@ -117,7 +117,8 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     kind = docs.schema[id].dataType.simpleString()
     runs = settle(repeated_runs(docs, id=id, text=text, min_words=min_words), "runs")
     rows = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    found = runs.withColumnRenamed("id", "_id").withColumnRenamed("text_hash", "_hash")
+    # Merged at any size: the number of documents with repeats follows the corpus, so this side is not for broadcast.
+    found = runs.withColumnRenamed("id", "_id").withColumnRenamed("text_hash", "_hash").hint("merge")
     rows = rows.join(found, rows.id.eqNullSafe(F.col("_id")) & (rows.text_hash == F.col("_hash")), "left").select("id", "text", "runs")
 
     def cut(batches):
