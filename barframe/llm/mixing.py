@@ -10,7 +10,8 @@ last one documents in the order of a seeded hash until the words are reached.
 Targets: weights share all words; a source stops at ``most`` times its own words, the excess is shared among the others by
 weight until none is above. The choice is made without moving a source's documents together: their words are summed in
 hash ranges of about ``RANGE_ROWS`` rows, whole ranges are in or out, and only the range in which the words run out is
-ordered; there a document that no longer fits is passed over, and one exchange (or one more document) brings the sum nearer.
+ordered; there a document that no longer fits is passed over, and of the last documents taken and the first passed over
+(``POOL`` each) those stay whose sum is nearest.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; equal rows are ordered by their
 position among equals; an empty table gives an empty result; sources without words get the target 0.
@@ -31,6 +32,7 @@ from barframe.plans.settle import settle
 MOST = 3
 RANGE_ROWS = 4096
 MAX_PATTERNS = 50_000
+POOL = 12
 
 
 def word_count(text) -> Column:
@@ -52,6 +54,21 @@ def targets(sizes: dict, weights: dict, most: int = MOST) -> dict:
     return out
 
 
+def nearest_sum(sizes: np.ndarray, aim: int) -> np.ndarray:
+    """1 for the sizes whose sum is nearest to ``aim`` (the smaller of two), else 0."""
+    most = aim + int(sizes.max(initial=0))
+    came = {0: (-1, 0)}  # a sum that can be reached, by which size and from which sum
+    for i, n in enumerate(sizes.tolist()):
+        for s in [s for s in came if s + n <= most and s + n not in came]:
+            came[s + n] = (i, s)
+    best = min(came, key=lambda s: (abs(s - aim), s))
+    out = np.zeros(len(sizes), dtype=np.int64)
+    while best:
+        i, best = came[best]
+        out[i] = 1
+    return out
+
+
 def cyclic_weights(sources, cycle: tuple[int, ...] = (1, 2, 3)) -> dict:
     ordered = sorted(sources, key=lambda s: (s is None, s or ""))
     return {s: cycle[i % len(cycle)] for i, s in enumerate(ordered)}
@@ -178,28 +195,14 @@ def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Col
         table = table.sort_by([("place", "ascending"), ("size", "ascending")])
         size, left = table.column("size").to_numpy(), int(table.column("room")[0].as_py())
         extra = np.zeros(len(size), dtype=np.int64)
-        over = []
         for i, n in enumerate(size):
             if n <= left:
                 extra[i], left = 1, left - n
-            else:
-                over.append((n - left, i))
-        if over and left:  # one exchange, or one document more, if that comes nearer
-            rest = np.array([i for _, i in over])
-            rest = rest[np.argsort(size[rest], kind="stable")]
-            taken = np.concatenate([[-1], np.flatnonzero((extra == 1) & (size > 0))])
-            gone = np.where(taken < 0, 0, size[taken])
-            at = np.searchsorted(size[rest], gone + left)
-            best = (left, -1, -1)
-            for side in (at - 1, at):
-                side = np.clip(side, 0, len(rest) - 1)
-                off = np.abs(left + gone - size[rest[side]])
-                k = int(np.argmin(off))
-                best = min(best, (int(off[k]), int(taken[k]), int(rest[side[k]])))
-            if best[2] >= 0:
-                extra[best[2]] = 1
-                if best[1] >= 0:
-                    extra[best[1]] = 0
+        if left:  # the last documents taken and the first passed over are chosen anew, for the nearest sum
+            full = np.flatnonzero(size > 0)
+            pool = np.concatenate([full[extra[full] == 1][-POOL:], full[extra[full] == 0][:POOL]])
+            aim = int(left + size[pool[extra[pool] == 1]].sum())
+            extra[pool] = nearest_sum(size[pool], aim)
         return table.drop_columns(["room", "place", "key"]).append_column("extra", pa.array(extra))
 
     kind = docs.schema[id].dataType.simpleString()
