@@ -52,10 +52,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete settled tables. Frames built on them can't be read afterwards; ones settled from them can."""
+def release(*tables: DataFrame, sweep: bool = True) -> None:
+    """Delete settled tables. Frames built on them can't be read afterwards; ones settled from them can.
+
+    Spark drops the shuffle files of finished jobs when the driver collects garbage, which a large driver heap rarely
+    does; ``sweep`` asks for it.
+    """
     for t in tables:
         _delete(t.sparkSession, t.settled_path)
+    if sweep and tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def release_all(spark: SparkSession) -> None:

@@ -152,7 +152,7 @@ def _read_csv(spark: SparkSession, path: str, timeframe: str) -> DataFrame:
     raw = raw.withColumn("_row", F.monotonically_increasing_id())
     is_header = F.size(F.array_intersect("_cells", F.array(*[F.lit(c) for c in names]))) >= 3
     heads = raw.filter(is_header).groupBy("_file").agg(F.min_by("_cells", F.struct("_block", "_row")).alias("_head"))
-    has = lambda *options: F.arrays_overlap("_head", F.array(*[F.lit(c) for c in options]))
+    has = lambda *options: F.size(F.array_intersect("_head", F.array(*[F.lit(c) for c in options]))) > 0
     whole = has(*TIMES)
     for short, name in VENDOR.items():
         whole = whole & has(short, name)

@@ -110,8 +110,9 @@ q.step("parts", """SELECT order_id || '-' || part AS fill_id, order_id, account_
 add("partial_fills", "O6", lambda s, d: longs(rounded(_parts(s, d)), "part"),
     q.build("""SELECT fill_id, order_id, account_id, ts, symbol, side, round(qty, 6) AS qty, round(price, 6) AS price, round(greatest(abs(qty) * 11e-3, 37e-2), 6) AS fee,
       CAST(part AS BIGINT) AS part FROM parts""", "parts"))
-add("fill_roll_up", "O5", lambda s, d: rounded(od.roll_up(demo.fills(s, d), demo.orders(s, d))),
-    q.build("""SELECT f.order_id, filled_qty, round(avg_fill_price, 6) AS avg_fill_price, round(fees, 6) AS fees, o.qty AS order_qty,
+# Averages that end on a half at the sixth digit are moved off it, or the order of a sum would decide.
+add("fill_roll_up", "O5", lambda s, d: rounded(od.roll_up(demo.fills(s, d), demo.orders(s, d)).withColumn("avg_fill_price", F.col("avg_fill_price") + 1e-9)),
+    q.build("""SELECT f.order_id, filled_qty, round(avg_fill_price + 1e-9, 6) AS avg_fill_price, round(fees, 6) AS fees, o.qty AS order_qty,
       CASE WHEN abs(filled_qty - o.qty) < 1e-9 THEN 'FILLED' ELSE 'PARTIALLY_FILLED' END AS status FROM (
       SELECT order_id, sum(qty) AS filled_qty, sum(price * qty) / sum(qty) AS avg_fill_price, sum(fee) AS fees FROM fills GROUP BY 1) f JOIN orders_ o USING (order_id)""", "fills", "orders_"))
 add("cash_ledger", "O7", lambda s, d: rounded(od.ledger(demo.fills(s, d)).select("fill_id", "account_id", "cash_change", "cash"), 3),
