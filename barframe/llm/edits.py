@@ -174,10 +174,13 @@ def apply_edits(docs: DataFrame, state: DataFrame, edits: DataFrame, tokenizer:
     kind = docs.schema[id].dataType.simpleString()
     listed = edits.select(F.col(id).alias("id"), F.struct(F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), F.col("insert").cast("string").alias("insert")).alias("e"))
     listed = settle(listed.filter("id is not null and e.start is not null").groupBy("id").agg(F.collect_list("e").alias("edits")), "edits")
-    texts = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(listed, "id").dropDuplicates(["id", "text_hash"])
+    # The ids alone pick the rows first, so what is not edited need not move while they are few.
+    ids = settle(listed.select("id"), "edited")
+    texts = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    texts = texts.dropDuplicates(["id", "text_hash"]).join(listed, "id")
     trees = state.withColumnRenamed(id, "id")
     # Rows that repeat id and text have equal trees; their number is kept.
-    touched = trees.join(texts, ["id", "text_hash"])
+    touched = trees.join(ids, "id", "left_semi").join(texts, ["id", "text_hash"])
 
     def update(batches):
         own = encoder(tokenizer)
@@ -199,7 +202,7 @@ def apply_edits(docs: DataFrame, state: DataFrame, edits: DataFrame, tokenizer:
     schema = f"id {kind}, text_hash long, n_before long, n_edits long, n_after long, n_reencoded long, chars array<int>, tokens array<int>"
     new = touched.select("id", "text_hash", "text", "n_tokens", "chars", "tokens", "edits").mapInArrow(update, schema)
     zero = F.lit(0).cast("long")
-    same = trees.join(listed.select("id"), "id", "left_anti")
+    same = trees.join(ids, "id", "left_anti")
     same = same.select("id", "text_hash", F.col("n_tokens").alias("n_before"), zero.alias("n_edits"), F.col("n_tokens").alias("n_after"), zero.alias("n_reencoded"), "chars", "tokens")
     return new.unionByName(same).withColumnRenamed("id", id)
 
