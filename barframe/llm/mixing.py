@@ -33,6 +33,7 @@ MOST = 3
 RANGE_ROWS = 4096
 MAX_PATTERNS = 50_000
 POOL = 12
+SUMS = 200_000
 
 
 def word_count(text) -> Column:
@@ -59,6 +60,8 @@ def nearest_sum(sizes: np.ndarray, aim: int) -> np.ndarray:
     most = aim + int(sizes.max(initial=0))
     came = {0: (-1, 0)}  # a sum that can be reached, by which size and from which sum
     for i, n in enumerate(sizes.tolist()):
+        if len(came) > SUMS:  # with very long texts: near enough, and bounded
+            break
         for s in [s for s in came if s + n <= most and s + n not in came]:
             came[s + n] = (i, s)
     best = min(came, key=lambda s: (abs(s - aim), s))
