@@ -23,13 +23,11 @@ def components(links: DataFrame) -> DataFrame:
         both = pairs.union(pairs.select("b", "a")).toDF("a", "b")
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = settle(large, "large_star")
-        release(pairs)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         down = large.join(low, "a")
         small = down.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        pairs = settle(small.distinct(), "small_star")
-        release(large)
+        old, pairs = pairs, settle(small.distinct(), "links")
+        release(old, sweep=False)
         now = _sum(pairs)
         if now == seen:
             return pairs.toDF("node", "root").union(pairs.select("b", "b").distinct()).toDF("node", "root").distinct()
