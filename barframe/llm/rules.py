@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barframe.llm import words as wd
+from barframe.plans.settle import settle
 
 SAMPLE = 2000
 #: Relative work of one unit, by kind of scan.
@@ -103,8 +104,14 @@ class Estimate:
 
 def estimate(docs: DataFrame, rules: tuple[Rule, ...], *, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> list[Estimate]:
     """Rejection rate and cost of each rule on the sample, in the order in which the cascade runs them."""
-    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(F.col(id).cast("string")).alias("_order"))
-    rows = rows.orderBy("_order", F.xxhash64("_text")).limit(sample)
+    # Rows below a bound of the hash, about twice the sample, are written first: so nothing is measured on other rows.
+    order = F.xxhash64(F.col(id).cast("string"))
+    rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), order.alias("_order"))
+    share = min(1.0, 2 * sample / max(1, docs.count()))
+    if share < 1:
+        rows = rows.filter(F.col("_order") < int((2 * share - 1) * (1 << 63)))
+    rows = settle(rows, "rule_sample").orderBy("_order", F.xxhash64("_text")).limit(sample)
+    rows = settle(rows, "rule_sample")
     for m in MEASURES:
         if any(m in r.measures for r in rules):
             rows = _measured(rows, m, "_text", F.lit(True))
