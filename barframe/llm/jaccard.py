@@ -272,7 +272,7 @@ def _families(pairs: DataFrame) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, id: str, text: str, k: int, percent: int, chunk: int = CHUNK) -> DataFrame:
-    """(id, text_hash, n, component_id) for every row."""
+    """(id, text_hash, n, root, component_id) for every row; root is the node that stands for the component, null without words."""
     scanned = settle(_scanned(docs, id, text, k), "scanned")
     named = scanned.filter("bucket is null").select("id", "text_hash", "node", "n", "sig", "hist")
     nodes = named.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("hist").alias("hist"))
@@ -340,8 +340,8 @@ def _grouped(docs: DataFrame, id: str, text: str, k: int, percent: int, chunk: i
         whole = components(links.union(_links(docs, text, k, percent, open_, members)))
     tops = nodes.join(whole, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     named_by = tops.groupBy("root").agg(F.min("least").alias("component_id"))
-    result = tops.join(named_by, "root").select("node", "component_id")
-    return named.join(result, "node", "left").select("id", "text_hash", "n", F.coalesce("component_id", "id").alias("component_id"))
+    result = tops.join(named_by, "root").select("node", "root", "component_id")
+    return named.join(result, "node", "left").select("id", "text_hash", "n", "root", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

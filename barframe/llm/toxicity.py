@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barframe.llm import jaccard
 from barframe.llm import words as wd
 from barframe.plans.settle import settle
 
@@ -38,7 +39,8 @@ MARKS = 20_000
 THRESHOLD = 0.7
 _BITS = 20
 ROUNDS = 3
-SIGNATURES = 4
+SHINGLE = 5
+PERCENT = 80
 
 
 def features(w: wd.Words) -> np.ndarray:
@@ -213,35 +215,17 @@ def held_out(id) -> F.Column:
 
 
 def _without_copies(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Of the labelled ids, those that come first for each of ``SIGNATURES`` minimum shingle hashes: near copies drop out.
+    """The labelled rows (id, text, toxic), one of each group of near copies and label: the one with the least id and text hash.
 
-    Copies share every word, so they would tie ordinary words of a copied toxic text to the label.
+    Groups are components of exact links (``jaccard``: ``SHINGLE`` words, similarity ``PERCENT``), so texts that only share
+    passages all stay, and so do texts without words. Copies share every word, so they would tie ordinary words of a copied
+    toxic text to the label.
     """
-
-    def sign(batches):
-        for batch in batches:
-            out = np.zeros((SIGNATURES, batch.num_rows), dtype=np.uint64)
-            for lo, hi, w in wd.batch_words(batch.column("text"), plain=True, lower=True):
-                h, at = w.grams(4)
-                row = w.rows()[at]
-                first = np.searchsorted(row, np.arange(hi - lo))
-                short = np.flatnonzero(np.bincount(row, minlength=hi - lo) == 0)
-                for j in range(SIGNATURES):
-                    if len(h):
-                        own = wd.mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) & 0xFFFFFFFFFFFFFFFF))
-                        out[j, lo:hi] = np.minimum.reduceat(np.append(own, np.uint64(0)), np.minimum(first, len(own)))
-                    for r in short:
-                        out[j, lo + r] = w.hash[w.first[r] : w.first[r + 1]].sum(dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x.view(np.int64)) for x in out)], names=["id", *(f"s{j}" for j in range(SIGNATURES))])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    signed = rows.mapInArrow(sign, f"id {kind}, " + ", ".join(f"s{j} long" for j in range(SIGNATURES)))
-    signed = settle(signed.join(known, "id"), "signed")
-    out = signed
-    for j in range(SIGNATURES):
-        first = signed.groupBy("toxic", f"s{j}").agg(F.min("id").alias("id")).select("id").distinct()
-        out = out.join(first, "id", "left_semi")
-    return out.select("id", "toxic").distinct()
+    mine = settle(rows.join(known, "id").select("id", "text", "toxic"), "mine")
+    found = settle(jaccard._grouped(mine, "id", "text", SHINGLE, PERCENT).select("id", "text_hash", "root"), "groups")
+    first = found.filter("root is not null").join(known, "id").groupBy("root", "toxic").agg(F.min(F.struct("id", "text_hash")).alias("first"))
+    kept = first.select("first.id", "first.text_hash").union(found.filter("root is null").select("id", "text_hash")).distinct()
+    return mine.withColumn("text_hash", F.xxhash64("text")).join(kept, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"]).drop("text_hash")
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE,
@@ -251,8 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).filter("id is not null")
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(~held_out("id"))
 
-    single = settle(_without_copies(rows, known), "single")
-    labelled = settle(rows.join(single, "id").select("id", "text", "toxic"), "labelled")
+    labelled = settle(_without_copies(rows, known), "labelled")
 
     def counted(marks):
         def count(batches):

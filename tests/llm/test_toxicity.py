@@ -74,6 +74,19 @@ def test_odd_rows(fitted, odd, empty, labels):
         assert [r.score for r in tx.toxicity(odd, labels(rows)).collect()] == [0.0] * 8
 
 
+def test_texts_that_share_a_passage_all_stay(spark):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(40)]
+    docs = [(i, " ".join([*passage, *(f"own{rng.randrange(10**6)}" for _ in range(40))])) for i in range(120)]
+    near = docs[7][1].split()
+    docs += [(200, docs[5][1]), (201, " ".join([*near[:-1], "edited"])), (202, docs[9][1]), (9, docs[9][1]), (203, ""), (204, None)]
+    known = [(i, int(i == 202 or i % 2)) for i in {i for i, _ in docs}]
+    known = [(i, t if i not in (200, 201) else 1) for i, t in known]
+    got = tx._without_copies(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(known, "id long, toxic int")).collect()
+    # 200 and 201 are near copies of 5 and 7 with the same label, 202 one of 9; the second row of 9 repeats the first.
+    assert sorted(r.id for r in got) == [*range(120), 203, 204]
+
+
 def test_marginals_against_all_paths():
     rng = np.random.default_rng(0)
     score, move = rng.normal(size=(1, 5)), np.array([-0.7, 0.4, 0.9])
