@@ -352,14 +352,15 @@ def jaccard_components(docs: DataFrame, *, id: str = "doc_id", text: str = "text
 def one_of_each(docs: DataFrame, *, id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents without near copies: of each component the row with the smallest id stays, all columns kept.
 
-    Among rows with that id the one with the smallest text hash stays, and one of rows that repeat it. Documents without
-    words are no copies of each other and stay.
+    Among the component's rows with that id the one with the smallest text hash stays, and one of rows that repeat it.
+    Components are told apart by their root: unlinked texts under one id, or under none, all stay. Documents without words
+    are no copies of each other and stay.
     """
     own = [f"_c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*own)
     key, body = own[docs.columns.index(id)], own[docs.columns.index(text)]
     found = settle(_grouped(docs, id, text, k, percent), "groups")
-    least = found.filter("n > 0 and id <=> component_id").groupBy("component_id").agg(F.min("text_hash").alias("text_hash"))
+    least = found.filter("n > 0 and id <=> component_id").groupBy("root", "component_id").agg(F.min("text_hash").alias("text_hash"))
     kept = least.select(F.xxhash64("text_hash", "component_id").alias("_kept"))
     plain = plain.withColumn("_kept", F.xxhash64(F.xxhash64(body), F.col(key)))
     some = F.coalesce(F.col(body).rlike(wd.SPACED), F.lit(False))

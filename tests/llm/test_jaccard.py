@@ -70,6 +70,14 @@ def test_one_of_each(spark):
     assert kept == sorted({c for _, _, c in brute(docs, 4, 85)})
 
 
+def test_unlinked_texts_under_one_id_or_none_stay(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(20)) for c in "abcdefg"}
+    docs = [(None, text["a"]), (None, text["b"]), (None, text["c"]), (None, text["c"]), (7, text["d"]), (7, text["e"]), (8, text["f"]), (None, text["f"]), (9, text["f"] + " x"), (9, text["g"])]
+    kept = jc.one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = [(None, text["a"]), (None, text["b"]), (None, text["c"]), (7, text["d"]), (7, text["e"]), (8, text["f"]), (9, text["g"])]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
 def test_odd_rows(odd, empty):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jc.jaccard_components(odd).collect()), key=str)
     assert got[:2] == [(1, 2, 1), (1, 2, 1)] and (None, 2, 1) in got and (2, 0, 2) in got and (4, 0, 4) in got and (5, 977, 5) in got
