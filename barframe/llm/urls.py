@@ -28,7 +28,6 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 SUPPORT = 0.002
 LEAST_URLS = 5
 CONFIDENCE = 0.9
-MAX_RULES = 5000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -83,7 +82,7 @@ def mined_rules(labelled: DataFrame, *, support: float = SUPPORT, least_urls: in
     worse = less.join(as_good, ["smaller", "verdict"]).filter("smaller_confidence >= confidence").select("tokens", "verdict").distinct()
     found = found.join(worse, ["tokens", "verdict"], "left_anti")
     rarest = found.withColumn("token", F.explode("tokens")).join(stand, "token").groupBy("tokens", "verdict").agg(F.min(F.struct("uses", "token"))["token"].alias("anchor"))
-    found = found.join(rarest, ["tokens", "verdict"]).orderBy(F.desc("confidence"), F.desc("support"), "tokens").limit(MAX_RULES)
+    found = found.join(rarest, ["tokens", "verdict"])
     return settle(found.select("tokens", "anchor", "verdict", "confidence", "support"), "url_rules")
 
 

@@ -72,3 +72,10 @@ def test_nothing_to_mine(spark):
     assert sorted((r.page_id or 0, r.host, r.rule, r.verdict, r.by) for r in ur.judged(pages).collect()) == [
         (0, "", None, "allow", "default"), (1, "x.net", None, "allow", "default"), (1, "x.net", None, "allow", "default")]
     assert ur.judged(pages.limit(0)).count() == 0
+
+
+def test_every_rule_within_the_bounds_stays(spark):
+    rows = [(f"u{i}", [f"t{i}"], "allow" if i % 2 else "block") for i in range(8192)]
+    labelled = spark.createDataFrame(rows, "url string, tokens array<string>, verdict string")
+    got = ur.mined_rules(labelled, support=0.0, least_urls=1).collect()
+    assert sorted((f"u{r.anchor[1:]}", r.tokens, r.verdict) for r in got) == sorted(rows)
