@@ -112,9 +112,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR 100 * n_symbols > 15 * n_words OR 100 * ex > 30 * n_words OR 100 * up > 50 * word_chars OR 100 * n_dup_lines > 40 * n_lines) AS kept
 FROM b""")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.cascade(table(spark, sf_dir, "documents"), all_measures=True)
+    wanted = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    judged = rules.cascade(table(spark, sf_dir, "documents"), always=wanted)
     base = F.expr(" or ".join(f"({r.fails})" for r in rules.BASE))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
+    return judged.select("doc_id", *wanted, base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
 @query("op8_url_filters")

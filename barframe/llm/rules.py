@@ -126,10 +126,11 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...], *, id: str = "doc_id", te
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = BASE + OWN, *, id: str = "doc_id", text: str = "text", all_measures: bool = False,
-            sample: int = SAMPLE, order: list[Rule] | None = None) -> DataFrame:
+            sample: int = SAMPLE, order: list[Rule] | None = None, always: tuple[str, ...] = ()) -> DataFrame:
     """(id, measures, rejected_by): the first rule of the cascade that a text fails, or null.
 
-    A text that a rule rejects is not measured for later ones (their measures are null), unless ``all_measures``.
+    A text that a rule rejects is not measured for later ones (their measures are null), unless ``all_measures``; the
+    measures in ``always`` are taken of every text.
     """
     order = order or [e.rule for e in estimate(docs, rules, id=id, text=text, sample=sample)]
     df, known = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")), []
@@ -138,6 +139,8 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = BASE + OWN, *, id: str =
             df, known = _measured(df, m, "_text", F.lit(True)), [*known, m]
         verdict = F.coalesce(*[F.when(F.expr(r.fails), F.lit(r.name)) for r in order])
         return df.select(F.col("_id").alias(id), *known, verdict.alias("rejected_by"))
+    for m in always:
+        df, known = _measured(df, m, "_text", F.lit(True)), [*known, m]
     df = df.withColumn("rejected_by", F.lit(None).cast("string"))
     for r in order:
         for m in r.measures:

@@ -1,6 +1,7 @@
 import random
 import re
 
+from barframe.llm import queries
 from barframe.llm import rules as ru
 from barframe.llm import words as wd
 
@@ -50,6 +51,21 @@ def test_cascade_measures_only_what_it_needs(spark):
     assert gains == sorted(gains, reverse=True) and est[0].rule.name == "too_few_words"
 
 
+def test_query_measures_its_columns_always_and_others_while_open(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    calls, cascade = [], ru.cascade
+    monkeypatch.setattr(queries.rules, "cascade", lambda *a, **b: calls.append(cascade(*a, **b)) or calls[-1])
+    got = {r.doc_id: r for r in queries.QUERIES["op5_quality_rules"](spark, str(tmp_path)).collect()}
+    whole = {r.doc_id: r for r in cascade(docs, all_measures=True).collect()}
+    wanted = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for i, _ in corpus():
+        assert all(got[i][c] == whole[i][c] for c in wanted) and got[i].kept == (whole[i].rejected_by is None)
+    inner = {r.doc_id: r for r in calls[0].collect()}
+    assert any(r.rejected_by and r.n_upper is None for r in inner.values())
+    assert all(r.n_upper is not None and r.n_exclamations is not None and r.n_lines is not None for r in inner.values() if not r.rejected_by)
+
+
 def test_odd_rows(odd, empty):
     got = ru.cascade(odd, all_measures=True).collect()
     assert len(got) == 8 and sum(r.n_words == 30_000 for r in got) == 1
