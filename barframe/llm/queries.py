@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barframe.llm import benchmarks, edits, jaccard, licenses, lines, mixing, rules, tokenfile, toxicity, urls
+from barframe.llm import benchmarks, edits, jaccard, licenses, lines, merkle, mixing, phrases, quality, rules, tokenfile, toxicity, urls
 from barframe.llm import words as wd
 from barframe.plans.settle import settle
 
@@ -163,3 +163,73 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     state = settle(edits.count_tokens(docs, tokenizer()), "trees")
     return edits.apply_edits(docs, state, edits.scrub_edits(docs), tokenizer()).select("doc_id", "n_before", "n_edits", "n_after", "n_reencoded")
+
+
+@query("op11_quality_classifier")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_phrase_mining", f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[s + 1 : s + k], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(0, len(w) - k + 1)) AS s FROM w, range(1, 5) t(k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+s AS (SELECT x.lang, x.phrase, x.a, x.i AS i, l.a AS l, r.a AS r, CAST((CAST(2000000 AS HUGEINT) * x.a) // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score
+      FROM (SELECT lang, phrase, a, k, w, unnest(range(1, k)) AS i FROM c) x
+      JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1 : x.i], ' ') JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.i + 1 :], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+h AS (SELECT lang, phrase, max(a) AS longer FROM (
+        SELECT lang, a, array_to_string(w[o + 1 : o + z], ' ') AS phrase FROM (SELECT lang, a, w, z, unnest(range(0, k - z + 1)) AS o FROM c, range(2, 4) t(z) WHERE z < k)) GROUP BY ALL),
+o AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, l, r, score
+      FROM b LEFT JOIN h ON h.lang = b.lang AND h.phrase = b.phrase WHERE NOT coalesce(100 * CAST(longer AS HUGEINT) >= 80 * CAST(b.a AS HUGEINT), false))
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def _tampered_text() -> F.Column:
+    """The text as it is stored by someone who lower-cases A-Z in the rows whose id's crc32 5 divides."""
+    hit = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 5 == 0
+    return F.when(F.coalesce(hit, F.lit(False)), F.translate("text", wd.UPPER, wd.LOWER)).otherwise(F.col("text"))
+
+
+_CRC_BITS = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: list_transform(range(8), lambda b: (ascii(ch) >> b) & 1)))"
+_FIELDS = "concat({}, {}, {}, {}, {})".format(*[f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR)), '-')" for c in ("doc_id", "source", "lang", "n_chars")], "{}")
+_LEAF = lambda text: "sha256(" + _FIELDS.format(f"coalesce(concat(strlen({text}), ':', {text}), '-')") + ")"
+_OTHERS = "string_agg({h}, '' ORDER BY pos) OVER (PARTITION BY tree, lvl, pos // 16 ORDER BY pos ROWS BETWEEN {rows})"
+
+
+def _with_others(nodes: str) -> str:
+    left, right = (_OTHERS.format(h="h", rows=r) for r in ("UNBOUNDED PRECEDING AND 1 PRECEDING", "1 FOLLOWING AND UNBOUNDED FOLLOWING"))
+    return f"SELECT tree, lvl, pos, coalesce({left}, '') AS lft, coalesce({right}, '') AS rgt FROM {nodes} WHERE n > 1"
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE c AS (SELECT *, list_reduce(list_concat([4294967295], {_CRC_BITS}), lambda s, b: xor(s >> 1, 3988292384 * (xor(s, b) & 1))) AS s FROM documents),
+d AS (SELECT doc_id, source, text, {_LEAF("text")} AS leaf, coalesce(xor(s, 4294967295) % 5 = 0, false) AS hit,
+             {_LEAF(f"translate(text, '{wd.UPPER}', '{wd.LOWER}')")} AS low FROM c),
+l AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+             count(*) OVER (PARTITION BY source) AS n FROM d),
+t AS (SELECT tree, 0 AS lvl, pos, n, leaf AS h FROM l
+      UNION ALL SELECT tree, lvl + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY tree, lvl, pos // 16),
+r AS (SELECT tree, lvl, h AS subroot FROM t WHERE n = 1),
+u AS (SELECT CAST(-1 AS BIGINT) AS tree, 0 AS lvl, tree AS pos, (SELECT count(*) FROM r) AS n, subroot AS h FROM r
+      UNION ALL SELECT tree, lvl + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY tree, lvl, pos // 16),
+o AS ({_with_others("t")} UNION ALL {_with_others("u")}),
+steps AS (SELECT l.tree, l.pos AS spot, o.lvl AS step, lft, rgt FROM l JOIN o ON o.tree = l.tree AND o.pos = l.pos // CAST(pow(16, o.lvl) AS BIGINT)
+          UNION ALL SELECT l.tree, l.pos, r.lvl + o.lvl, lft, rgt FROM l JOIN r USING (tree) JOIN o ON o.tree = -1 AND o.pos = l.tree // CAST(pow(16, o.lvl) AS BIGINT)),
+p AS (SELECT tree, spot, sha256(string_agg(concat(lft, rgt), '' ORDER BY step)) AS proof FROM steps GROUP BY tree, spot),
+f AS (SELECT tree, pos AS spot, 0 AS step, CASE WHEN hit THEN low ELSE leaf END AS h FROM l
+      UNION ALL SELECT f.tree, f.spot, f.step + 1, sha256(concat(lft, f.h, rgt)) FROM f JOIN steps USING (tree, spot, step)),
+e AS (SELECT tree, spot, h FROM f QUALIFY row_number() OVER (PARTITION BY tree, spot ORDER BY step DESC) = 1)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, e.h AS folded_root, e.h = root AS verified
+FROM l JOIN r USING (tree) JOIN e ON e.tree = l.tree AND e.spot = l.pos LEFT JOIN p ON p.tree = l.tree AND p.spot = l.pos, (SELECT h AS root FROM u WHERE n = 1)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("doc_id", "source", "lang", "n_chars")
+    made = merkle.manifest(table(spark, sf_dir, "documents"), carry={"seen": merkle.digest(*fields, _tampered_text())})
+    folded = merkle.fold(F.col("seen"), F.col("path"))
+    rows = made.leaves.select("doc_id", "leaf", "subroot", F.lit(made.root).cast("string").alias("root"), F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -132,9 +132,9 @@ def groups(offsets: np.ndarray, limit: int = GROUP) -> Iterator[tuple[int, int]]
         lo = min(hi, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, plain: bool, lower: bool, prefixes: tuple[int, ...] = ()) -> Words:
-    """Words of consecutive rows. ``data`` is the column's buffer, ``offsets`` the rows' bounds in it."""
-    to, inside = byte_rule(plain, lower)
+def words(data: np.ndarray, offsets: np.ndarray, plain: bool, lower: bool, prefixes: tuple[int, ...] = (), rule: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
+    """Words of consecutive rows. ``data`` is the column's buffer, ``offsets`` the rows' bounds in it. ``rule`` replaces ``byte_rule``."""
+    to, inside = rule or byte_rule(plain, lower)
     lo, hi = int(offsets[0]), int(offsets[-1])
     own = to[data[lo:hi]] if lower else data[lo:hi]
     n = len(own)
