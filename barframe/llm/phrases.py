@@ -11,9 +11,10 @@ An n-gram can only be that frequent if both of its parts that are one word short
 missing from a bit table of the frequent fingerprints. The table is built by Spark's bitmap aggregate, has ``BITS_EACH`` bits per
 fingerprint and ``MAX_BITS`` bits at most (32 MB); beyond that it lets more n-grams through, and the counts stay what they are.
 
-A place is (key of the text, byte offset). Only the texts that frequent fingerprints point at are read for their words, and
-the words found there are hashed again: a fingerprint whose occurrences differ in the second fingerprint, or whose text gives
-another one, has collided. The n-grams of collided fingerprints are counted by their text in one more scan, so the counts are exact.
+A place is one 64-bit number, ``KEY_BITS`` bits of the text's hash and the index of the first word, so sums, places and second
+fingerprints are plain longs and Spark aggregates them by hash. Only the texts that frequent fingerprints point at are read for their words, and
+the words found there are hashed again: a fingerprint whose occurrences differ in the second fingerprint, or whose place does not
+show it (texts with equal key bits are all tried; an index beyond the bits left points nowhere), counts as collided. The n-grams of collided fingerprints are counted by their text in one more scan, so the counts are exact.
 Frequent phrases alone become text; cuts and containment are then joins on the phrases themselves.
 
 Defined cases: a null or empty text has no words; a null language is ``und`` and counts with it; repeated rows count each time; ties in the
@@ -40,7 +41,8 @@ SCALE = 2_000_000
 CONTAINED = 80
 BITS_EACH = 32
 MAX_BITS = 1 << 28
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+KEY_BITS = 36
 BASES = (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25)
 CUTS = b".,;:!?\n\x0b\x0c\r"
 
@@ -140,17 +142,18 @@ def known(prints: DataFrame, bits_each: int = BITS_EACH, max_bits: int = MAX_BIT
 
 def _combined(parts: list[tuple]) -> tuple:
     """One entry per fingerprint, second fingerprint and language: the count and the first of its places."""
-    fp, check, lang, key, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    fp, check, lang, place = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(fp, kind="stable")
     fp, check, lang = fp[order], check[order], lang[order]
     new = np.ones(len(fp), dtype=bool)
     new[1:] = (fp[1:] != fp[:-1]) | (check[1:] != check[:-1]) | (lang[1:] != lang[:-1])
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(fp)))
-    return fp[first], check[first], lang[first], n, key[order][first], at[order][first]
+    return fp[first], check[first], lang[first], n, place[order[first]]
 
 
-_COUNTED = "lang string, fp long, chk long, n long, key long, at long, k int"
+_COUNTED = "lang string, fp long, chk long, n long, place long, k int"
+_AT = (1 << (63 - KEY_BITS)) - 1
 
 
 def _scan(docs: DataFrame, sizes: tuple[int, ...], filters, fp_bits: int, block: int) -> DataFrame:
@@ -164,18 +167,16 @@ def _scan(docs: DataFrame, sizes: tuple[int, ...], filters, fp_bits: int, block:
             size = dict.fromkeys(sizes, 0)
 
             def emit(k):
-                fp, check, lang, n, key, at = _combined(held[k])
+                fp, check, lang, n, place = _combined(held[k])
                 held[k], size[k] = [], 0
                 return pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(lang)), pa.array(fp.view(np.int64)), pa.array(check.view(np.int64)), pa.array(n), pa.array(key), pa.array(at), pa.array(np.full(len(fp), k, np.int32))],
-                    names=["lang", "fp", "chk", "n", "key", "at", "k"])
+                    [names.take(pa.array(lang)), pa.array(fp.view(np.int64)), pa.array(check.view(np.int64)), pa.array(n), pa.array(place), pa.array(np.full(len(fp), k, np.int32))],
+                    names=["lang", "fp", "chk", "n", "place", "k"])
 
-            _, offsets = wd.buffers(batch.column("text"))
             for lo, hi, w in cut(batch.column("text")):
                 if not len(w.hash):
                     continue
                 g = Grams(w, seed[lo:hi], fp_bits)
-                begin = offsets[lo : hi + 1] - offsets[lo]
                 for k in sizes:
                     at = g.places(k)
                     if filters is not None and k > 1:
@@ -183,7 +184,7 @@ def _scan(docs: DataFrame, sizes: tuple[int, ...], filters, fp_bits: int, block:
                         for j in range(k - m + 1):
                             at = at[filters.value[1].has(g.of(at + j, m))]
                     rows = g.rows[at]
-                    held[k].append((g.of(at, k), g.of(at, k, 1), code[lo:hi][rows], keys[lo:hi][rows], w.start[at] - begin[rows]))
+                    held[k].append((g.of(at, k), g.of(at, k, 1), code[lo:hi][rows], (keys[lo:hi][rows] << (63 - KEY_BITS)) + np.minimum(at - w.first[rows], _AT)))
                     size[k] += len(at)
                     if size[k] >= block:
                         yield emit(k)
@@ -195,9 +196,9 @@ def _scan(docs: DataFrame, sizes: tuple[int, ...], filters, fp_bits: int, block:
 
 
 def _frequent(counted: DataFrame, least: int) -> DataFrame:
-    place = F.min(F.struct("key", "at"))
-    sums = counted.groupBy("lang", "k", "fp").agg(F.sum("n").alias("n"), F.min("chk").alias("chk"), (F.min("chk") != F.max("chk")).alias("mixed"), place.alias("place"))
-    return sums.filter(F.col("n") >= least).select("lang", "k", "fp", "n", "chk", "mixed", "place.key", "place.at")
+    sums = counted.groupBy("lang", "k", "fp").agg(F.sum("n").alias("n"), F.min("chk").alias("chk"), (F.min("chk") != F.max("chk")).alias("mixed"), F.min("place").alias("place"))
+    key, at = F.shiftright("place", 63 - KEY_BITS), F.col("place").bitwiseAND(F.lit(_AT))
+    return sums.filter(F.col("n") >= least).select("lang", "k", "fp", "n", "chk", "mixed", key.alias("key"), at.alias("at"))
 
 
 def _phrase(w: wd.Words, i: int, k: int) -> str:
@@ -205,9 +206,9 @@ def _phrase(w: wd.Words, i: int, k: int) -> str:
 
 
 def _read_places(texts: DataFrame, frequent: DataFrame, fp_bits: int) -> DataFrame:
-    """(lang, k, phrase, n, fp, same): the words at the place of each fingerprint, and whether they have it."""
+    """(lang, k, phrase, n, fp, same): the words at the place of each fingerprint, and whether they have it, once per text of the key."""
     spots = frequent.groupBy("key").agg(F.collect_list(F.struct("k", "at", "fp", "chk", "n", "mixed")).alias("spots"))
-    pointed = texts.join(spots.select("key"), "key", "left_semi").groupBy("key").agg(F.first(F.struct("lang", "text")).alias("doc"))
+    pointed = texts.join(spots.select("key"), "key", "left_semi").groupBy("key", F.xxhash64("lang", "text").alias("whole")).agg(F.first(F.struct("lang", "text")).alias("doc"))
 
     def read(batches):
         for batch in batches:
@@ -215,13 +216,11 @@ def _read_places(texts: DataFrame, frequent: DataFrame, fp_bits: int) -> DataFra
             seed = seeds(batch.column("lang"))
             out = {c: [] for c in ("lang", "k", "phrase", "n", "fp", "same")}
             langs = batch.column("lang").to_pylist()
-            _, offsets = wd.buffers(batch.column("text"))
             for lo, hi, w in cut(batch.column("text")):
                 g = Grams(w, seed[lo:hi], fp_bits)
-                begin = offsets[lo : hi + 1] - offsets[lo]
                 for r in range(lo, hi):
                     for s in spots_of[r].as_py():
-                        i, k = int(np.searchsorted(w.start, begin[r - lo] + s["at"])), s["k"]
+                        i, k = int(w.first[r - lo]) + s["at"], s["k"]
                         at = np.array([i])
                         inside = i + k <= w.first[r - lo + 1]
                         same = bool(inside and not s["mixed"] and g.of(at, k).view(np.int64)[0] == s["fp"] and g.of(at, k, 1).view(np.int64)[0] == s["chk"])
@@ -270,7 +269,7 @@ def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang",
     """
     spark = docs.sparkSession
     d = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).filter("text is not null")
-    d = d.withColumn("key", F.xxhash64("lang", "text"))
+    d = d.withColumn("key", F.shiftrightunsigned(F.xxhash64("lang", "text"), 64 - KEY_BITS))
     kinds: list[DataFrame] = []
     before = None
     for sizes in ((1,), (2,), tuple(range(3, longest + 1))):
@@ -279,7 +278,7 @@ def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang",
             continue
         counted = _scan(d, sizes, before, fp_bits, block)
         if sizes == (1,):
-            counted = settle(counted.groupBy("lang", "k", "fp", "chk").agg(F.sum("n").alias("n"), F.min(F.struct("key", "at")).alias("p")).select("lang", "k", "fp", "chk", "n", "p.*"), "words")
+            counted = settle(counted.groupBy("lang", "k", "fp", "chk").agg(F.sum("n").alias("n"), F.min("place").alias("place")), "words")
             totals = settle(counted.groupBy("lang").agg(F.sum("n").alias("n_words")), "totals")
             found = settle(_frequent(counted, least), "frequent")
             release(counted, sweep=False)
@@ -297,10 +296,11 @@ def frequent_phrases(docs: DataFrame, *, text: str = "text", lang: str = "lang",
         frequent = frequent.union(f)
     read = settle(_read_places(d, frequent, fp_bits), "phrases")
     release(*kinds, sweep=False)
-    phrases = read.filter("same").select("lang", "k", "phrase", "n")
-    collided = read.filter("not same").select("lang", "k", "fp")
+    shown = read.groupBy("lang", "k", "fp").agg(F.max(F.when(F.col("same"), F.col("phrase"))).alias("phrase"), F.max("n").alias("n"))
+    phrases, collided = shown.filter("phrase is not null").select("lang", "k", "phrase", "n"), shown.filter("phrase is null").select("lang", "k", "fp")
     if not collided.isEmpty():
-        phrases = phrases.union(_by_text(d, collided, fp_bits, tuple(range(1, longest + 1)), least))
+        more = _by_text(d, collided, fp_bits, tuple(range(1, longest + 1)), least)
+        phrases = phrases.union(more).groupBy("lang", "k", "phrase").agg(F.max("n").alias("n"))
     phrases = settle(phrases, "phrases")
     release(read, sweep=False)
     return phrases, totals
@@ -332,7 +332,10 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     left = best.select("lang", "phrase", "best.*").join(holders, ["lang", "phrase"], "left")
     inside = F.coalesce(F.col("longer").cast("decimal(38,0)") * 100 >= F.col("a").cast("decimal(38,0)") * contained, F.lit(False))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = left.filter(~inside).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    # First among a 32nd of the phrases, so that the task of a language gets 32 * top rows at most.
+    near = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(32))).orderBy(F.desc("score"), F.desc("a"), "phrase")
+    left = left.filter(~inside).withColumn("near", F.row_number().over(near)).filter(F.col("near") <= top).drop("near")
+    ranked = left.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
     found = settle(ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("n_words").alias("n"), "score"), "collocations")
     release(phrases, totals, sweep=False)
     return found
