@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barframe.operators import hysteresis as hy
+from barframe.streaming.state import require_rocksdb
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 BEFORE_ALL = -(2**62)
 _STATE = T.StructType(
     [T.StructField("state", T.IntegerType()), T.StructField("days", T.LongType()), T.StructField("since", T.LongType()),
@@ -74,7 +74,7 @@ def stream_regime(proposals: DataFrame, machine: hy.Machine, start: DataFrame |
     Rows on or before a symbol's last date are late or repeated and are left out. ``start`` (see
     :func:`last_states`) continues from a batch result. One symbol's state is a single small row.
     """
-    proposals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    require_rocksdb(proposals.sparkSession)
     kind = T.DateType()
     numbered = proposals.withColumn("at", hy.as_number(kind, F.col("date"))).drop("date")
     out = numbered.groupBy("symbol").transformWithStateInPandas(

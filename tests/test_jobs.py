@@ -13,7 +13,6 @@ from barframe.operators import orders as od
 from barframe.sources import bars as sb
 from barframe.sources import sinks as sk
 from barframe.sources import universe as un
-from barframe.streaming import incremental as ic
 from barframe.streaming import sources as so
 from tests import plain
 
@@ -217,33 +216,6 @@ def test_label_modes(spark):
     assert [r["y"] for r in ln.next_day_label(df, "compat").orderBy("date").collect()] == [0, 1, 0]
 
 
-def test_incremental_features_equal_batch(spark):
-    closes = {s: plain.walk(360, i) for i, s in enumerate("AB")}
-    for i in range(100, 112):
-        closes["B"][i] = None
-    rows = [(s, d, c, 5.0) for s, xs in closes.items() for d, c in zip(plain.days(360), xs)]
-    schema = "symbol string, date date, close double, volume double"
-    want = {(r["symbol"], r["date"]): r for r in ft.features(spark.createDataFrame(rows, schema)).collect()}
-    tail, seen = ic._empty(spark), 0
-    days = plain.days(360)
-    for lo, hi in ((0, 300), (300, 345), (345, 360)):
-        new = spark.createDataFrame([r for r in rows if days[lo] <= r[1] <= days[hi - 1]], schema)
-        feats, tail, late = ic.process_batch(tail, new)
-        from barframe.plans.settle import settle
-
-        tail = settle(tail, "tail")
-        assert late.count() == 0
-        for r in feats.collect():
-            seen += 1
-            for f in ("n", *ft.FEATURES):
-                assert plain.close(r[f], want[(r["symbol"], r["date"])][f], 1e-12), (f, r["date"])
-    assert seen == len(rows)
-    assert tail.filter("symbol = 'A'").count() < 300  # only what later features can reach is kept
-    old = spark.createDataFrame([("A", days[10], 1.0, 1.0), ("C", days[10], 1.0, 1.0)], schema)
-    feats, _, late = ic.process_batch(tail, old)
-    assert [r["symbol"] for r in late.collect()] == ["A"] and [r["symbol"] for r in feats.collect()] == ["C"]
-
-
 def test_stream_dedupe_drops_repeats(spark, tmp_path):
     rows = [(i % 5, dt.datetime(2024, 1, 1, 0, 0, i)) for i in range(20)]
     spark.createDataFrame(rows, "id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
