@@ -6,17 +6,20 @@ windows therefore run over groups of a known size, however wide the cross-sectio
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barframe.config import PortfolioConstraints
 from barframe.functions.scalar import clamp01
 from barframe.plans.segments import as_list
-from barframe.plans.settle import settle
+from barframe.plans.settle import new_path, release, settle
 
 BOOK = ("portfolio_id", "date")
+BATCH_DATES = 512
 
 
 def candidates(scores: DataFrame, cons: PortfolioConstraints, universe: DataFrame | None = None) -> DataFrame:
@@ -193,67 +196,86 @@ def apply_turnover_limit(
     return capped.withColumn("weight", out).select(*by, "symbol", "weight")
 
 
-# One book's weights as plain pandas, for the path over dates where every day starts from the day before.
-def _cap_series(w: pd.Series, cap: float) -> pd.Series:
-    total = w.sum()
-    if total <= 0 or (w <= cap).all():
-        return w
-    s = w.sort_values(ascending=False)
-    rest = s[::-1].cumsum()[::-1]
-    scale = (total - cap * pd.Series(range(len(s)), index=s.index)) / rest.where(rest > 0)
-    fits = (s * scale <= cap).to_numpy()
-    if not fits.any():
-        return w.where(w <= 0, cap)
-    first = int(fits.argmax())
-    out = s * scale.iloc[first]
-    out.iloc[:first] = cap
-    return out.reindex(w.index)
-
-
-def step_weights(target: pd.Series, held: pd.Series, cons: PortfolioConstraints) -> pd.Series:
+# One book's weights by symbol (at most ``max_positions``), for the path over dates where every day starts from the day before.
+def _cap_book(book: dict[str, float], cap: float) -> dict[str, float]:
+    total = sum(book.values())
+    if total <= 0 or max(book.values()) <= cap:
+        return book
+    down = sorted(book, key=lambda s: (-book[s], s))
+    rest = list(accumulate(book[s] for s in reversed(down)))[::-1]
+    for k, s in enumerate(down):
+        if rest[k] > 0 and book[s] * (total - cap * k) / rest[k] <= cap:
+            larger, scale = set(down[:k]), (total - cap * k) / rest[k]
+            return {t: cap if t in larger else w * scale for t, w in book.items()}
+    return {t: cap if w > 0 else w for t, w in book.items()}
+
+
+def step_weights(target: dict[str, float], held: dict[str, float], cons: PortfolioConstraints) -> dict[str, float]:
     """Weights after the band and the turnover limit, given today's targets and the weights held."""
-    w = target
-    if cons.rebalance_band > 0.0 and len(held):
-        old = held.reindex(w.index).fillna(0.0)
-        w = w.where((old == 0) | (w == 0) | ((w - old).abs() >= cons.rebalance_band), old)
-        total = w.sum()
+    book = target
+    if not held:
+        return book
+    if cons.rebalance_band > 0.0:
+        old = {s: held.get(s, 0.0) for s in book}
+        book = {s: old[s] if old[s] != 0 and w != 0 and abs(w - old[s]) < cons.rebalance_band else w for s, w in book.items()}
+        total = sum(book.values())
         if total > 0:
-            w = _cap_series(w.clip(lower=0.0) * (min(cons.gross_target, total) / total), cons.max_weight)
-    if cons.turnover_limit is not None and len(held):
-        names = w.index.union(held.index)
-        new, old = w.reindex(names).fillna(0.0), held.reindex(names).fillna(0.0)
-        traded = (new - old).abs().sum()
+            scale = min(cons.gross_target, total) / total
+            book = _cap_book({s: max(w, 0.0) * scale for s, w in book.items()}, cons.max_weight)
+    if cons.turnover_limit is not None:
+        change = {s: book.get(s, 0.0) - held.get(s, 0.0) for s in sorted({*book, *held})}
+        traded = sum(abs(c) for c in change.values())
         if traded > cons.turnover_limit and traded > 0:
-            moved = (old + cons.turnover_limit / traded * (new - old)).clip(lower=0.0)
-            w = _cap_series(moved[moved > 0], cons.max_weight)
-    return w
+            share = cons.turnover_limit / traded
+            moved = {s: max(held.get(s, 0.0) + share * c, 0.0) for s, c in change.items()}
+            book = _cap_book({s: w for s, w in moved.items() if w > 0}, cons.max_weight)
+    return book
+
 
+def _done(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
-def rebalance_path(targets: DataFrame, dates: DataFrame, cons: PortfolioConstraints) -> DataFrame:
+
+def rebalance_path(targets: DataFrame, dates: DataFrame, cons: PortfolioConstraints, batch: int = BATCH_DATES, folder: str | None = None) -> DataFrame:
     """Band and turnover limit along the dates of each portfolio.
 
-    Each day's weights depend on the whole book of the day before, so one portfolio is one ordered fold;
-    portfolios run in parallel. A group holds at most ``max_positions`` rows per trading date.
+    Each day's weights depend on the whole book of the day before, so dates are scanned in order, ``batch`` of them at a time:
+    the targets are written once by batch, and a step reads its own batch and the last book of the step before, a small table. A
+    task holds one portfolio's batch, at most ``batch * max_positions`` rows, however long the history is. Every step writes its weights
+    under ``folder`` (a new one in the shared folder if it is not given); steps already finished there are not run again.
     ``dates`` has the rebalance dates per portfolio, so a date without targets empties the book.
     """
-    rows = dates.select("portfolio_id", "date").join(
-        targets.select("portfolio_id", "date", "symbol", "weight"), ["portfolio_id", "date"], "left"
-    )
-    schema = T.StructType(
-        [rows.schema["portfolio_id"], rows.schema["date"], rows.schema["symbol"], T.StructField("weight", T.DoubleType())]
-    )
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, out = pd.Series(dtype=float), []
-        for day, book in pdf.sort_values(["date", "symbol"]).groupby("date", sort=True):
-            known = book.dropna(subset=["symbol"])
-            held = step_weights(known.set_index("symbol")["weight"], held, cons)
-            out.append(pd.DataFrame({"date": day, "symbol": held.index, "weight": held.to_numpy()}))
-        res = pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=["date", "symbol", "weight"])
-        res.insert(0, "portfolio_id", pdf["portfolio_id"].iloc[0])
-        return res
-
-    return rows.groupBy("portfolio_id").applyInPandas(fold, schema)
+    spark = targets.sparkSession
+    folder = folder or new_path(spark, "weight-path")
+    order = Window.partitionBy("portfolio_id").orderBy("date")  # one row per rebalance date
+    days = dates.select("portfolio_id", "date").distinct().withColumn("_batch", F.expr(f"(row_number() over (partition by portfolio_id order by date) - 1) div {batch}"))
+    days = days.withColumn("_last", F.lead("_batch").over(order).isNull() | (F.lead("_batch").over(order) > F.col("_batch")))
+    days = settle(days, "path-days")
+    steps = (days.agg(F.max("_batch")).first()[0] or 0) + 1
+    rows = days.join(targets.select("portfolio_id", "date", "symbol", "weight"), ["portfolio_id", "date"], "left")
+    rows = settle(rows, "path-targets", ["_batch"])
+    kinds = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([kinds["portfolio_id"], kinds["date"], kinds["symbol"], T.StructField("weight", T.DoubleType()), T.StructField("_last", T.BooleanType())])
+
+    def fold(targets: pd.DataFrame, book: pd.DataFrame) -> pd.DataFrame:
+        held, out = dict(zip(book["symbol"], book["weight"], strict=True)), []
+        for day, own in targets.sort_values(["date", "symbol"]).groupby("date", sort=True):
+            known = own[own["symbol"].notna()]
+            held = step_weights(dict(zip(known["symbol"], known["weight"], strict=True)), held, cons)
+            last = bool(own["_last"].iloc[0])
+            out += [(own["portfolio_id"].iloc[0], day, s, w, last) for s, w in held.items()]
+        return pd.DataFrame(out, columns=schema.names)
+
+    book = spark.createDataFrame([], schema)
+    for k in range(steps):
+        path = f"{folder}/batch={k}"
+        if not _done(spark, path):
+            part = rows.filter(F.col("_batch") == k).drop("_batch").groupBy("portfolio_id")
+            part.cogroup(book.groupBy("portfolio_id")).applyInPandas(fold, schema).write.mode("overwrite").parquet(path)
+        book = spark.read.schema(schema).parquet(path).filter("_last")
+    release(days, rows, sweep=False)
+    return spark.read.schema(schema).parquet(*[f"{folder}/batch={k}" for k in range(steps)]).drop("_last")
 
 
 def diagnostics(

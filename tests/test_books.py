@@ -1,6 +1,8 @@
 import datetime as dt
 import math
+import os
 import random
+import shutil
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -145,7 +147,7 @@ def test_path_equals_plain_loop(spark):
         targets = spark.createDataFrame(rows, "portfolio_id string, date date, symbol string, weight double")
         dates = spark.createDataFrame([(name, d) for d in days], "portfolio_id string, date date")
         got = {}
-        for r in po.rebalance_path(targets, dates, cons).collect():
+        for r in po.rebalance_path(targets, dates, cons, batch=5).collect():
             got.setdefault(r["date"], {})[r["symbol"]] = r["weight"]
         for d in days:
             assert got.get(d, {}).keys() == want[d].keys()
@@ -153,6 +155,26 @@ def test_path_equals_plain_loop(spark):
                 assert got[d][s] == pytest.approx(x, abs=1e-12)
 
 
+def test_weight_path_goes_on_after_any_batch(spark, tmp_path):
+    """Batches of dates give the path of one scan; a folder that lacks its last batches is finished, the others are not written again."""
+    rng = random.Random(11)
+    cons = PortfolioConstraints(max_positions=6, min_positions=2, max_weight=0.4, rebalance_band=0.05, turnover_limit=0.3)
+    days = plain.days(30)
+    rows = [(p, d, f"S{i}", rng.random() / 4) for p in "AB" for k, d in enumerate(days) if k != 13 for i in rng.sample(range(9), 5)]
+    targets = spark.createDataFrame(rows, "portfolio_id string, date date, symbol string, weight double")
+    dates = spark.createDataFrame([("A", d) for d in days] + [("B", d) for d in days[4:21]], "portfolio_id string, date date")
+    read = lambda df: {(r["portfolio_id"], r["date"], r["symbol"]): r["weight"] for r in df.collect()}
+    whole = read(po.rebalance_path(targets, dates, cons))
+    folder = str(tmp_path / "path")
+    assert read(po.rebalance_path(targets, dates, cons, batch=7, folder=folder)) == whole
+    stopped = str(tmp_path / "stopped")
+    for k in range(3):
+        shutil.copytree(f"{folder}/batch={k}", f"{stopped}/batch={k}")
+    before = os.path.getmtime(f"{stopped}/batch=2/_SUCCESS")
+    assert read(po.rebalance_path(targets, dates, cons, batch=7, folder=stopped)) == whole
+    assert os.path.getmtime(f"{stopped}/batch=2/_SUCCESS") == before and not any(d == days[13] for _, d, _ in whole)
+
+
 def states(spark, market="calm_trend", stocks=None):
     m = spark.createDataFrame([(D, market, 0.8)], "date date, label string, confidence double")
     s = spark.createDataFrame([(k, D, v, 0.9) for k, v in stocks.items()], "symbol string, date date, label string, confidence double")

@@ -154,7 +154,8 @@ def _paths(s: SparkSession, d: str) -> DataFrame:
     return w(out)
 
 
-add("rebalance_path", "P9 P10", _paths)
+add("rebalance_path", "P9 P10", _paths,
+    q.build("SELECT portfolio_id, date, symbol, round(weight, 6) AS weight FROM banded UNION ALL SELECT portfolio_id, date, symbol, round(weight, 6) AS weight FROM limited", "banded", "limited"))
 
 # --- evaluation --------------------------------------------------------------------------------------------
 
@@ -218,4 +219,4 @@ def _sweep(s: SparkSession, d: str) -> DataFrame:
     return _stats(ev.stats)
 
 
-add("evaluate_sweep", "V1 P9 P10", _sweep)
+add("evaluate_sweep", "V1 P9 P10", _sweep, qb.sweep())

@@ -125,3 +125,63 @@ q.step("run_raw", raw("run_top", "1e0", 5), "run_top")
 q.step("run_weights", cap("run_raw", "8e-2"), "run_raw")
 q.step("run_dates", "SELECT date FROM cal WHERE date >= (SELECT d FROM ready)", "cal", "ready")
 equity("run", "run_weights", "cal")
+
+
+def _capped(book: str, limit: str) -> str:
+    """The capped book (a list of s, w) of ``book``: sorted by weight, then the first position that fits sets the scale."""
+    down = f"list_sort(list_transform(list_filter({book}, lambda x: x.w > 0), lambda x: {{'k': -x.w, 's': x.s}}))"
+    return f"""SELECT * EXCLUDE (down, total, scales, first), CASE WHEN total <= 0 THEN {book} ELSE list_transform(down, lambda x, n:
+          {{'s': x.s, 'w': CASE WHEN first = 0 OR n < first THEN {limit} WHEN first = 1 THEN -x.k ELSE -x.k * scales[first] END}}) END AS out
+        FROM (SELECT *, coalesce(list_position(list_transform(down, lambda x, n: -x.k * scales[n] <= {limit}), true), 0) AS first
+          FROM (SELECT *, list_transform(down, lambda x, n: (total - (n - 1) * {limit}) / list_sum(list_transform(down[n:], lambda y: -y.k))) AS scales
+            FROM (SELECT *, {down} AS down, coalesce(list_sum(list_transform({book}, lambda x: x.w)), 0e0) AS total FROM ({{source}}))))"""
+
+
+def path(name: str, targets: str, dates: str, limit: str, gross: str = "1e0", band: str | None = None, turnover: str | None = None) -> None:
+    """Steps ``{name}_days`` (a date's targets as a list) and ``{name}`` (portfolio_id, date, symbol, weight): the book carried from date to date."""
+    q.step(f"{name}_days", f"""SELECT d.date, row_number() OVER (ORDER BY d.date) AS i, coalesce(t.book, []) AS target
+      FROM (SELECT DISTINCT date FROM {dates}) d LEFT JOIN (SELECT date, list({{'s': symbol, 'w': weight}} ORDER BY symbol) AS book FROM {targets} GROUP BY 1) t ON t.date = d.date""", targets, dates)
+    got = lambda m, key: f"coalesce({m}[{key}], 0e0)"
+    maps = "map_from_entries(list_transform(book, lambda x: (x.s, x.w))) AS old, map_from_entries(list_transform(target, lambda x: (x.s, x.w))) AS new"
+    source = f"SELECT d.i, d.date, p.book, d.target, {maps.replace('target', 'd.target').replace('book', 'p.book')} FROM {{me}} p JOIN {name}_days d ON d.i = p.i + 1"
+    if band is not None:
+        old = got("old", "x.s")
+        mixed = f"list_transform(target, lambda x: {{'s': x.s, 'w': CASE WHEN {old} <> 0 AND x.w <> 0 AND abs(x.w - {old}) < {band} THEN {old} ELSE x.w END}})"
+        source = f"SELECT *, {mixed} AS mixed FROM ({source})"
+        source = f"SELECT *, coalesce(list_sum(list_transform(mixed, lambda x: x.w)), 0e0) AS s FROM ({source})"
+        source = f"SELECT *, CASE WHEN s > 0 THEN list_transform(mixed, lambda x: {{'s': x.s, 'w': x.w * (least({gross}, s) / s)}}) ELSE mixed END AS scaled FROM ({source})"
+        source = _capped("scaled", limit).replace("{source}", source)
+    else:
+        names = "list_sort(list_distinct(list_concat(map_keys(old), map_keys(new))))"
+        source = f"SELECT *, {names} AS names FROM ({source})"
+        source = f"SELECT *, coalesce(list_sum(list_transform(names, lambda x: abs({got('new', 'x')} - {got('old', 'x')}))), 0e0) AS traded FROM ({source})"
+        moved = f"greatest({got('old', 'x')} + {turnover} / traded * ({got('new', 'x')} - {got('old', 'x')}), 0e0)"
+        source = f"SELECT *, CASE WHEN traded > {turnover} THEN list_filter(list_transform(names, lambda x: {{'s': x, 'w': {moved}}}), lambda x: x.w > 0) ELSE target END AS moved FROM ({source})"
+        source = _capped("moved", limit).replace("{source}", source)
+        source = f"SELECT * REPLACE (CASE WHEN traded > {turnover} THEN out ELSE target END AS out) FROM ({source})"
+    q.step(f"{name}_scan", f"""SELECT CAST(0 AS BIGINT) AS i, NULL::DATE AS date, CAST([] AS STRUCT(s VARCHAR, w DOUBLE)[]) AS book
+      UNION ALL SELECT i, date, CASE WHEN len(book) = 0 THEN target ELSE out END AS book FROM ({source})""", f"{name}_days")
+    q.step(name, f"SELECT '{name}' AS portfolio_id, date, x.s AS symbol, x.w AS weight FROM (SELECT date, unnest(book) AS x FROM {name}_scan WHERE i > 0)", f"{name}_scan")
+
+
+path("banded", "w_cap", "book", "15e-2", band="2e-2")
+path("limited", "w_cap", "book", "15e-2", turnover="313701593871e-12")
+
+# The full run with several settings side by side.
+q.step("sweep_top", select_n("run_book", 10), "run_book")
+q.step("sweep_raw", raw("sweep_top", "1e0", 5), "sweep_top")
+q.step("sweep_plain", cap("sweep_raw", "15e-2"), "sweep_raw")
+q.step("sweep_topq", select_quantile("run_book", 8, "4e-1"), "run_book")
+q.step("sweep_rawq", raw("sweep_topq", "1e0", 5), "sweep_topq")
+q.step("sweep_quantile", cap("sweep_rawq", "12e-2"), "sweep_rawq")
+path("sweep_banded", "sweep_plain", "run_dates", "15e-2", band="2e-2")
+path("sweep_limited", "sweep_plain", "run_dates", "15e-2", turnover="313701593871e-12")
+SWEEP = ("plain", "banded", "limited", "quantile")
+for _name in SWEEP:
+    q.step(f"sweep_{_name}_main", f"SELECT 'main' AS portfolio_id, date, symbol, weight FROM sweep_{_name}", f"sweep_{_name}")
+    equity(f"sw_{_name}", f"sweep_{_name}_main", "cal")
+
+
+def sweep() -> str:
+    one = [stats(f"sw_{n}", f"sweep_{n}_main", "run_dates").replace("'main' AS portfolio_id", f"'{n}' AS portfolio_id") for n in SWEEP]
+    return q.build(" UNION ALL ".join(f"({x})" for x in one), *[f"sw_{n}_path" for n in SWEEP], *[f"sweep_{n}_main" for n in SWEEP], "run_dates")
