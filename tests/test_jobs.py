@@ -1,12 +1,14 @@
 import datetime as dt
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from barframe.config import CommissionConfig, FillConfig, RiskLimits, SlippageConfig
-from barframe.operators import features as ft
 from barframe.operators import inventory as iv
 from barframe.operators import learning as ln
 from barframe.operators import orders as od
@@ -174,9 +176,61 @@ def test_logistic_equals_newton(spark):
     raw = np.array([[r[2], r[3]] for r in rows])
     scaled = (raw - raw.mean(0)) / raw.std(0)
     want = newton(scaled, np.array([r[4] for r in rows]), 0.5)
-    fitted = model.model.stages[-1]
-    assert fitted.intercept == pytest.approx(want[0], abs=1e-5)
-    assert list(fitted.coefficients) == pytest.approx(list(want[1:]), abs=1e-5)
+    assert [model.intercept, *model.coefficients] == pytest.approx(list(want), abs=1e-8)
+
+
+@pytest.mark.parametrize("penalty, balanced", [("l2", None), ("l1", "balanced"), ("elasticnet", "balanced")])
+def test_logistic_equals_mllib(spark, penalty, balanced):
+    rows, df = labelled(spark)
+    model = ln.ScaledLogistic(["x", "z"], C=0.3, penalty=penalty, class_weight=balanced).fit(df)
+    ones = sum(r[4] for r in rows)
+    w = model._weights(len(rows) - ones, ones)
+    d = ln.standardize_apply(df, model.scale, ["x", "z"]).withColumn("w", F.when(F.col("y") == 1, w[1]).otherwise(w[0])).withColumn("label", F.col("y").cast("double"))
+    d = VectorAssembler(inputCols=["x", "z"], outputCol="v").transform(d)
+    mix = {"l2": 0.0, "l1": 1.0, "elasticnet": 0.5}[penalty]
+    total = w[0] * (len(rows) - ones) + w[1] * ones
+    want = LogisticRegression(featuresCol="v", weightCol="w", regParam=1 / (0.3 * total), elasticNetParam=mix, standardization=False, maxIter=3000, tol=1e-13).fit(d)
+    assert [model.intercept, *model.coefficients] == pytest.approx([want.intercept, *want.coefficients], abs=1e-6)
+
+
+def test_folds_together_equal_folds_alone(spark):
+    """Fits, moments and scores of all folds in one pass against one fit per fold; also for a model that knows no folds."""
+    rng = random.Random(2)
+    rows = [(f"S{i}", d, rng.gauss(3, 2), rng.gauss(0, 9)) for d in plain.days(60) for i in range(4)]
+    rows = [(*r, int(rng.random() < 1 / (1 + math.exp(-(r[2] - 3) / 2)))) for r in rows]
+    df = spark.createDataFrame(rows, "symbol string, date date, x double, z double, y int")
+    folds = ln.walk_forward(df, train=25, test=7, anchored=False)
+    together = ln.ScaledLogistic(["x", "z"]).fit_folds(df, folds)
+    for f in folds.collect():
+        alone = ln.ScaledLogistic(["x", "z"]).fit(df.filter(F.col("date").between(f["train_start"], f["train_end"])))
+        got = together[f["fold"]]
+        assert [got.intercept, *got.coefficients] == pytest.approx([alone.intercept, *alone.coefficients], abs=1e-9)
+        assert got.scale == pytest.approx(alone.scale, abs=1e-12)
+
+    class Own:
+        def fit(self, train):
+            self.mean = train.agg(F.avg("y")).first()[0]
+            return self
+
+        def predict_proba(self, test):
+            return test.withColumn("proba", F.lit(self.mean))
+
+    metrics, scored = ln.train_walk_forward(df, folds, lambda: ln.ScaledLogistic(["x", "z"]))
+    own, _ = ln.train_walk_forward(df, folds, Own)
+    assert scored.count() == 7 * 4 * folds.count()
+    assert [r["n_test"] for r in own.orderBy("fold").collect()] == [r["n_test"] for r in metrics.orderBy("fold").collect()] == [28] * folds.count()
+    assert ln.train_walk_forward(df, folds, Own, max_folds=2)[0].count() == 2
+
+
+def test_separable_and_constant_features(spark):
+    """A penalty keeps separable data finite; a constant feature gets no weight; one label only gives its certain side."""
+    rows = [("A", d, float(i), 5.0, int(i > 19)) for i, d in enumerate(plain.days(40))]
+    df = spark.createDataFrame(rows, "symbol string, date date, x double, z double, y int")
+    model = ln.ScaledLogistic(["x", "z"], C=10.0).fit(df)
+    assert model.coefficients[0] > 1 and model.coefficients[1] == pytest.approx(0, abs=1e-9)
+    assert {(r["y"], r["pred"]) for r in model.predict(df).collect()} == {(0, 0), (1, 1)}
+    one = ln.ScaledLogistic(["x", "z"], max_iter=40).fit(df.filter("y = 1"))
+    assert all(r["proba"] > 0.99 for r in one.predict_proba(df).collect())
 
 
 def test_model_round_trip(spark, tmp_path):

@@ -23,6 +23,7 @@ from barframe.streaming import sources as so
 from barframe.streaming.state import rocksdb
 from workload import inputs as inp
 from workload import sql as q
+from workload import sql_learning as sl
 from workload.queries import add, longs, r, rounded
 
 # --- inventory ---------------------------------------------------------------------------------------------
@@ -239,8 +240,7 @@ add("fold_roles", "L2 L3", lambda s, d: ln.fold_roles(_folds(s, d), _table(s, d)
 
 
 def _by_fold(s: SparkSession, d: str) -> DataFrame:
-    roles = ln.fold_roles(_folds(s, d), _table(s, d)).filter(F.col("role") == "train")
-    return rounded(ln.standardize_fit(_table(s, d).join(roles, "date"), COLS, "fold"))
+    return rounded(ln.standardize_by_fold(_table(s, d), _folds(s, d), COLS).drop("n", "n1"))
 
 
 add("standardize_by_fold", "L4", _by_fold,
@@ -267,7 +267,22 @@ def _trained(s: SparkSession, d: str) -> DataFrame:
     return rounded(metrics, 4)
 
 
-add("train_walk_forward", "L5 L6 L10 U6", _trained)
+sl.newton("fit5", "train", "folds", COLS, "1e0")
+q.step("fit5_scored", f"SELECT f.fold, CAST(r.y AS DOUBLE) AS y, {sl.proba('fit5', COLS)} AS p FROM train r JOIN folds f ON r.date BETWEEN f.test_start AND f.test_end JOIN fit5 b ON b.fold = f.fold JOIN fit5_scale s ON s.fold = f.fold",
+       "train", "folds", "fit5", "fit5_scale")
+add("train_walk_forward", "L5 L6 L10 U6", _trained, q.build(f"""SELECT m.fold, s.n AS n_train, m.n_test, round(m.accuracy, 4) AS accuracy, round(m.auc, 4) AS auc, round(m.logloss, 4) AS logloss
+  FROM ({sl.METRICS.format(scored='SELECT * FROM fit5_scored')}) m JOIN fit5_scale s USING (fold)""", "fit5_scored", "fit5_scale"))
+
+
+def _coefficients(s: SparkSession, d: str) -> DataFrame:
+    """What every fold's fit gives: the coefficients of five features, at full precision but for the last digits."""
+    models = ln.ScaledLogistic(COLS, C=0.5, class_weight="balanced").fit_folds(_table(s, d), _folds(s, d, False))
+    rows = [(k, m.intercept, *m.coefficients) for k, m in models.items()]
+    return rounded(s.createDataFrame(rows, "fold long, " + ", ".join(f"b{i} double" for i in range(len(COLS) + 1))))
+
+
+sl.newton("fit_rolling", "train", "folds_rolling", COLS, "5e-1", balanced=True)
+add("fold_coefficients", "L4 L5", _coefficients, q.build("SELECT fold, " + ", ".join(f"round(b{i}, 6) + 0e0 AS b{i}" for i in range(len(COLS) + 1)) + " FROM fit_rolling", "fit_rolling"))
 
 
 def _saved(s: SparkSession, d: str) -> DataFrame:
@@ -276,7 +291,10 @@ def _saved(s: SparkSession, d: str) -> DataFrame:
     return rounded(ln.ScaledLogistic.load(path).predict(_table(s, d)).select("symbol", "date", "y", "proba", "pred"), 4)
 
 
-add("model_save_load", "L5 L6 L11", _saved)
+q.step("whole", "SELECT CAST(1 AS BIGINT) AS fold, min(date) AS train_start, max(date) AS train_end FROM train", "train")
+sl.newton("fit_whole", "train", "whole", COLS, "5e-1", balanced=True)
+add("model_save_load", "L5 L6 L11", _saved, q.build(f"""SELECT symbol, date, y, round(p, 4) AS proba, CASE WHEN p >= 5e-1 THEN 1 ELSE 0 END AS pred
+  FROM (SELECT symbol, date, y, {sl.proba('fit_whole', COLS)} AS p FROM train JOIN fit_whole b ON TRUE JOIN fit_whole_scale s ON TRUE)""", "train", "fit_whole", "fit_whole_scale"))
 
 # --- streaming ---------------------------------------------------------------------------------------------
 
