@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from barframe.llm import jaccard
 from barframe.llm import words as wd
-from barframe.plans.settle import settle
+from barframe.plans.settle import release, settle
 
 BLOCK = 64
 PREFIXES = (4, 5, 6)
@@ -41,6 +41,7 @@ _BITS = 20
 ROUNDS = 3
 SHINGLE = 5
 PERCENT = 80
+BANDS = 8
 
 
 def features(w: wd.Words) -> np.ndarray:
@@ -215,17 +216,77 @@ def held_out(id) -> F.Column:
 
 
 def _without_copies(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """The labelled rows (id, text, toxic), one of each group of near copies and label: the one with the least id and text hash.
+    """The labelled rows (id, text, toxic), one of each group of near copies with one label: the one whose set has the least hash.
 
-    Groups are components of exact links (``jaccard``: ``SHINGLE`` words, similarity ``PERCENT``), so texts that only share
-    passages all stay, and so do texts without words. Copies share every word, so they would tie ordinary words of a copied
-    toxic text to the label.
+    Equal sets of ``SHINGLE``-word shingles are one set. Of every set ``BANDS`` minimum hashes are taken; a set is compared with the least set that has
+    the same minimum and label, never with the others of a group. A set goes if an exact comparison finds it at least ``PERCENT`` % similar to a lesser one, so
+    texts that only share passages all stay, and so do texts without words. Copies share every word, so they would tie ordinary words of a
+    copied toxic text to the label.
     """
     mine = settle(rows.join(known, "id").select("id", "text", "toxic"), "mine")
-    found = settle(jaccard._grouped(mine, "id", "text", SHINGLE, PERCENT).select("id", "text_hash", "root"), "groups")
-    first = found.filter("root is not null").join(known, "id").groupBy("root", "toxic").agg(F.min(F.struct("id", "text_hash")).alias("first"))
-    kept = first.select("first.id", "first.text_hash").union(found.filter("root is null").select("id", "text_hash")).distinct()
-    return mine.withColumn("text_hash", F.xxhash64("text")).join(kept, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"]).drop("text_hash")
+
+    def scan(batches):
+        salts = wd.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for batch in batches:
+            node, size, least, sig = [], [], [], []
+            for s in jaccard.shingle_sets(batch.column("text"), SHINGLE):
+                node.append(jaccard.node_of(s) if len(s) else None)
+                size.append(len(s))
+                least.append([int(wd.mix(s ^ x).min().view(np.int64)) for x in salts] if len(s) else None)
+                sig.append(jaccard.signature(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("text_hash"), batch.column("toxic"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(least, pa.list_(pa.int64())), pa.array(sig, pa.list_(pa.int64()))],
+                names=["id", "text_hash", "toxic", "node", "n", "least", "sig"])
+
+    kind = mine.schema["id"].dataType.simpleString()
+    hashed = mine.withColumn("text_hash", F.xxhash64("text"))
+    scanned = hashed.select("id", "text_hash", "toxic", "text").mapInArrow(scan, f"id {kind}, text_hash long, toxic int, node long, n long, least array<long>, sig array<long>")
+    scanned = settle(scanned, "sets")
+    place = F.struct("id", "text_hash")
+    nodes = settle(scanned.filter("node is not null").groupBy("toxic", "node").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("sig").alias("sig")), "nodes")
+    bands = nodes.select("toxic", "node", F.posexplode("least").alias("band", "value"))
+    lead = bands.groupBy("toxic", "band", "value").agg(F.min("node").alias("other"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    pairs = bands.join(lead, ["toxic", "band", "value"]).filter("node <> other").select("toxic", "node", "other").distinct()
+    mate = nodes.select("toxic", F.col("node").alias("other"), F.col("place").alias("place_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+    both = pairs.join(nodes.drop("least"), ["toxic", "node"]).join(mate, ["toxic", "other"])
+    apart = F.aggregate(F.zip_with("sig", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    wanted = jaccard.needed(F.col("n"), F.col("n_b"), PERCENT)
+    both = both.filter((F.least("n", "n_b") >= wanted) & (apart <= F.col("n") + F.col("n_b") - 2 * wanted))
+    texts = hashed.groupBy("id", "text_hash").agg(F.first("text").alias("text"))
+    at = lambda name, text: texts.select(F.struct("id", "text_hash").alias(name), F.col("text").alias(text))
+    both = both.select("toxic", "node", "place", "place_b").join(at("place", "a"), "place").join(at("place_b", "b"), "place_b")
+
+    def verify(batches):
+        for batch in batches:
+            sets = zip(jaccard.shingle_sets(batch.column("a"), SHINGLE), jaccard.shingle_sets(batch.column("b"), SHINGLE), strict=True)
+            keep = []
+            for x, y in sets:
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("node")], names=["toxic", "node"]).filter(pa.array(keep, pa.bool_()))
+
+    gone = both.select("toxic", "node", "a", "b").mapInArrow(verify, "toxic int, node long").distinct()
+    kept = nodes.join(gone, ["toxic", "node"], "left_anti").select("place.id", "place.text_hash", "toxic")
+    kept = kept.union(scanned.filter("node is null").select("id", "text_hash", "toxic")).distinct()
+    out = settle(hashed.join(kept, ["id", "text_hash", "toxic"], "left_semi").dropDuplicates(["id", "text_hash"]).drop("text_hash"), "labelled")
+    release(mine, scanned, nodes, sweep=False)
+    return out
+
+
+def _fit_sample(marks: np.ndarray):
+    """A task's work: the model of all rows (text, toxic) it gets, as one row of plain arrays; no row without both labels."""
+
+    def work(batches):
+        rows = sorted((-r["toxic"], r["text"] or "") for b in batches for r in b.to_pylist())
+        texts, toxic = [x for _, x in rows], [-t for t, _ in rows]
+        if len(set(toxic)) < 2:
+            return
+        hashes, weight, move = fit(texts, toxic, marks)
+        evidence = np.concatenate([z for _, z, _ in text_evidence(pa.array(texts, pa.string()), (*lookup_table(hashes, weight), move))])
+        numbers = [pa.array([x.tobytes()], pa.binary()) for x in (hashes, weight, move)]
+        yield pa.RecordBatch.from_arrays([*numbers, pa.array([list(calibrated(evidence, np.array(toxic)))], pa.list_(pa.float64()))], names=["hashes", "weight", "move", "curve"])
+
+    return work
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE,
@@ -235,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).filter("id is not null")
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).filter(~held_out("id"))
 
-    labelled = settle(_without_copies(rows, known), "labelled")
+    labelled = _without_copies(rows, known)
 
     def counted(marks):
         def count(batches):
@@ -274,21 +335,25 @@ def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
         beyond = counts.filter((F.col("feature") != 0) & (t / nt > 9 * c / nc)).select("feature", g2.alias("g2"))
         beyond = beyond.filter(F.col("g2") > 2 * math.log(max(counts.count(), 2)))
         found = beyond.orderBy(F.desc("g2"), "feature").limit(marks_kept).select("feature").toArrow()["feature"].to_numpy()
+        release(counts, sweep=False)
         if not len(found):
             break
         marks = np.union1d(marks, found.astype(np.int64).view(np.uint64))
     if not len(marks):
+        release(labelled, sweep=False)
         return None
 
     order = F.xxhash64(F.col("id").cast("string"))
     short = labelled.filter(F.length("text") <= sample_chars)
-    taken = short.filter("toxic = 1").orderBy(order, "id", "text").limit(sample).union(short.filter("toxic = 0").orderBy(order, "id", "text").limit(sample)).toArrow()
-    if not len(taken) or len(set(taken["toxic"].to_pylist())) < 2:
+    taken = short.filter("toxic = 1").orderBy(order, "id", "text").limit(sample).union(short.filter("toxic = 0").orderBy(order, "id", "text").limit(sample))
+    # One task fits the bounded sample: 2 * sample texts of at most sample_chars characters.
+    one = taken.select("text", "toxic").repartition(1)
+    got = one.mapInArrow(_fit_sample(marks), "hashes binary, weight binary, move binary, curve array<double>").collect()
+    release(labelled, sweep=False)
+    if not got:
         return None
-    hashes, weight, move = fit(taken["text"].to_pylist(), taken["toxic"].to_pylist(), marks)
-    model = (*lookup_table(hashes, weight), move)
-    evidence = np.concatenate([z for _, z, _ in text_evidence(taken["text"].combine_chunks(), model)])
-    return (*model, *calibrated(evidence, np.array(taken["toxic"].to_pylist())))
+    hashes, weight, move = np.frombuffer(got[0].hashes, np.uint64), np.frombuffer(got[0].weight, np.float64), np.frombuffer(got[0].move, np.float64)
+    return (*lookup_table(hashes, weight), move, *got[0].curve)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD,
