@@ -37,7 +37,10 @@ from barframe.plans.settle import new_path
 MAGIC, VERSION = b"BFTK", 1
 BLOCK = 4096
 SEGMENT = 1 << 20
-CACHED = 400_000
+CACHED = 800_000
+SLOT_BITS = 21
+TOGETHER = 4096
+_SLOTS = np.uint64((1 << SLOT_BITS) - 1)
 END_ID = 2
 
 
@@ -111,8 +114,11 @@ class ChunkEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.starts, self.sizes = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        """No chunks: arrays in the order of learning (the first entry is none), the keys sorted, and a table of the last learnt key by its low bits."""
+        self.keys, self.starts, self.sizes = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.flat = np.empty(0, np.uint32)
+        self.sorted, self.order = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.slot = np.zeros(1 << SLOT_BITS, np.int32)
 
     def chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[wd.Words, np.ndarray]:
         """Chunks as words of a byte buffer with a space at every safe cut; and the cuts, as places in the original rows."""
@@ -128,30 +134,44 @@ class ChunkEncoder:
         return wd.words(wide, offsets - lo + np.searchsorted(at, offsets - lo, "left"), plain=False, lower=True), at
 
     def learn(self, w: wd.Words, new: np.ndarray) -> None:
-        """Encode the chunks at the given places of ``w`` and keep their ids."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.text(i).decode() for i in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = len(self.flat) + np.cumsum(sizes) - sizes
-        self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum()))])
-        keys = np.concatenate([self.keys, w.hash[new]])
-        order = np.argsort(keys)
-        self.keys, self.starts, self.sizes = keys[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.sizes, sizes])[order]
+        """Encode the chunks at the given places of ``w``, in the order of their hashes, and keep their ids.
+
+        Chunks go to the tokenizer as one text with spaces between them; a token belongs to the chunk that its first character is in.
+        """
+        for lo in range(0, len(new), TOGETHER):
+            part = [w.text(i).decode() for i in new[lo : lo + TOGETHER]]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            first = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
+            sizes = np.bincount(np.searchsorted(ends, first, "right"), minlength=len(part))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, np.array(got.ids, dtype=np.uint32)])
+        keys, at = w.hash[new], len(self.keys) + np.arange(len(new))
+        spot = np.searchsorted(self.sorted, keys)
+        self.sorted, self.order = np.insert(self.sorted, spot, keys), np.insert(self.order, spot, at)
+        self.slot[(keys & _SLOTS).astype(np.int64)] = at
+        self.keys = np.concatenate([self.keys, keys])
 
     def known(self, w: wd.Words) -> np.ndarray:
         """Places of the chunks of ``w`` among the kept ones; new chunks are encoded first."""
-        keys, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
+        at = self.slot[(w.hash & _SLOTS).astype(np.int64)].astype(np.int64)
+        miss = np.flatnonzero((self.keys[at] != w.hash) | (at == 0))
+        if not len(miss):
+            return at
+        keys, first, back = np.unique(w.hash[miss], return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.sorted, keys)
         have = np.zeros(len(keys), dtype=bool)
-        inside = at < len(self.keys)
-        have[inside] = self.keys[at[inside]] == keys[inside]
+        inside = spot < len(self.sorted)
+        have[inside] = self.sorted[spot[inside]] == keys[inside]
         if not have.all():
-            new = first[~have]
-            if len(self.keys) + len(new) > CACHED:  # begin anew, with all chunks of this batch
+            if len(self.keys) + int((~have).sum()) > CACHED and len(self.sorted):  # begin anew, with all chunks of this batch
                 self.forget()
-                new = first
-            self.learn(w, new)
-            at = np.searchsorted(self.keys, keys)
-        return at[back.ravel()]
+                return self.known(w)
+            self.learn(w, miss[first[~have]])
+            spot = np.searchsorted(self.sorted, keys)
+        at[miss] = self.order[spot][back.ravel()]
+        return at
 
     def encode(self, texts: pa.Array):
         """Yields (first row, ids of all rows, number of ids of each row) for consecutive rows."""
