@@ -8,7 +8,7 @@ one is the key, the second one tells collisions apart. The language is mixed int
 Three scans of the texts count words, pairs, then triples and fours. Each scan emits, combined per task block, (fingerprint, count, second
 fingerprint, place of an occurrence); Spark sums them, keeps the least place and keeps fingerprints with ``least`` occurrences.
 An n-gram can only be that frequent if both of its parts that are one word shorter are, so a scan skips n-grams whose parts are
-missing from a bit table of the frequent fingerprints. The table is built by Spark's bitmap aggregate, has ``BITS_EACH`` bits per
+missing from a bit table of the frequent fingerprints. The table is built by Spark's bitmap aggregate, has ``bits.BITS_EACH`` bits per
 fingerprint and ``MAX_BITS`` bits at most (32 MB); beyond that it lets more n-grams through, and the counts stay what they are.
 
 A place is one 64-bit number, ``KEY_BITS`` bits of the text's hash and the index of the first word, so sums, places and second
@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.llm import words as wd
+from barframe.llm.bits import MAX_BITS, known
 from barframe.plans.settle import release, settle
 
 LEAST = 30
@@ -39,8 +40,6 @@ LONGEST = 4
 TOP = 2000
 SCALE = 2_000_000
 CONTAINED = 80
-BITS_EACH = 32
-MAX_BITS = 1 << 28
 BLOCK = 1 << 19
 KEY_BITS = 36
 BASES = (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25)
@@ -116,30 +115,6 @@ def seeds(langs: pa.Array) -> np.ndarray:
     return np.array(values, dtype=np.uint64)[d.indices.to_numpy()]
 
 
-class Known:
-    """A bit table of fingerprints; ``has`` may be true for others too, never false for one of them."""
-
-    def __init__(self, bits: int, segments: dict[int, bytes]):
-        self.bits = bits
-        self.table = np.zeros(bits // 8, dtype=np.uint8)
-        for k, part in segments.items():
-            own = np.frombuffer(part, np.uint8)[: bits // 8]
-            self.table[(k - 1) * 4096 : (k - 1) * 4096 + len(own)] = own
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        x = (h & np.uint64(self.bits - 1)).astype(np.int64)
-        return (self.table[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
-
-
-def known(prints: DataFrame, bits_each: int = BITS_EACH, max_bits: int = MAX_BITS) -> Known:
-    """The bit table of a table's ``fp``; the driver gets at most ``max_bits`` bits."""
-    wanted = max(prints.count() * bits_each, 1 << 15)
-    bits = min(1 << (wanted - 1).bit_length(), max_bits)
-    x = F.col("fp").bitwiseAND(F.lit(bits - 1)) + 1
-    parts = prints.groupBy(F.bitmap_bucket_number(x).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("part"))
-    return Known(bits, {r.k: bytes(r.part) for r in parts.collect()})
-
-
 def _combined(parts: list[tuple]) -> tuple:
     """One entry per fingerprint, second fingerprint and language: the count and the first of its places."""
     fp, check, lang, place = (np.concatenate(x) for x in zip(*parts, strict=True))

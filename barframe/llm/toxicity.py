@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barframe.llm import jaccard
+from barframe.llm import bits, jaccard
 from barframe.llm import words as wd
+from barframe.llm.bits import may_be_in
 from barframe.plans.settle import release, settle
 
 BLOCK = 64
@@ -223,7 +224,12 @@ def _without_copies(rows: DataFrame, known: DataFrame) -> DataFrame:
     texts that only share passages all stay, and so do texts without words. Copies share every word, so they would tie ordinary words of a
     copied toxic text to the label.
     """
-    mine = settle(rows.join(known, "id").select("id", "text", "toxic"), "mine")
+    # Bit tables keep texts that take no part out of the shuffles; the joins behind them are exact.
+    spark = rows.sparkSession
+    known = settle(known, "known")
+    near = rows.filter(may_be_in(bits.known(known.select(F.xxhash64("id").alias("fp"))), F.xxhash64("id"), spark))
+    near = near.join(known, "id").withColumn("text_hash", F.xxhash64("text"))
+    mine = settle(near.groupBy("id", "text_hash", "toxic").agg(F.first("text").alias("text")), "mine")
 
     def scan(batches):
         salts = wd.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -239,8 +245,7 @@ def _without_copies(rows: DataFrame, known: DataFrame) -> DataFrame:
                 names=["id", "text_hash", "toxic", "node", "n", "least", "sig"])
 
     kind = mine.schema["id"].dataType.simpleString()
-    hashed = mine.withColumn("text_hash", F.xxhash64("text"))
-    scanned = hashed.select("id", "text_hash", "toxic", "text").mapInArrow(scan, f"id {kind}, text_hash long, toxic int, node long, n long, least array<long>, sig array<long>")
+    scanned = mine.select("id", "text_hash", "toxic", "text").mapInArrow(scan, f"id {kind}, text_hash long, toxic int, node long, n long, least array<long>, sig array<long>")
     scanned = settle(scanned, "sets")
     place = F.struct("id", "text_hash")
     nodes = settle(scanned.filter("node is not null").groupBy("toxic", "node").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("sig").alias("sig")), "nodes")
@@ -252,9 +257,11 @@ def _without_copies(rows: DataFrame, known: DataFrame) -> DataFrame:
     apart = F.aggregate(F.zip_with("sig", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
     wanted = jaccard.needed(F.col("n"), F.col("n_b"), PERCENT)
     both = both.filter((F.least("n", "n_b") >= wanted) & (apart <= F.col("n") + F.col("n_b") - 2 * wanted))
-    texts = hashed.groupBy("id", "text_hash").agg(F.first("text").alias("text"))
+    both = settle(both.select("toxic", "node", "place", "place_b"), "pairs")
+    used = bits.known(both.select(F.explode(F.array("place", "place_b")).alias("p")).select(F.xxhash64("p.id", "p.text_hash").alias("fp")).distinct())
+    texts = mine.filter(may_be_in(used, F.xxhash64("id", "text_hash"), spark)).dropDuplicates(["id", "text_hash"])
     at = lambda name, text: texts.select(F.struct("id", "text_hash").alias(name), F.col("text").alias(text))
-    both = both.select("toxic", "node", "place", "place_b").join(at("place", "a"), "place").join(at("place_b", "b"), "place_b")
+    both = both.join(at("place", "a"), "place").join(at("place_b", "b"), "place_b")
 
     def verify(batches):
         for batch in batches:
@@ -265,12 +272,17 @@ def _without_copies(rows: DataFrame, known: DataFrame) -> DataFrame:
                 keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("node")], names=["toxic", "node"]).filter(pa.array(keep, pa.bool_()))
 
-    gone = both.select("toxic", "node", "a", "b").mapInArrow(verify, "toxic int, node long").distinct()
-    kept = nodes.join(gone, ["toxic", "node"], "left_anti").select("place.id", "place.text_hash", "toxic")
-    kept = kept.union(scanned.filter("node is null").select("id", "text_hash", "toxic")).distinct()
-    out = settle(hashed.join(kept, ["id", "text_hash", "toxic"], "left_semi").dropDuplicates(["id", "text_hash"]).drop("text_hash"), "labelled")
-    release(mine, scanned, nodes, sweep=False)
-    return out
+    gone = settle(both.select("toxic", "node", "a", "b").mapInArrow(verify, "toxic int, node long").distinct(), "gone")
+    # Of a set's rows one stays: all rows but those, and all rows of sets that are gone.
+    copies = scanned.filter("node is not null").join(nodes.select("toxic", "node", "place"), ["toxic", "node"]).filter(place != F.col("place"))
+    out = copies.select("id", "text_hash", "toxic").union(scanned.join(gone, ["toxic", "node"], "left_semi").select("id", "text_hash", "toxic"))
+    out = settle(out.distinct(), "out")
+    maybe = may_be_in(bits.known(out.select(F.xxhash64("id", "text_hash", "toxic").alias("fp"))), F.xxhash64("id", "text_hash", "toxic"), spark)
+    marked = mine.withColumn("maybe", maybe)
+    kept = marked.filter("not maybe").unionByName(marked.filter("maybe").join(out, ["id", "text_hash", "toxic"], "left_anti"))
+    labelled = settle(kept.select("id", "text", "toxic"), "labelled")
+    release(known, mine, scanned, nodes, gone, out, sweep=False)
+    return labelled
 
 
 def _fit_sample(marks: np.ndarray):
