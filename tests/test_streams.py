@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barframe.operators import features as ft
 from barframe.streaming import incremental as ic
+from barframe.streaming import timers as tm
 from barframe.streaming.state import PROVIDER, rocksdb
 from tests import plain
 
@@ -153,3 +155,51 @@ def test_stream_needs_the_state_store(spark, tmp_path):
     assert spark.conf.get(PROVIDER, None) is None or "RocksDB" not in spark.conf.get(PROVIDER)
     rows = ic.newest(spark.read.parquet(str(tmp_path / "out"))).filter(F.col("close") == 1.0).collect()
     assert [(r["n"], r["version"], r["ret1"]) for r in rows] == [(1, 1, None)]
+
+
+def started(stream, tmp_path, name="out"):
+    w = stream.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-ck"))
+    return w.trigger(processingTime="500 milliseconds").start()
+
+
+def test_a_silent_symbol_raises_an_alarm_by_the_wall_clock(spark, tmp_path):
+    """B gets no further event: only the timer can report it. Its next event ends the alarm."""
+    schema, feed, t0 = "symbol string, ts timestamp", str(tmp_path / "in"), dt.datetime(2024, 1, 1)
+
+    def put(second, *names):
+        spark.createDataFrame([(n, t0 + dt.timedelta(seconds=second)) for n in names], schema).coalesce(1).write.mode("append").parquet(feed)
+
+    def alarms():
+        return [(r["symbol"], (r["last_ts"] - t0).seconds, r["stale"]) for r in spark.read.schema("symbol string, last_ts timestamp, stale boolean").parquet(str(tmp_path / "out")).collect()]
+
+    put(0, "A", "B")
+    with rocksdb(spark):
+        q = started(tm.stream_silence(spark.readStream.schema(schema).parquet(feed), 8.0, "wall"), tmp_path)
+        end, k, found = time.time() + 60, 0, []
+        while time.time() < end and ("B", 50, False) not in found:
+            k += 1
+            put(k, "A")
+            if k < 100 and ("B", 0, True) in found:
+                put(50, "B")
+                k = 100
+            time.sleep(1)
+            found = alarms() if (tmp_path / "out" / "_spark_metadata").exists() else []
+        q.stop()
+    assert sorted(a for a in found if a[0] == "B") == [("B", 0, True), ("B", 50, False)]
+
+
+def test_dates_are_emitted_whole_and_once(spark, tmp_path):
+    """Rows of a date from several files and buckets come out together; a row after the watermark is left out."""
+    days = [dt.date(2024, 1, d) for d in (1, 2, 3, 8)]
+    files = [[(f"S{i}", days[0], float(i)) for i in range(6)], [(f"S{i}", days[0], float(i)) for i in range(4, 10)] + [("S1", days[1], 1.0)],
+             [("S2", days[2], None), (None, days[3], None)], [("S99", days[0], 5.0), (None, dt.date(2024, 1, 20), None)]]
+    feed, out, check = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    schema = "symbol string, date date, close double"
+    with rocksdb(spark):
+        for rows in files:
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(feed)
+            tm.stream_cross_section(spark.readStream.schema(schema).parquet(feed), out, check, ["close"], buckets=3).awaitTermination()
+    got = {(r["date"], r["symbol"]): r for r in spark.read.parquet(out).collect()}
+    assert sorted(s for d, s in got if d == days[0]) == [f"S{i}" for i in range(10)] and len(got) == 12
+    assert [got[days[0], f"S{i}"]["close_rank"] for i in (0, 9)] == [0.0, 1.0] and got[days[1], "S1"]["close_rank"] == 0.5
+    assert got[days[0], "S0"]["close_z"] == pytest.approx(-4.5 / np.std(range(10)))

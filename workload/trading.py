@@ -20,6 +20,7 @@ from barframe.sources import bars as sb
 from barframe.streaming import incremental as ic
 from barframe.streaming import regimes as rg
 from barframe.streaming import sources as so
+from barframe.streaming import timers as tm
 from barframe.streaming.state import rocksdb
 from workload import inputs as inp
 from workload import sql as q
@@ -368,6 +369,42 @@ add("stream_date_stats", "T1", lambda s, d: rounded(_arriving(s, _closed_spans(s
     q.build("""SELECT date, count(*) AS n_symbols, round(avg(close), 9) AS mean, round(stddev_pop(close), 9) AS sd FROM bars GROUP BY 1""", "bars"))
 
 
+def _cross_section(s: SparkSession, d: str) -> DataFrame:
+    """Ranks of finished dates; the feed comes in spans, its last row ends it, some bars come twice."""
+    spans = _closed_spans(s, d)
+    again = spans.filter("symbol is not null and pmod(xxhash64(symbol, date), 9) = 0").withColumns({"close": F.col("close") / 2, "volume": F.col("volume") / 2})
+    spans = settle(again.unionByName(spans), "feed", ["_part"])
+    feed, out, check = (new_path(s, n) for n in ("feed", "cross-section", "stream-check"))
+    plain = spans.drop("_part")
+    with rocksdb(s):
+        for k in range(4):
+            spans.filter(F.col("_part") == k).select(*plain.columns).write.mode("append").parquet(feed)
+            tm.stream_cross_section(s.readStream.schema(plain.schema).parquet(feed), out, check, ["close", "volume"], buckets=1).awaitTermination()
+    return rounded(s.read.parquet(out).select("symbol", "date", *[f"{c}_{x}" for c in ("close", "volume") for x in ("z", "rank")]))
+
+
+_Z = "round(CASE WHEN count({c}) OVER w < 2 THEN NULL WHEN stddev_pop({c}) OVER w < 1e-12 THEN 0e0 ELSE ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w END, 6) + 0e0 AS {c}_z"
+_R = """round(CASE WHEN count(*) OVER w = 1 THEN 5e-1 ELSE (rank() OVER (PARTITION BY date ORDER BY {c}) - 1 + (count(*) OVER (PARTITION BY date, {c}) - 1) / 2e0) / (count(*) OVER w - 1) END, 6) + 0e0 AS {c}_rank"""
+add("stream_cross_section", "T1 T3 T9 D1 D2", _cross_section,
+    q.build("SELECT symbol, date, " + ", ".join(x.format(c=c) for c in ("close", "volume") for x in (_Z, _R)) + " FROM bars WINDOW w AS (PARTITION BY date)", "bars"))
+
+
+def _silence(s: SparkSession, d: str) -> DataFrame:
+    """Every event that its symbol followed with more than twenty minutes of silence; the ticks arrive in three spans and a closing row."""
+    ticks = demo.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("symbol"))
+    lo, hi = ticks.agg(F.min("ts"), F.max("ts")).first()
+    span = (hi - lo).total_seconds() / 3 + 1
+    rows = ticks.withColumn("_part", F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(lo))) / (span * 1e6)).cast("long"))
+    end = so.closing_row(ticks, ticks.schema, "ts", "2 hours").withColumn("_part", F.lit(3).cast("long"))
+    with rocksdb(s):
+        return _arriving(s, rows.unionByName(end), lambda e: tm.stream_silence(e, 1200.0), 4)
+
+
+add("stream_silence", "T7", _silence,
+    """SELECT DISTINCT symbol, ts AS last_ts, true AS stale FROM (SELECT event_type AS symbol, CAST(ts AS TIMESTAMP) AS ts, lead(CAST(ts AS TIMESTAMP)) OVER (PARTITION BY event_type ORDER BY ts) AS nx FROM events)
+       WHERE nx IS NULL OR epoch_us(nx) - epoch_us(ts) > 1200000000""")
+
+
 def _untidy(s: SparkSession, d: str, parts: int = 3) -> DataFrame:
     """The bars by span, but of the last month of a span some come with the next one, some twice, some first with another price."""
     chance = F.pmod(F.xxhash64("symbol", "date"), F.lit(10))
