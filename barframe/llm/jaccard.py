@@ -212,7 +212,9 @@ def _inside(members: DataFrame, percent: int, chunk: int, nearest: bool = False)
     ``nearest`` gives for each set the pair with its nearest set only, in each meeting of blocks. Blocks of ``chunk`` sets meet blocks: each meeting is a group of its own, so a large family spreads over many tasks.
     """
     counts = members.groupBy("family").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-    open_ = members.join(counts.filter("r0 <> r1").select("family", F.ceil(F.col("size") / F.lit(float(chunk))).cast("int").alias("parts")), "family")
+    parts = F.ceil(F.col("size") / F.lit(float(chunk))).cast("int").alias("parts")
+    # Written first, so few open families are broadcast and their members are not dealt by family.
+    open_ = members.join(settle(counts.filter("r0 <> r1").select("family", parts), "families"), "family")
     placed = open_.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     meet = F.expr("transform(sequence(0, parts - 1), o -> struct(least(o, part) as i, greatest(o, part) as j))")
     rows = placed.withColumn("at", F.explode(meet)).select("node", "n", "sig", "hist", "family", "root", "part", "at.i", "at.j")
@@ -268,7 +270,7 @@ def _across(lists: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 def _families(pairs: DataFrame) -> DataFrame:
     """(node, family) from pairs (a, b, near) of sets with leaders: sets that similar leaders connect, named by the least."""
-    return settle(components(pairs.filter(F.col("near") >= FAMILY_PERCENT / 100)), "home").toDF("node", "family")
+    return components(pairs.filter(F.col("near") >= FAMILY_PERCENT / 100).select("a", "b")).toDF("node", "family")
 
 
 def _grouped(docs: DataFrame, id: str, text: str, k: int, percent: int, chunk: int = CHUNK) -> DataFrame:
@@ -316,7 +318,7 @@ def _grouped(docs: DataFrame, id: str, text: str, k: int, percent: int, chunk: i
     third = _signed(home.join(near, "family").filter("node <> nearest").select(F.col("node").alias("a"), F.col("nearest").alias("b")), members, percent)
     maybe = first.union(second).union(third).filter("maybe").select("a", "b")
     links = _links(docs, text, k, percent, maybe, members)
-    found = settle(components(links), "found")
+    found = components(links)
 
     # 3. What is still open: inside families in blocks, between families through the lists.
     known = lists.select("node").distinct().join(home, "node", "left").join(found, "node", "left")
@@ -331,7 +333,7 @@ def _grouped(docs: DataFrame, id: str, text: str, k: int, percent: int, chunk: i
         if new.isEmpty():
             break
         links = links.union(new)
-        found = settle(components(links), "found")
+        found = components(links)
         known = settle(known.drop("root").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "known")
     open_ = _signed(_across(lists, known, percent), members, percent).filter("maybe").select("a", "b").union(_inside(known, percent, chunk))
     open_ = settle(open_, "open")

@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
+
 from barframe.llm import jaccard as jc
 from barframe.llm import words as wd
-from barframe.llm.components import components
+from barframe.llm.components import components, contract
 
 LOW = str.maketrans(wd.UPPER, wd.LOWER)
 
@@ -88,5 +90,27 @@ def test_odd_rows(odd, empty):
 
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (3, 2)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
+    for block in (1 << 15, 7):
+        got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), block).collect()}
+        assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
+def test_contract_against_plain_search():
+    rng = np.random.default_rng(3)
+    for n, m in ((5, 3), (200, 150), (200, 260), (1000, 400)):
+        a, b = rng.integers(-n, n, m), rng.integers(-n, n, m)
+        near = {}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            near.setdefault(x, set()).add(y)
+            near.setdefault(y, set()).add(x)
+        want = {}
+        for x in sorted(near):
+            todo = [x] if x not in want else []
+            while todo:
+                y = todo.pop()
+                if y not in want:
+                    want[y] = x
+                    todo += near[y]
+        ids, root = contract(a, b)
+        assert dict(zip(ids.tolist(), root.tolist(), strict=True)) == want
