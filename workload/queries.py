@@ -22,6 +22,7 @@ from barframe.operators import stock_regime as sr
 from barframe.operators import xsection as xs
 from barframe.plans.settle import new_path
 from barframe.sources import bars as sb
+from barframe.sources import history as hs
 from barframe.sources import resample as rs
 from barframe.sources import sinks as sk
 from barframe.sources import universe as un
@@ -179,20 +180,22 @@ add("merge_bars", "K3 R5", lambda s, d: sk.merge_bars(B(s, d), _updates(s, d)).s
       SELECT symbol, date + 30, round(close * 101e-2, 6), volume, 1 FROM bars WHERE date >= DATE '2000-01-01')) WHERE k = 1""", "bars"))
 
 
-def _upsert(s: SparkSession, d: str) -> DataFrame:
+def _upsert(s: SparkSession, d: str, fmt: str = "parquet") -> DataFrame:
     path = new_path(s, "history")
     year = lambda df: df.withColumn("year", F.year("date"))
-    year(B(s, d)).write.partitionBy("year").parquet(path)
-    sk.upsert_bars(s, path, year(_updates(s, d)), "year")
-    return s.read.parquet(path).groupBy("year").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 6).alias("total")).withColumn("year", F.col("year").cast("long"))
+    hs.upsert_history(s, path, year(B(s, d)), "year")
+    hs.upsert_history(s, path, year(_updates(s, d)), "year")
+    return hs.read_history(s, path, fmt).select("symbol", "date", "open", "high", "low", "close", "volume", F.col("year").cast("long").alias("year"))
 
 
-add("upsert_bars", "K3", _upsert,
-    q.build("""SELECT CAST(year(date) AS BIGINT) AS year, count(*) AS n, round(sum(close), 6) AS total FROM (
+_UPSERT = q.build("""SELECT symbol, date, open, high, low, close, volume, CAST(year(date) AS BIGINT) AS year FROM (
       SELECT *, row_number() OVER (PARTITION BY symbol, date ORDER BY prio DESC) AS k FROM (
-      SELECT symbol, date, close, 0 AS prio FROM bars UNION ALL
-      SELECT symbol, date + 30, round(close * 101e-2, 6), 1 FROM bars WHERE date >= DATE '2000-01-01')) WHERE k = 1 GROUP BY 1""", "bars"))
+      SELECT symbol, date, open, high, low, close, volume, 0 AS prio FROM bars UNION ALL
+      SELECT symbol, date + 30, open, high, low, round(close * 101e-2, 6), volume, 1 FROM bars WHERE date >= DATE '2000-01-01')) WHERE k = 1""", "bars")
+add("upsert_bars", "K3", lambda s, d: _upsert(s, d).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("close"), 6).alias("total")),
+    "SELECT year, count(*) AS n, round(sum(close), 6) AS total FROM (" + _UPSERT + ") GROUP BY 1")
+add("upsert_bars_parquet", "K3 K1", _upsert, _UPSERT)
+add("upsert_bars_csv", "K3 K2", lambda s, d: _upsert(s, d, "csv"), _UPSERT)
 
 
 def _json(s: SparkSession, d: str) -> DataFrame:
