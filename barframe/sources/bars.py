@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +21,7 @@ VENDOR_ONLY = ("o", "h", "l", "c", "v", "vw", "t", "n")
 
 
 TIMES = ("timestamp", "date", "t")
-CSV_COLUMNS = 48  # columns read from a CSV file
+HEADER_THREADS = 32  # CSV files whose first line is read at a time
 
 
 def to_time(column: str, kind: T.DataType) -> Column:
@@ -142,34 +146,76 @@ def _read_parquet(spark: SparkSession, path: str, timeframe: str) -> DataFrame:
     return _shape(df.withColumn("symbol", _symbol(timeframe, "parquet")), ["_file", "_row"])
 
 
-def _read_csv(spark: SparkSession, path: str, timeframe: str) -> DataFrame:
-    """CSV files by the names of their own headers, so files may differ in columns and their order."""
-    names = [*TIMES, *VENDOR.values(), *VENDOR]
-    cells = [f"_c{i}" for i in range(CSV_COLUMNS)]
-    raw = _files(spark, timeframe, "csv").schema(", ".join(f"{c} string" for c in cells)).option("header", "false").csv(path)
-    raw = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
-                     F.array(*[F.lower(F.trim(c)) for c in cells]).alias("_cells"))
+def _headers(spark: SparkSession, files: list[str]) -> dict[str, tuple[str, ...]]:
+    """Column names by file, from its first line that is not blank; files without one are left out.
+
+    Only the start of a file is read, many files at a time, and no job is run.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def head(file: str) -> tuple[str, ...]:
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        stream = place.getFileSystem(conf).open(place)
+        try:
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+            while (line := lines.readLine()) is not None:
+                if line.strip("\ufeff \t"):
+                    return tuple(c.strip().lower() for c in next(csv.reader([line.lstrip("\ufeff")])))
+        finally:
+            stream.close()
+        return ()
+
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        return {f: h for f, h in zip(files, pool.map(head, files), strict=True) if h}
+
+
+def _glob_safe(spark: SparkSession, file: str) -> str:
+    """A file's path for a reader that would take ``{}[]*?`` in it for a pattern."""
+    plain = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file)).toString()
+    return re.sub(r"([{}\[\]*?\\])", r"\\\1", plain)
+
+
+def _csv_rows(reader, paths: list[str] | str, head: tuple[str, ...]) -> DataFrame:
+    """Rows of files with one header, their known columns by name; of equal names the first counts."""
+    names = {n: f"_c{head.index(n)}" for n in (*TIMES, *VENDOR.values(), *VENDOR) if n in head}
+    schema = ", ".join(f"_c{i} string" for i in range(len(head)))
+    raw = reader.schema(schema).option("header", "true").csv(paths)
+    cells = {n: F.lower(F.trim(c)) for n, c in names.items()}
+    raw = raw.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), *[c.alias(n) for n, c in cells.items()])
     raw = raw.withColumn("_row", F.monotonically_increasing_id())
-    is_header = F.size(F.array_intersect("_cells", F.array(*[F.lit(c) for c in names]))) >= 3
-    heads = raw.filter(is_header).groupBy("_file").agg(F.min_by("_cells", F.struct("_block", "_row")).alias("_head"))
-    has = lambda *options: F.size(F.array_intersect("_head", F.array(*[F.lit(c) for c in options]))) > 0
-    whole = has(*TIMES)
-    for short, name in VENDOR.items():
-        whole = whole & has(short, name)
-    files = raw.select("_file").distinct().join(heads, "_file", "left")
-    bad = files.filter(F.col("_head").isNull() | ~whole).select("_file").limit(5).collect()
-    if bad:
-        raise ValueError(f"bar files without all columns in their header: {sorted(r['_file'] for r in bad)}")
-    rows = raw.filter(~is_header).join(heads, "_file")
-    at = lambda name: F.array_position("_head", F.lit(name)).cast("int")
-    cell = lambda name: F.when(at(name) > 0, F.get("_cells", at(name) - 1))
+    again = F.lit(True)  # a header that stands again between the rows
+    for n in names:
+        again = again & F.col(n).eqNullSafe(F.lit(n))
     whole_number = lambda c: F.when(c.rlike("^-?[0-9]+$"), c.cast("long"))
-    values = {n: cell(n) if n in ("timestamp", "date") else whole_number(cell(n)) if n == "t" else cell(n).try_cast("double") for n in names}
-    df = rows.select("_file", "_block", "_row", *[v.alias(n) for n, v in values.items()])
+    values = {n: F.col(n) if n in ("timestamp", "date") else whole_number(F.col(n)) if n == "t" else F.col(n).try_cast("double") for n in names}
+    df = raw.filter(~again).select("_file", "_block", "_row", *[v.alias(n) for n, v in values.items()])
     # Times are texts here: numbers are epochs, others are dates or times.
     for n in ("timestamp", "date"):
-        df = df.withColumn("_n", whole_number(F.col(n)))
-        df = df.withColumn(n, F.coalesce(to_time("_n", T.LongType()), F.try_to_timestamp(F.upper(n)))).drop("_n")
+        if n in names:
+            df = df.withColumn("_n", whole_number(F.col(n)))
+            df = df.withColumn(n, F.coalesce(to_time("_n", T.LongType()), F.try_to_timestamp(F.upper(n)))).drop("_n")
+    return df
+
+
+def _read_csv(spark: SparkSession, path: str, timeframe: str) -> DataFrame:
+    """CSV files by the names of their own headers, so files may differ in columns, their number and their order.
+
+    Files are grouped by header, and each group is one scan of the columns it needs. Files without a line hold no bars.
+    """
+    files = _files(spark, timeframe, "csv").schema("_c0 string").csv(path).inputFiles()
+    heads = _headers(spark, files)
+    bad = [f for f, h in heads.items() if not set(TIMES) & set(h) or any(not {short, name} & set(h) for short, name in VENDOR.items())]
+    if bad:
+        raise ValueError(f"bar files without all columns in their header: {sorted(bad)[:5]}")
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f, h in heads.items():
+        groups.setdefault(h, []).append(f)
+    if len(groups) <= 1:  # files without a line give no rows
+        head = next(iter(groups), ("date", *VENDOR.values()))
+        df = _csv_rows(_files(spark, timeframe, "csv"), path, head)
+    else:
+        parts = [_csv_rows(spark.read, [_glob_safe(spark, f) for f in own], h) for h, own in groups.items()]
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return _shape(df.withColumn("symbol", _symbol(timeframe, "csv")), ["_file", "_block", "_row"])
 
 
@@ -179,7 +225,7 @@ def has_files(spark: SparkSession, path: str, timeframe: str, fmt: str) -> bool:
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return False
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*_{timeframe}.{fmt}")
-    return not found.load(path).select("path").isEmpty()
+    return bool(found.load(path).inputFiles())
 
 
 def read_bars(

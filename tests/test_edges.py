@@ -30,6 +30,27 @@ def test_csv_columns_follow_each_files_header(spark, tmp_path):
         sb.read_bars(spark, str(tmp_path))
 
 
+def test_csv_headers_of_any_width_without_a_job(spark, tmp_path):
+    extra = [f"x{i}" for i in range(70)]
+    (tmp_path / "WIDE_1d.csv").write_text(",".join([*extra, "Date", '"Open"', "HIGH", "low", "close", "volume"]) + "\n" + ",".join(["9"] * 70 + ["2023-01-02", "1", "3", "1", "2", "7"]) + "\n")
+    (tmp_path / "A{1}[b]_1d.csv").write_text("\ufeffdate,open,high,low,close,volume,close\n2023-01-03,1,1,1,4,1,8\ndate,open,high,low,close,volume,close\n2023-01-04,1,1,1,,1\n")
+    (tmp_path / "BLANK_1d.csv").write_text("\n \ndate,close,open,high,low,volume\n2023-01-05,6,1,1,1,1\n,5,1,1,1,1\n")
+    (tmp_path / "NONE_1d.csv").write_text("")
+    (tmp_path / "HEAD_1d.csv").write_text("date,open,high,low,close,volume\n")
+    spark.sparkContext.setJobGroup("csv-plan", "plan only")
+    bars = sb.read_bars(spark, str(tmp_path))
+    spark.sparkContext.setJobGroup("csv-read", "read")
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("csv-plan")) == []
+    got = {(r.symbol, str(r.date)): r.close for r in bars.filter("date is not null").collect()}
+    assert got == {("WIDE", "2023-01-02"): 2, ("A{1}[b]", "2023-01-03"): 4, ("A{1}[b]", "2023-01-04"): None, ("BLANK", "2023-01-05"): 6}
+
+
+def test_csv_files_without_a_line(spark, tmp_path):
+    (tmp_path / "NONE_1d.csv").write_text("")
+    got = sb.read_bars(spark, str(tmp_path))
+    assert got.columns == ["symbol", "date", "open", "high", "low", "close", "volume"] and got.count() == 0
+
+
 def test_vendor_and_standard_parquet_together(spark, tmp_path):
     pd.DataFrame({"timestamp": DAYS.as_unit("us"), "open": 1.0, "high": 2.0, "low": 0.5, "close": 1.5, "volume": 10.0}).to_parquet(tmp_path / "AAA_1d.parquet")
     millis = DAYS.as_unit("ms").asi8
