@@ -39,6 +39,40 @@ def test_notices_with_edits(spark):
     assert got[3] == [] and [s.label for s in got[4]] == ["cc-by-nc"] and got[5] == []
 
 
+def test_every_edited_notice_that_would_be_accepted_is_found(spark):
+    before, after = [f"f{i}" for i in range(30)], [f"g{i}" for i in range(30)]
+    rows, want = [], {}
+    for notice in lc.NOTICES:
+        words = split(notice.text)
+        for step in range(5, 9):
+            for first in range(step):
+                for edit in ("change", "drop", "insert"):
+                    new = []
+                    for i, w in enumerate(words):
+                        at = i % step == first
+                        new += [w] if not at else [f"e{i}"] if edit == "change" else [] if edit == "drop" else [w, f"e{i}"]
+                    whole = [*before, *new, *after]
+                    places = sum(i % step == first for i in range(len(words)))
+                    if lc.verified([w.encode() for w in whole], notice.words, False, 30, 30, notice.named) and (edit != "insert" or places <= notice.lacking):
+                        want[len(rows)] = notice.label
+                    rows.append((len(rows), " ".join(whole)))
+    got = {r.doc_id: r.spans for r in lc.license_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want) > 300
+    assert [i for i, label in want.items() if not any(s.label == label and s.start < 60 and s.end > 30 for s in got[i])] == []
+
+
+def test_another_licenses_name_is_not_an_edit(spark):
+    rows = [(1, "released under the Apache License"), (2, "under the terms of the GNU General Public License"), (3, "licensed under CC BY-SA 4.0"), (4, "released under an MIT License")]
+    got = {r.doc_id: [s.label for s in r.spans if not s.exact] for r in lc.license_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [], 3: ["cc-by-sa"], 4: ["mit"]}
+
+
+def test_votes_follow_from_the_coverage():
+    for n in range(1, 60):
+        t = lc.Template("x", " ".join(f"w{i}" for i in range(n)))
+        assert t.votes >= 1 and t.left(t.k) >= (1 if n > 1 else t.left(1)) and n - t.lacking >= lc.COVERAGE * n
+
+
 def test_odd_rows(odd, empty):
     got = lc.license_spans(odd).collect()
     assert len(got) == 8 and all(r.spans == [] for r in got) and sorted(r.n_words for r in got)[:3] == [0, 0, 0]
