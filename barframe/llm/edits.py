@@ -136,15 +136,11 @@ def edited(text: str, edits: list[tuple[int, int, str]], start: int = 0) -> str:
     return "".join(parts) + text[at - start :]
 
 
-def recount(own, text: str, tree: Tree, edits: list[tuple[int, int, str]]) -> int:
-    """Update the tree for the edits; returns the number of characters encoded again."""
-    if "<|" in text or any("<" in e[2] or "|" in e[2] for e in edits):
-        new = edited(text, edits)
-        if "<|" in new or "<|" in text:
-            for leaf in range(1, tree.width):
-                tree.put(leaf, 0, 0)
-            tree.put(0, len(new), len(own.tokenizer.encode(new, add_special_tokens=False).ids))
-            return len(new)
+def touched(text: str, tree: Tree, edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """(first leaf, last leaf, new text) of the regions that the edits touch, with a character of context on both sides.
+
+    A text in which ``<|`` stands before or after the edits is one region: a special token may cross any border.
+    """
     regions: list[list] = []
     for e in edits:
         first, last = tree.find(max(0, e[0] - 1)), tree.find(min(len(text), e[1] + 1))
@@ -153,16 +149,33 @@ def recount(own, text: str, tree: Tree, edits: list[tuple[int, int, str]]) -> in
             regions[-1][2].append(e)
         else:
             regions.append([first, last, [e]])
-    bounds = [(tree.start(first), tree.start(last) + int(tree.chars[last + tree.width])) for first, last, _ in regions]
-    again = 0
-    for (first, last, own_edits), (a, b) in zip(regions, bounds, strict=True):
-        new = edited(text[a:b], own_edits, a)
-        _, ids, _ = next(own.encode(pa.array([new], pa.string())))
+    out = []
+    for first, last, own in regions:
+        a, b = tree.start(first), tree.start(last) + int(tree.chars[last + tree.width])
+        out.append((first, last, edited(text[a:b], own, a)))
+    if out and ("<|" in text or any("<|" in new for _, _, new in out)):
+        return [(0, tree.width - 1, edited(text, edits))]
+    return out
+
+
+def replace(tree: Tree, regions: list[tuple[int, int, str]], counts) -> int:
+    """Put the new characters and tokens of the regions into the tree; returns the number of characters encoded again."""
+    for (first, last, new), n in zip(regions, counts, strict=True):
         for leaf in range(first + 1, last + 1):
             tree.put(leaf, 0, 0)
-        tree.put(first, len(new), len(ids))
-        again += len(new)
-    return again
+        tree.put(first, len(new), int(n))
+    return sum(len(new) for _, _, new in regions)
+
+
+def token_counts(own, texts: list[str]) -> np.ndarray:
+    """Number of tokens of each text, all encoded together."""
+    return np.concatenate([np.zeros(0, np.int64), *(sizes for _, _, sizes in own.encode(pa.array(texts, pa.large_string())))])
+
+
+def recount(own, text: str, tree: Tree, edits: list[tuple[int, int, str]]) -> int:
+    """Update the tree of one text for the edits; returns the number of characters encoded again."""
+    regions = touched(text, tree, edits)
+    return replace(tree, regions, token_counts(own, [new for _, _, new in regions]))
 
 
 def apply_edits(docs: DataFrame, state: DataFrame, edits: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,22 +190,26 @@ def apply_edits(docs: DataFrame, state: DataFrame, edits: DataFrame, tokenizer:
     # The ids alone pick the rows first, so what is not edited need not move while they are few.
     ids = settle(listed.select("id"), "edited")
     texts = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    texts = texts.dropDuplicates(["id", "text_hash"]).join(listed, "id")
+    # Encoding costs far more than its bytes tell, so the rows are dealt to a fixed number of tasks, which is not reduced by size.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(tasks, "id", "text_hash").dropDuplicates(["id", "text_hash"]).join(listed, "id")
     trees = state.withColumnRenamed(id, "id")
     # Rows that repeat id and text have equal trees; their number is kept.
-    touched = trees.join(ids, "id", "left_semi").join(texts, ["id", "text_hash"])
+    rows = trees.join(ids, "id", "left_semi").join(texts, ["id", "text_hash"])
 
     def update(batches):
         own = encoder(tokenizer)
         for batch in batches:
-            done, again, chars, tokens = [], [], [], []
+            done, regions, trees = [], [], []
             for t, c, k, e in zip(*(batch.column(x) for x in ("text", "chars", "tokens", "edits")), strict=True):
                 tree, t = Tree(c.values.to_numpy(), k.values.to_numpy()), t.as_py() or ""
                 todo = clean_edits(e.as_py(), len(t))
-                again.append(recount(own, t, tree, todo))
                 done.append(len(todo))
-                chars.append(tree.chars)
-                tokens.append(tree.tokens)
+                regions.append(touched(t, tree, todo))
+                trees.append(tree)
+            counts = iter(token_counts(own, [new for found in regions for _, _, new in found]))
+            again = [replace(tree, found, [next(counts) for _ in found]) for tree, found in zip(trees, regions, strict=True)]
+            chars, tokens = [t.chars for t in trees], [t.tokens for t in trees]
             heaps = [pa.array(x, pa.list_(pa.int64())).cast(pa.list_(pa.int32())) for x in (chars, tokens)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("text_hash"), batch.column("n_tokens"), pa.array(done, pa.int64()),
@@ -200,7 +217,7 @@ def apply_edits(docs: DataFrame, state: DataFrame, edits: DataFrame, tokenizer:
 
     names = ["id", "text_hash", "n_before", "n_edits", "n_after", "n_reencoded", "chars", "tokens"]
     schema = f"id {kind}, text_hash long, n_before long, n_edits long, n_after long, n_reencoded long, chars array<int>, tokens array<int>"
-    new = touched.select("id", "text_hash", "text", "n_tokens", "chars", "tokens", "edits").mapInArrow(update, schema)
+    new = rows.select("id", "text_hash", "text", "n_tokens", "chars", "tokens", "edits").mapInArrow(update, schema)
     zero = F.lit(0).cast("long")
     same = trees.join(ids, "id", "left_anti")
     same = same.select("id", "text_hash", F.col("n_tokens").alias("n_before"), zero.alias("n_edits"), F.col("n_tokens").alias("n_after"), zero.alias("n_reencoded"), "chars", "tokens")
@@ -212,18 +229,27 @@ SCRUBBED = ((r"[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+", "<email>"), (r"\b[0-
 
 
 def scrub_edits(docs: DataFrame, *, id: str = "doc_id", text: str = "text", patterns=SCRUBBED) -> DataFrame:
-    """(id, start, length, insert): edits that replace what the patterns match, in characters."""
+    """(id, start, length, insert): edits that replace what the patterns match, in characters; of matches that overlap the earlier pattern's counts."""
     kind = docs.schema[id].dataType.simpleString()
 
     def find(batches):
+        import bisect
         import re
 
         compiled = [(re.compile(p), insert) for p, insert in patterns]
         for batch in batches:
             rows = []
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                spans: list[tuple[int, int, str]] = []
                 for p, insert in compiled if t else ():
-                    rows += [(i, m.start(), m.end() - m.start(), insert) for m in p.finditer(t)]
+                    starts, ends = [s[0] for s in spans], [s[1] for s in spans]
+                    for m in p.finditer(t):
+                        at = bisect.bisect_right(starts, m.start())
+                        if (at and ends[at - 1] > m.start()) or (at < len(starts) and starts[at] < m.end()):
+                            continue
+                        spans.append((*m.span(), insert))
+                    spans.sort()
+                rows += [(i, a, b - a, insert) for a, b, insert in spans]
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field("id").type), *(pa.array(c, pa.int64()) for c in cols[1:3]), pa.array(cols[3], pa.string())],
                                              names=["id", "start", "length", "insert"])
