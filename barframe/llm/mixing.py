@@ -4,7 +4,9 @@ A document may belong to several sources. Documents are aggregated by membership
 so the flow problem has one node per pattern and one per source, whatever the number of documents. A pattern offers its
 words once for each repetition, at costs that rise with the repetition (``2^k``: convex), and sends them to its sources,
 whose quotas are the targets. Successive cheapest paths fill the quotas; by convexity a pattern repeats only when nothing
-cheaper reaches the source. Documents are then chosen for each pattern: all of them for every full repetition, and for the
+cheaper reaches the source. Sources that share no document are not brought together: their repetitions are filled in
+order where they are, so their number has no bound; the flow takes the patterns around shared documents, ``MAX_PATTERNS``
+of them at most. Documents are then chosen for each pattern: all of them for every full repetition, and for the
 last one documents in the order of a seeded hash until the words are reached.
 
 Targets: weights share all words; a source stops at ``most`` times its own words, the excess is shared among the others by
@@ -41,7 +43,9 @@ def word_count(text) -> Column:
 
 
 def targets(sizes: dict, weights: dict, most: int = MOST) -> dict:
-    """Share all words by weight; nobody gets more than ``most`` times its size, the rest goes on by weight."""
+    """The rule for a few sources, stated plainly; ``source_targets`` applies it to tables.
+
+    Share all words by weight; nobody gets more than ``most`` times its size, the rest goes on by weight."""
     out, free, left = {}, sorted(sizes, key=lambda s: (s is None, s)), float(sum(sizes.values()))
     while free:
         whole = sum(weights[s] for s in free)
@@ -136,14 +140,84 @@ def cheapest_flow(supply: dict, quota: dict, most: int) -> dict:
     return {k: v for k, v in flow.items() if v}
 
 
-def plan_mix(sizes: dict, supply: dict, weights: dict, most: int = MOST) -> tuple[dict, dict, dict]:
-    """Targets by source, words by pattern (0 to ``most`` times its supply), and the flow."""
-    aim = targets(sizes, weights, most)
-    flow = cheapest_flow(supply, {s: round(t) for s, t in aim.items()}, most)
+def source_targets(patterns: DataFrame, weights: dict | None = None, most: int = MOST, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """(source, words, target) of every source, as ``targets`` gives them, for any number of sources.
+
+    Only sums reach the driver: the level of words per weight rises until no further source is above its bound.
+    """
+    spark = patterns.sparkSession
+    sources = patterns.select(F.explode("pattern").alias("source"), "words").groupBy("source").agg(F.sum("words").alias("words"))
+    if weights is None:
+        # The place in code point order: places within the sorted parts, and the numbers of rows of the parts before.
+        placed = settle(sources.orderBy(F.col("source").isNull(), "source").withColumn("at", F.monotonically_increasing_id()), "sources")
+        part = F.shiftright("at", 33)
+        before, done = [], 0
+        for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+            before.append((r.part, done))
+            done += r["count"]
+        before = spark.createDataFrame(before, "part long, before long")
+        place = F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)
+        weight = F.get(F.array(*[F.lit(float(w)) for w in cycle]), (place % len(cycle)).cast("int"))
+        sized = placed.withColumn("part", part).join(before, "part").select("source", "words", weight.alias("weight"))
+    else:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "name string, weight double")
+        sized = sources.join(given, F.col("source").eqNullSafe(F.col("name")), "left").select("source", "words", "weight")
+        lacking = [r.source for r in sized.filter("weight is null").limit(5).collect()]
+        if lacking:
+            raise ValueError(f"sources without a weight: {lacking}")
+    sized = settle(sized, "weights")
+    sums = lambda free: sized.agg(F.sum("words").alias("all"), F.sum(F.when(~free, F.col("words"))).alias("full"), F.sum(F.when(free, F.col("weight"))).alias("whole"), F.count_if(~free).alias("n")).first()
+    above, n = F.lit(False), -1
+    while True:
+        got = sums(~above)
+        if got.n == n or not got.whole:
+            break
+        n, left, whole = got.n, float((got.all or 0) - most * (got.full or 0)), float(got.whole)
+        above = F.lit(left) * F.col("weight") > F.col("words") * F.lit(most * whole)
+    if n < 0:  # no source, or none with a weight
+        return sized.select("source", "words", (F.col("words") * most).cast("double").alias("target"))
+    share = F.lit(left) * F.col("weight") / F.lit(whole)
+    return settle(sized.select("source", "words", F.when(above, (F.col("words") * most).cast("double")).otherwise(share).alias("target")), "targets")
+
+
+def _plan(patterns: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """(pattern, full, rest, ranges, source_size, target): full repetitions of a pattern and the words of its last one.
+
+    A source that shares no document fills its repetitions in order, and needs no flow. Only patterns around shared documents
+    are brought together, at most ``MAX_PATTERNS`` of them.
+    """
+    spark = patterns.sparkSession
+    several, own = F.size("pattern") > 1, F.col("pattern")[0].eqNullSafe(F.col("source"))
+    ranges = F.greatest(F.lit(1), F.floor(F.col("n") / RANGE_ROWS)).cast("long")
+    single = patterns.filter(~several)
+    shared = patterns.filter(several)
+    near = None
+    if not shared.isEmpty():
+        linked = settle(shared.select(F.explode("pattern").alias("source")).distinct(), "linked")
+        near = shared.unionByName(single.join(linked, own, "left_semi"))
+        single = single.join(linked, own, "left_anti")
+    taken = F.least(F.bround("target").cast("long"), F.lit(most) * F.col("words"))
+    size = F.col("words")
+    plan = single.join(sources.withColumnRenamed("words", "source_words"), own).select(
+        "pattern", F.when(size > 0, F.floor(taken / size)).otherwise(0).cast("long").alias("full"), F.when(size > 0, taken % size).otherwise(0).cast("long").alias("rest"),
+        ranges.alias("ranges"), size.alias("source_size"), "target")
+    if near is None:
+        return plan
+    found = near.select("pattern", "words", "n", ranges.alias("ranges")).limit(MAX_PATTERNS + 1).collect()
+    if len(found) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns around shared documents; merge rare sources first")
+    facts = sources.join(linked.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))).collect()
+    aim, sizes = {r.source: r.target for r in facts}, {r.source: r.words for r in facts}
+    supply = {tuple(r.pattern): int(r.words) for r in found}
     words = dict.fromkeys(supply, 0)
-    for (p, _, _), n in flow.items():
+    for (p, _, _), n in cheapest_flow(supply, {s: round(t) for s, t in aim.items()}, most).items():
         words[p] += n
-    return aim, words, flow
+    rows = []
+    for r in found:
+        p = tuple(r.pattern)
+        full, rest = divmod(words[p], supply[p]) if supply[p] else (0, 0)
+        rows.append((list(p), full, rest, r.ranges, sum(sizes[s] for s in p), float(sum(aim[s] for s in p))))
+    return plan.unionByName(spark.createDataFrame(rows, "pattern array<string>, full long, rest long, ranges long, source_size long, target double"))
 
 
 def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Column | str = "source", weights: dict | None = None,
@@ -163,22 +237,8 @@ def mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", sources: Col
     place = F.xxhash64(F.lit(seed), F.col("id").cast("string"), "text_hash")
     rows = settle(rows.withColumn("place", place), "sizes")
 
-    sums = rows.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns; merge rare sources first")
-    supply = {tuple(r.pattern): int(r.words) for r in sums}
-    sizes: dict = {}
-    for p, n in supply.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + n
-    aim, words, _ = plan_mix(sizes, supply, weights or cyclic_weights(sizes), most)
-    plan = []
-    for r in sums:
-        p = tuple(r.pattern)
-        full, rest = divmod(words[p], supply[p]) if supply[p] else (0, 0)
-        plan.append((list(p), full, rest, max(1, r.n // RANGE_ROWS), sum(sizes[s] for s in p), float(sum(aim[s] for s in p))))
-    plan = spark.createDataFrame(plan, "pattern array<string>, full long, rest long, ranges long, source_size long, target double")
-    plan = settle(plan.coalesce(1), "plan")
+    patterns = settle(rows.groupBy("pattern").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "patterns")
+    plan = settle(_plan(patterns, source_targets(patterns, weights, most), most), "plan")
     key = F.to_json(F.struct("pattern"), {"ignoreNullFields": "false"})
     plan = plan.select(key.alias("key"), "full", "rest", "ranges", "source_size", "target")
 

@@ -85,6 +85,45 @@ def test_overlapping_sources(spark):
     assert len(got) == 500 and sum(r.taken for r in got) > 0 and all(r.copies <= 3 for r in got)
 
 
+def plain_targets(docs, weights=None):
+    sizes = {}
+    for r in docs:
+        for s in set(r[2]):
+            sizes[s] = sizes.get(s, 0) + len((r[1] or "").split())
+    return sizes, mx.targets(sizes, weights or mx.cyclic_weights(sizes))
+
+
+def test_targets_of_tables_equal_the_plain_rule(spark):
+    rows = [(i, "w " * (i * i % 23), [[f"s{i % 7}"], [f"s{i % 3}", "é"], [None], ["z"] if i == 3 else ["s1"], [f"u{i % 11}"]][i % 5]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    for weights in (None, {s: 1 + i % 5 for i, s in enumerate(sorted({s for r in rows for s in r[2]}, key=str))}):
+        sizes, aim = plain_targets(rows, weights)
+        got = mx.mix(docs, weights=weights).collect()
+        assert len(got) == 400
+        for r in got:
+            assert abs(r.target - sum(aim[s] for s in r.pattern)) < 1e-6 and r.source_size == sum(sizes[s] for s in r.pattern) and r.copies <= 3
+        # What the sources get in all is what the flow fills, but for the last documents.
+        supply = {}
+        for r in got:
+            supply[tuple(r.pattern)] = supply.get(tuple(r.pattern), 0) + r.size
+        flow = mx.cheapest_flow(supply, {s: round(t) for s, t in aim.items()}, 3)
+        assert abs(sum(r.taken for r in got) - sum(flow.values())) <= 30 * len(supply)
+
+
+def test_sources_without_overlap_have_no_cap(spark):
+    old, mx.MAX_PATTERNS = mx.MAX_PATTERNS, 100
+    try:
+        rows = [(i, "w " * (i % 9 + 1), [f"source{i:05d}"]) for i in range(6_000)]
+        docs = spark.createDataFrame([*rows, (6_000, "w w", ["x", "y"]), (6_001, "w", ["x"])], "doc_id long, text string, source array<string>")
+        got = mx.mix(docs).collect()
+    finally:
+        mx.MAX_PATTERNS = old
+    sizes, aim = plain_targets([(r.doc_id, "w " * r.size, r.pattern) for r in got])
+    assert len(got) == 6_002 and all(abs(r.target - sum(aim[s] for s in r.pattern)) < 1e-6 for r in got)
+    # A source of one text takes it as often as comes nearest to its target.
+    assert all(abs(r.taken - r.target) <= r.size for r in got if len(r.pattern) == 1 and r.doc_id < 6_000)
+
+
 def test_mixed_rows(spark, odd, empty):
     docs = rows_of(spark)
     counts = {r.doc_id: r["count"] for r in mx.mixed(docs).groupBy("doc_id").count().collect()}
