@@ -4,6 +4,7 @@ import os
 import random
 import shutil
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
@@ -17,6 +18,8 @@ from barframe.operators import portfolio as po
 from barframe.operators import xsection as xs
 from barframe.plans.evaluate import evaluate
 from tests import plain
+from workload import sql as q
+from workload.books import LIMITED
 
 D = dt.date(2024, 1, 2)
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
@@ -155,6 +158,25 @@ def test_path_equals_plain_loop(spark):
                 assert got[d][s] == pytest.approx(x, abs=1e-12)
 
 
+def test_limited_moves_taken_back_equal_sql(spark):
+    """A move cut to the limit and taken back the day after trades the limit exactly; rounding must decide as in the SQL, row for row."""
+    rng = random.Random(3)
+    days, books = plain.days(60), []
+    for k in range(len(days)):
+        weights = [(23 - i) / 185 for i in range(10)]
+        books.append(books[k - 2] if k % 3 == 2 else dict(zip((f"Brand#{j}" for j in rng.sample(range(25), 10)), weights, strict=True)))
+    rows = [("limited", d, s, x) for d, b in zip(days, books, strict=True) for s, x in b.items()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE w_cap (portfolio_id VARCHAR, date DATE, symbol VARCHAR, weight DOUBLE)")
+    con.executemany("INSERT INTO w_cap VALUES (?, ?, ?, ?)", rows)
+    con.execute("CREATE VIEW book AS SELECT * FROM w_cap")
+    steps = ",\n".join(f"{n} AS ({q.STEPS[n][1].replace('{me}', n)})" for n in ("limited_days", "limited_scan", "limited"))
+    want = con.execute(f"WITH RECURSIVE {steps} SELECT date, symbol, weight FROM limited").fetchall()
+    targets = spark.createDataFrame(rows, "portfolio_id string, date date, symbol string, weight double")
+    got = po.rebalance_path(targets, targets.select("portfolio_id", "date"), LIMITED)
+    assert sorted((r["date"], r["symbol"], r["weight"]) for r in got.collect()) == sorted(want)
+
+
 def test_weight_path_goes_on_after_any_batch(spark, tmp_path):
     """Batches of dates give the path of one scan; a folder that lacks its last batches is finished, the others are not written again."""
     rng = random.Random(11)
