@@ -41,6 +41,7 @@ TOP = 2000
 SCALE = 2_000_000
 CONTAINED = 80
 BLOCK = 1 << 19
+GROUP = 1 << 20
 KEY_BITS = 36
 BASES = (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25)
 CUTS = b".,;:!?\n\x0b\x0c\r"
@@ -59,7 +60,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     if got is None or len(got[0]) <= n:
         pair = []
         for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(max(n + 1, 1 << 20), b, dtype=np.uint64)
+            p = np.full(max(n + 1, 1 << 18), b, dtype=np.uint64)
             p[0] = 1
             pair.append(np.cumprod(p, dtype=np.uint64))
         got = store[("powers", base)] = tuple(pair)
@@ -100,7 +101,7 @@ class Grams:
 def cut(texts: pa.Array):
     """(first row, last row, words) of the rows of a batch."""
     data, offsets = wd.buffers(texts)
-    for lo, hi in wd.groups(offsets):
+    for lo, hi in wd.groups(offsets, GROUP):
         yield lo, hi, wd.words(data, offsets[lo : hi + 1], plain=False, lower=True, rule=(_to, _inside))
 
 
@@ -116,8 +117,9 @@ def seeds(langs: pa.Array) -> np.ndarray:
 
 
 def _combined(parts: list[tuple]) -> tuple:
-    """One entry per fingerprint, second fingerprint and language: the count and the first of its places."""
+    """One entry per fingerprint, second fingerprint and language: the count and the first of its places. Empties ``parts``."""
     fp, check, lang, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
     order = np.argsort(fp, kind="stable")
     fp, check, lang = fp[order], check[order], lang[order]
     new = np.ones(len(fp), dtype=bool)
@@ -143,10 +145,12 @@ def _scan(docs: DataFrame, sizes: tuple[int, ...], filters, fp_bits: int, block:
 
             def emit(k):
                 fp, check, lang, n, place = _combined(held[k])
-                held[k], size[k] = [], 0
-                return pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(lang)), pa.array(fp.view(np.int64)), pa.array(check.view(np.int64)), pa.array(n), pa.array(place), pa.array(np.full(len(fp), k, np.int32))],
-                    names=["lang", "fp", "chk", "n", "place", "k"])
+                size[k] = 0
+                for lo in range(0, len(fp), wd.ROWS):
+                    to = min(lo + wd.ROWS, len(fp))
+                    yield pa.RecordBatch.from_arrays(
+                        [names.take(pa.array(lang[lo:to])), pa.array(fp[lo:to].view(np.int64)), pa.array(check[lo:to].view(np.int64)), pa.array(n[lo:to]), pa.array(place[lo:to]), pa.array(np.full(to - lo, k, np.int32))],
+                        names=["lang", "fp", "chk", "n", "place", "k"])
 
             for lo, hi, w in cut(batch.column("text")):
                 if not len(w.hash):
@@ -162,10 +166,10 @@ def _scan(docs: DataFrame, sizes: tuple[int, ...], filters, fp_bits: int, block:
                     held[k].append((g.of(at, k), g.of(at, k, 1), code[lo:hi][rows], (keys[lo:hi][rows] << (63 - KEY_BITS)) + np.minimum(at - w.first[rows], _AT)))
                     size[k] += len(at)
                     if size[k] >= block:
-                        yield emit(k)
+                        yield from emit(k)
             for k in sizes:
                 if size[k]:
-                    yield emit(k)
+                    yield from emit(k)
 
     return docs.select("lang", "key", "text").mapInArrow(count, _COUNTED)
 

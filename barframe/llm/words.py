@@ -1,7 +1,7 @@
 """Words of whole Arrow batches as numpy arrays: byte ranges, 64-bit hashes and rolling word n-grams.
 
 A text is read as UTF-8 bytes. Every separator of both word rules is one ASCII byte, so words can be cut on bytes.
-Work goes in pieces of about one megabyte, cut at separators, so memory does not follow the length of a text.
+Work goes in pieces of about a quarter of a megabyte, cut at separators, so memory does not follow the length of a text.
 A null text has no words. Equal words have equal hashes; different ones differ but for a chance of 2^-64 a pair.
 """
 
@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 GROUP = 2 << 20
+ROWS = 1 << 15
 
 #: Java and Python patterns of the two word rules.
 PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -132,6 +133,12 @@ def groups(offsets: np.ndarray, limit: int = GROUP) -> Iterator[tuple[int, int]]
         lo = min(hi, n)
 
 
+def sliced(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of ``rows`` rows: the executor holds one part at a time outside its heap."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, plain: bool, lower: bool, prefixes: tuple[int, ...] = (), rule: tuple[np.ndarray, np.ndarray] | None = None) -> Words:
     """Words of consecutive rows. ``data`` is the column's buffer, ``offsets`` the rows' bounds in it. ``rule`` replaces ``byte_rule``."""
     to, inside = rule or byte_rule(plain, lower)

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 
 from barframe.llm import phrases
+from barframe.llm import words as wd
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -91,3 +92,21 @@ def test_fingerprints_depend_on_words_only():
     for which in (0, 1):
         h = g.of(g.places(3), 3, which).tolist()
         assert len(h) == 5 and h[1] == h[2] == h[4] and len(set(h)) == 3
+
+
+def test_counts_leave_a_task_in_small_batches():
+    """A block of counts goes to the executor in parts, and all of it."""
+
+    class Task:  # runs a stage's function on one batch
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, f, _):
+            return f
+
+    n = 3 * wd.ROWS + 7
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([1], pa.int64()), pa.array([" ".join(f"w{i}" for i in range(n)) + " w0"])], names=["lang", "key", "text"])
+    parts = list(phrases._scan(Task(), (1,), None, 64, phrases.BLOCK)(iter([batch])))
+    assert max(p.num_rows for p in parts) <= wd.ROWS
+    assert sum(p.num_rows for p in parts) == len({v for p in parts for v in p.column("fp").to_pylist()}) == n
+    assert sum(sum(p.column("n").to_pylist()) for p in parts) == n + 1
