@@ -134,7 +134,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, id: str = "doc_id",
                      pa.array(spans, pa.list_(_HITS)), pa.array(items, pa.list_(pa.string()))],
                     names=["id", "text", "n_words", "spans", "items"])
 
-        rows = rows.mapInArrow(scan, schema)
+        rows = rows.mapInArrow(wd.lean(scan), schema)
         if not last:
             rows = settle(rows, "benchmark_block")
     return rows.select(F.col("id").alias(id), "n_words", "spans", "items")
@@ -157,5 +157,5 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "tex
                     keep[[lo + r for r in find(w, block.value)]] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(clean, docs.schema)
+        out = out.mapInArrow(wd.lean(clean), docs.schema)
     return out

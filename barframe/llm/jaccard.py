@@ -124,7 +124,7 @@ def _scanned(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
 
     names = ["id", "text_hash", "node", "n", "sig", "hist", "bucket", "uses"]
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(scan, f"id {kind.simpleString()}, text_hash long, node long, n long, sig array<long>, hist array<tinyint>, bucket int, uses long")
+    return rows.mapInArrow(wd.lean(scan), f"id {kind.simpleString()}, text_hash long, node long, n long, sig array<long>, hist array<tinyint>, bucket int, uses long")
 
 
 def _sketch(scanned: DataFrame) -> np.ndarray:
@@ -155,9 +155,9 @@ def _prefixes(docs: DataFrame, text: str, k: int, percent: int, sketch) -> DataF
                     sizes.append(np.full(p, n, dtype=np.int32))
                     places.append(np.arange(p, dtype=np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes, places)], names=["token", "node", "n", "pos"])
+                yield from wd.sliced(pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, nodes, sizes, places)], names=["token", "node", "n", "pos"]))
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(index, "token long, node long, n int, pos int")
+    return docs.select(F.col(text).alias("text")).mapInArrow(wd.lean(index), "token long, node long, n int, pos int")
 
 
 def _contents(docs: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFrame:
@@ -174,7 +174,7 @@ def _contents(docs: DataFrame, text: str, k: int, wanted: DataFrame) -> DataFram
             ends = np.concatenate([[0], np.cumsum([len(s) for s in kept])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in kept], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "s"])
 
-    return texts.select("text").mapInArrow(fill, "node long, s array<long>")
+    return texts.select("text").mapInArrow(wd.lean(fill), "node long, s array<long>")
 
 
 def _signed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:

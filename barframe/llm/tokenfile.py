@@ -247,7 +247,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, id: str = "doc_i
 
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(F.col("id").asc_nulls_last(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_last(), F.xxhash64("text"))
-    segments = rows.mapInArrow(write, f"part int, segment int, n_ids long, doc_ids array<{kind}>, payload binary")
+    segments = rows.mapInArrow(wd.lean(write, drop=()), f"part int, segment int, n_ids long, doc_ids array<{kind}>, payload binary")
     segments.write.option("compression", "zstd").parquet(path)
 
 
@@ -274,7 +274,7 @@ def read_tokens(spark, path: str, *, id: str = "doc_id") -> DataFrame:
                      pa.array(held.ends - starts, pa.int64()), pa.array(sums, pa.int64())],
                     names=["id", "start", "n_tokens", "ids_crc32"])
 
-    out = rows.select("doc_ids", "payload", "base").mapInArrow(read, f"id {kind}, start long, n_tokens long, ids_crc32 long")
+    out = rows.select("doc_ids", "payload", "base").mapInArrow(wd.lean(read), f"id {kind}, start long, n_tokens long, ids_crc32 long")
     return out.withColumnRenamed("id", id)
 
 

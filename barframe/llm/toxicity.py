@@ -245,7 +245,7 @@ def _without_copies(rows: DataFrame, known: DataFrame) -> DataFrame:
                 names=["id", "text_hash", "toxic", "node", "n", "least", "sig"])
 
     kind = mine.schema["id"].dataType.simpleString()
-    scanned = mine.select("id", "text_hash", "toxic", "text").mapInArrow(scan, f"id {kind}, text_hash long, toxic int, node long, n long, least array<long>, sig array<long>")
+    scanned = mine.select("id", "text_hash", "toxic", "text").mapInArrow(wd.lean(scan), f"id {kind}, text_hash long, toxic int, node long, n long, least array<long>, sig array<long>")
     scanned = settle(scanned, "sets")
     place = F.struct("id", "text_hash")
     nodes = settle(scanned.filter("node is not null").groupBy("toxic", "node").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("sig").alias("sig")), "nodes")
@@ -272,7 +272,7 @@ def _without_copies(rows: DataFrame, known: DataFrame) -> DataFrame:
                 keep.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("node")], names=["toxic", "node"]).filter(pa.array(keep, pa.bool_()))
 
-    gone = settle(both.select("toxic", "node", "a", "b").mapInArrow(verify, "toxic int, node long").distinct(), "gone")
+    gone = settle(both.select("toxic", "node", "a", "b").mapInArrow(wd.lean(verify), "toxic int, node long").distinct(), "gone")
     # Of a set's rows one stays: all rows but those, and all rows of sets that are gone.
     copies = scanned.filter("node is not null").join(nodes.select("toxic", "node", "place"), ["toxic", "node"]).filter(place != F.col("place"))
     out = copies.select("id", "text_hash", "toxic").union(scanned.join(gone, ["toxic", "node"], "left_semi").select("id", "text_hash", "toxic"))
@@ -331,7 +331,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
                     c = np.bincount(at, minlength=len(got)) - t
                     yield pa.RecordBatch.from_arrays([pa.array(got.view(np.int64)), pa.array(t), pa.array(c)], names=["feature", "t", "c"])
 
-        return labelled.mapInArrow(count, "feature long, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        return labelled.mapInArrow(wd.lean(count), "feature long, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
     marks = np.empty(0, np.uint64)
     for _ in range(ROUNDS):
@@ -360,7 +360,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str =
     taken = short.filter("toxic = 1").orderBy(order, "id", "text").limit(sample).union(short.filter("toxic = 0").orderBy(order, "id", "text").limit(sample))
     # One task fits the bounded sample: 2 * sample texts of at most sample_chars characters.
     one = taken.select("text", "toxic").repartition(1)
-    got = one.mapInArrow(_fit_sample(marks), "hashes binary, weight binary, move binary, curve array<double>").collect()
+    got = one.mapInArrow(wd.lean(_fit_sample(marks)), "hashes binary, weight binary, move binary, curve array<double>").collect()
     release(labelled, sweep=False)
     if not got:
         return None
@@ -386,7 +386,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: st
                 [batch.column("id"), pa.array(scores), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 names=["id", "score", "spans"])
 
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(score, f"id {kind}, score double, spans array<struct<start:long,end:long>>")
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(wd.lean(score), f"id {kind}, score double, spans array<struct<start:long,end:long>>")
     return rows.select(F.col("id").alias(id), held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
                        F.size("spans").cast("long").alias("n_toxic_words"), "spans")
 
@@ -404,4 +404,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", tex
                 keep[lo : lo + len(s)] = s < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(wd.lean(clean), docs.schema)

@@ -42,3 +42,14 @@ def test_prefix_hashes():
 
 def test_runs():
     assert list(wd.runs(np.array([2, 0, 3]))) == [0, 1, 0, 1, 2]
+
+
+def test_a_task_drops_the_tokenizer_before_it_and_gives_memory_back(monkeypatch):
+    """Stages share workers: a task of another operator starts without the kept tokenizer, and its end gives freed memory back."""
+    ended = []
+    monkeypatch.setattr(wd, "give_back", lambda: ended.append(True))
+    wd.worker_store().update(encoder="kept", encoder_key="key")
+    assert list(wd.lean(lambda batches: (b + 1 for b in batches), drop=())(iter([1, 2]))) == [2, 3]
+    assert wd.worker_store()["encoder"] == "kept" and len(ended) == 1
+    assert list(wd.lean(lambda batches: (("encoder" in wd.worker_store(), b) for b in batches))(iter([5]))) == [(False, 5)]
+    assert "encoder_key" not in wd.worker_store() and len(ended) == 2
